@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, chat, decontaminate, licenses, lines, quality, sharding, simhash
+from trailmark.llm import bpe, chat, decontaminate, licenses, lines, pages, quality, sharding, simhash
 from trailmark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digested(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.decided(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
