@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, chat, decontaminate, licenses, lines, pages, quality, sharding, simhash
+from trailmark.llm import bpe, chat, decontaminate, licenses, lines, pages, quality, sharding, simhash, tokens
 from trailmark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The first id that the vocabulary leaves free.
+SEPARATOR = 50256
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digested(decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), SEPARATOR)
+    return tokens.read_back(written, SEPARATOR)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digested(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
