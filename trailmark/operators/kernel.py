@@ -1,0 +1,127 @@
+"""The residual kernel: patients whose events share time variables.
+
+Closed forms hold for independent times only. Where two events name one variable, a patient's times are a network of differences:
+all-pairs bounds by min-plus closure, then bindings by depth-first search with pairwise pruning, exact where each
+constraint is entailed, possible where the binding's constraints close without a negative cycle. Only patients that share variables come here; one
+patient's history is one group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trailmark.plans.pattern import Pattern
+
+NEVER = float("inf")
+MOST_VARIABLES = 4096
+
+
+def closed(d: np.ndarray) -> np.ndarray:
+    """Shortest paths; d[i, j] bounds x_j - x_i from above."""
+    for k in range(len(d)):
+        np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :], out=d)
+    return d
+
+
+class Times:
+    """A patient's variables (node 0 is time zero) and the greatest difference of each pair."""
+
+    def __init__(self, events: list[dict]):
+        self.node: dict[str, int] = {"": 0}
+        self.at: list[tuple[int, int]] = []
+        bounds: list[tuple[int, int, float]] = []
+        for k, e in enumerate(events):
+            start = self.node.setdefault(e.get("start_var") or f"\x00s{k}", len(self.node))
+            point = e.get("end_var") is None and e["end_lo"] == e["lo"] and e["end_hi"] == e["hi"]
+            end = start if point else self.node.setdefault(e.get("end_var") or f"\x00e{k}", len(self.node))
+            bounds += [(0, start, e["hi"]), (start, 0, -e["lo"]), (0, end, e["end_hi"]), (end, 0, -e["end_lo"])] + ([] if point else [(end, start, 0)])
+            self.at.append((start, end))
+        if len(self.node) > MOST_VARIABLES:
+            raise ValueError(f"more than {MOST_VARIABLES} time variables in one history")
+        # nodes that share nothing only meet through time zero; the closure is over all, exact for integers below 2**53 from the first event on
+        base = min((e["lo"] for e in events), default=0)
+        d = np.full((len(self.node), len(self.node)), NEVER)
+        np.fill_diagonal(d, 0)
+        for i, j, w in bounds:
+            d[i, j] = min(d[i, j], w - base * (i == 0 and j != 0) + base * (j == 0 and i != 0))
+        self.base, self.d = base, closed(d)
+        self.consistent = bool((np.diag(self.d) >= 0).all())
+
+
+def constraints(pattern: Pattern, w_start: int, w_end: int) -> list[tuple[tuple[str, int], tuple[str, int], float]]:
+    """(x, y, w): y - x <= w, where x and y are a step's start (0) or end (1), or time zero ("", 0)."""
+    out = []
+    for r in pattern.relations:
+        a, b = r.source, r.target
+        if r.kind == "after":
+            out += [((a, 0), (b, 0), r.most)] * (r.most is not None) + [((b, 0), (a, 0), -r.least)] * (r.least is not None)  # type: ignore[operator]
+        else:
+            out += [((b, 0), (a, 0), 0), ((a, 1), (b, 0), r.grace)]
+    zero = ("", 0)
+    for s in pattern.steps:
+        if pattern.scope in ("from_start", "within"):
+            out.append(((s.id, 0), zero, -w_start))
+        if pattern.scope == "within":
+            out.append((zero, (s.id, 0), w_end))
+        if pattern.scope == "after":
+            out.append(((s.id, 0), zero, -w_end))
+    return out
+
+
+def decide(pattern: Pattern, events: list[dict], domains: dict[str, list[int]], window: tuple[int | None, int | None]) -> str:
+    """excluded, exact, possible, none, or inconsistent where the ranges leave no world at all."""
+    if window[0] is None:
+        return "excluded"
+    times = Times(events)
+    if not times.consistent:
+        return "inconsistent"
+    limits = [(x, y, w + times.base * ((y[0] == "") - (x[0] == ""))) for x, y, w in constraints(pattern, *window)]
+    order = [s.id for s, _ in pattern.order()]
+
+    def node(part: tuple[str, int], binding: dict[str, int]) -> int:
+        return 0 if part[0] == "" else times.at[binding[part[0]]][part[1]]
+
+    def search(test, binding: dict[str, int]) -> Iterator[dict[str, int]]:
+        if len(binding) == len(order):
+            yield binding
+            return
+        step = order[len(binding)]
+        for e in domains[step]:
+            grown = binding | {step: e}
+            known = {"", *grown}
+            if all(test(node(x, grown), node(y, grown), w) for x, y, w in limits if step in (x[0], y[0]) and {x[0], y[0]} <= known):
+                yield from search(test, grown)
+
+    if next(search(lambda i, j, w: times.d[i, j] <= w, {}), None) is not None:
+        return "exact"
+    for binding in search(lambda i, j, w: times.d[j, i] + w >= 0, {}):
+        nodes = sorted({0, *(n for e in binding.values() for n in times.at[e])})
+        place = {n: k for k, n in enumerate(nodes)}
+        d = times.d[np.ix_(nodes, nodes)].copy()
+        for x, y, w in limits:
+            i, j = place[node(x, binding)], place[node(y, binding)]
+            d[i, j] = min(d[i, j], w)
+        if (np.diag(closed(d)) >= 0).all():
+            return "possible"
+    return "none"
+
+
+def shared_statuses(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
+    """patient and status of patients whose events share variables (start_var, end_var; null for own ones)."""
+    kinds = {c: {r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()} for c in {s.concept for s in pattern.steps}}  # the bounded catalogue
+    rows = events.select("patient", "event_id", "kind", "lo", "hi", "end_lo", "end_hi", "start_var", "end_var").join(windows, "patient")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("event_id")
+        found = [{k: None if v is None or v != v else v for k, v in r.items()} for r in group.to_dict("records")]
+        domains = {s.id: [k for k, e in enumerate(found) if e["kind"] in kinds[s.concept]] for s in pattern.steps}
+        first = found[0]
+        window = (None, None) if first["w_start"] is None else (int(first["w_start"]), int(first["w_end"]))
+        return pd.DataFrame({"patient": [int(first["patient"])], "status": [decide(pattern, found, domains, window)]})
+
+    return rows.groupBy("patient").applyInPandas(run, "patient bigint, status string")
