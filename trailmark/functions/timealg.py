@@ -104,7 +104,7 @@ def atoms(operator: str, least: int | None = None, most: int | None = None) -> l
     if operator not in ("gap", "duration"):
         raise ValueError(f"unknown operator: {operator}")
     low, high = ("e", "u") if operator == "gap" else ("s", "e")
-    return [(low, high, -least)] * (least is not None) + [(high, low, most)] * (most is not None)
+    return ([(low, high, -least)] if least is not None else []) + ([(high, low, most)] if most is not None else [])
 
 
 def classified(found: list[tuple[str, str, int]], lows: dict[str, Column], highs: dict[str, Column], comparable: Column, proper: bool = True) -> Column:

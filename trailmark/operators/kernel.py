@@ -59,7 +59,8 @@ def constraints(pattern: Pattern, w_start: int, w_end: int) -> list[tuple[tuple[
     for r in pattern.relations:
         a, b = r.source, r.target
         if r.kind == "after":
-            out += [((a, 0), (b, 0), r.most)] * (r.most is not None) + [((b, 0), (a, 0), -r.least)] * (r.least is not None)  # type: ignore[operator]
+            out += [((a, 0), (b, 0), r.most)] if r.most is not None else []
+            out += [((b, 0), (a, 0), -r.least)] if r.least is not None else []
         else:
             out += [((b, 0), (a, 0), 0), ((a, 1), (b, 0), r.grace)]
     zero = ("", 0)

@@ -139,7 +139,8 @@ def jointly(pattern: Pattern) -> Column:
     for r in pattern.relations:
         a, b = at[r.source], at[r.target]
         if r.kind == "after":
-            edges += [(a, b, r.least)] * (r.least is not None) + [(b, a, -r.most)] * (r.most is not None)  # type: ignore[operator]
+            edges += [(a, b, r.least)] if r.least is not None else []
+            edges += [(b, a, -r.most)] if r.most is not None else []
         else:
             edges += [(a, b, 0), (b, a + 1, -r.grace)]
     if pattern.scope in ("from_start", "within"):
