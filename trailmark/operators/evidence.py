@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.lineage import cut
+
 
 def as_known(entries: DataFrame, cutoff: Column, sources: list[str]) -> DataFrame:
     """entries (id, source, supersedes, operation, available) with state: EXCLUDED_SOURCE, UNKNOWN_AVAILABILITY, AFTER_CUTOFF, INELIGIBLE_REVISION_ANCESTOR, REVISION_FORK,
@@ -49,9 +51,9 @@ def outcome_counts(admitted_: DataFrame) -> DataFrame:
 
 def chained(facts: DataFrame, rules: DataFrame, rounds: int = 32) -> DataFrame:
     """Forward chaining of class rules (if_class, then_class) over facts (entity, class) to a fixpoint; the rules are a bounded catalogue."""
-    found, count = facts.select("entity", "class").distinct().checkpoint(), -1
+    found, count = cut(facts.select("entity", "class").distinct()), -1
     for _ in range(rounds):
-        new = found.unionByName(found.join(F.broadcast(rules), F.col("class") == F.col("if_class")).select("entity", F.col("then_class").alias("class"))).distinct().checkpoint()
+        new = cut(found.unionByName(found.join(F.broadcast(rules), F.col("class") == F.col("if_class")).select("entity", F.col("then_class").alias("class"))).distinct())
         if (now := new.count()) == count:
             return new
         found, count = new, now

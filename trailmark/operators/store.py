@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import scalars
+from trailmark.lineage import cut
 from trailmark.sources.model import with_concepts
 
 SORTED = {"events": ["patient", "lo", "hi", "event_id"], "postings": ["concept", "patient"], "coverage": ["patient", "source", "c_lo"]}
@@ -25,7 +26,7 @@ def indexed(patients: DataFrame, key: str = "patient") -> DataFrame:
     """key, patient_idx (dense, from zero, in key order) and bucket. Places come from counts of ranges of keys, so that no task
     sees all patients."""
     distinct = patients.select(key).distinct()
-    ranged = distinct.repartitionByRange(key).withColumn("_part", F.spark_partition_id()).checkpoint()
+    ranged = cut(distinct.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("offset")
@@ -58,12 +59,12 @@ def merkle_levels(leaves: DataFrame, key: str, digest: str) -> DataFrame:
     """level, node, hash: a binary hash tree over leaves in key order; leaves and inner nodes are hashed with different prefixes, and a
     node without a partner is carried up."""
     table = indexed(leaves, key).join(leaves, key)
-    level = table.select(F.lit(0).alias("level"), F.col("patient_idx").alias("node"), F.sha2(F.concat(F.lit("\x00"), F.col(digest)), 256).alias("hash")).checkpoint()
+    level = cut(table.select(F.lit(0).alias("level"), F.col("patient_idx").alias("node"), F.sha2(F.concat(F.lit("\x00"), F.col(digest)), 256).alias("hash")))
     out, n, depth = level, level.count(), 0
     while n > 1:
         depth += 1
         pairs = level.groupBy(F.floor(F.col("node") / 2).alias("node")).agg(F.count("*").alias("n"), F.min_by("hash", level["node"]).alias("left"), F.max_by("hash", level["node"]).alias("right"))
-        level = pairs.select(F.lit(depth).alias("level"), "node", F.when(F.col("n") == 1, F.col("left")).otherwise(F.sha2(F.concat(F.lit("\x01"), "left", "right"), 256)).alias("hash")).checkpoint()
+        level = cut(pairs.select(F.lit(depth).alias("level"), "node", F.when(F.col("n") == 1, F.col("left")).otherwise(F.sha2(F.concat(F.lit("\x01"), "left", "right"), 256)).alias("hash")))
         out, n = out.unionByName(level), -(-n // 2)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import timealg as ta
+from trailmark.lineage import cut
 
 MINUTE, HOUR, DAY = (ta.UNITS[u] for u in ("minute", "hour", "day"))
 #: Direct broader concepts of the event types (fixed values).
@@ -42,7 +43,7 @@ def transitive(edges: DataFrame, rounds: int = 64) -> DataFrame:
     found = edges.select(F.col("concept").alias("a"), F.col("parent").alias("b")).union(nodes.select("a", F.col("a").alias("b"))).distinct()
     before = -1
     for _ in range(rounds):
-        found = found.checkpoint()
+        found = cut(found)
         count = found.count()
         if count == before:
             break
