@@ -171,3 +171,20 @@ def digested(texts: DataFrame, key: str = "conv_id") -> DataFrame:
     return read_back(texts, key).select(
         key, F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
+
+
+def _sql_escaped(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+ORACLE_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+lined AS (SELECT *, length({_sql_escaped("text")}) + length(replace({_sql_escaped("role")}, chr(10), '\\' || chr(10))) + {len(OPEN) + 1 + len(CLOSE)} AS chars FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{LEARNED_ROLE}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LEARNED_ROLE}'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM lined GROUP BY conv_id
+"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from trailmark.lineage import cut, shared_dir, staged
+
+__all__ = ["CHUNK", "column", "cut", "flat", "shared_dir", "slices", "staged", "table", "take_ranges", "text_column"]
+
 #: Code points (or bytes) that one numpy pass inside a task works on; longer documents are passed alone.
 CHUNK = 1 << 21
 
@@ -19,29 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df behind a checkpoint in the shared folder: computed once, whole after executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; column pruning then holds for later reads."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     found = batch.column(batch.schema.get_field_index(name))
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found

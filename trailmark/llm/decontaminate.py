@@ -262,8 +262,8 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str =
 
 
 def digested(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated and longest."""
-    return found.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    """key, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    return found.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,3 +273,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str =
     marked = docs.withColumn("_digest", digest)
     bad = search(marked.withColumn("_both", F.struct(F.col(key).alias("k"), F.col("_digest").alias("h"))), benchmark, size, "_both", text).filter("n_hit > 0").select(F.col("_both.k").alias("_k"), F.col("_both.h").alias("_h")).distinct()
     return marked.join(bad, marked[key].eqNullSafe(bad["_k"]) & (marked["_digest"] == bad["_h"]), "left_anti").drop("_digest")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS k, array_to_string(w[i + 1 : i + least(len(w), {WINDOW})], ' ') AS words FROM b, LATERAL (SELECT unnest(range(greatest(len(w) - {WINDOW} + 1, 1))) AS i) WHERE len(w) > 0),
+dw AS (SELECT r, k, i, array_to_string(w[i + 1 : i + k], ' ') AS words FROM d, (SELECT DISTINCT k FROM iw), LATERAL (SELECT unnest(range(len(w) - k + 1)) AS i) WHERE len(w) >= k),
+m AS (SELECT r, dw.k, i, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.words = iw.words),
+hits AS (SELECT r, count(DISTINCT p) AS n FROM m, LATERAL (SELECT unnest(range(i, i + k)) AS p) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""

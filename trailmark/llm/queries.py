@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
