@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
 from trailmark.operators import derived, evidence, intervals, kernel, rules, similarity, states, store
+from trailmark.operators.ranges import join_ranges
 from trailmark.plans import compile as plans
 from trailmark.plans.pattern import Pattern, Relation, Relaxation, Step
 from trailmark.sources import model
@@ -611,6 +612,149 @@ def exposure_pairs(spark, d):
     return derived.exposures_paired(rows)
 
 
+@query(f"SELECT status, count(*)::BIGINT AS n FROM ({STATUS_SQL}) GROUP BY status")
+def status_counts(spark, d):
+    """Counts and a fixed vocabulary only: nothing of a single patient leaves."""
+    m = Model(spark, d)
+    return plans.statuses(RELAXED, m.events, m.closure, m.windows).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS item, count(*)::BIGINT AS n, count(*) FILTER (l_returnflag = 'R')::BIGINT AS missing, count(DISTINCT l_linestatus)::BIGINT AS units, min(l_quantity) FILTER (l_returnflag <> 'R') AS least, max(l_quantity) FILTER (l_returnflag <> 'R') AS greatest FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def preflight(spark, d):
+    from trailmark.sources import ingest
+
+    rows = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return ingest.preflight(rows.select(F.col("p_brand").alias("item"), F.col("l_linestatus").alias("unit"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("value")), "item", "unit", "value")
+
+
+@query("""SELECT a.patient, count(*)::BIGINT AS pairs, count(*) FILTER (a.clock = b.clock OR a.patient % 3 = 0)::BIGINT AS comparable FROM (SELECT patient, event_id, 'c' || event_id % 2 AS clock FROM ev WHERE kind = 'signup') a JOIN (SELECT patient, event_id, 'c' || event_id % 2 AS clock FROM ev WHERE kind = 'purchase') b ON a.patient = b.patient GROUP BY a.patient""")
+def clock_alignment(spark, d):
+    rows = model.events(spark, d).withColumn("clock", F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")))
+    side = lambda k: rows.filter(F.col("kind") == k).select("patient", F.col("event_id").alias(k), "clock")
+    patients = rows.select("patient").distinct()
+    names = F.array(*(F.struct(F.lit(a).alias("l_clock"), F.lit(b).alias("r_clock")) for a in ("c0", "c1") for b in ("c0", "c1")))
+    declared = patients.select("patient", F.inline(names)).filter("l_clock = r_clock OR patient % 3 = 0")
+    return intervals.aligned(side("signup"), side("purchase"), declared).groupBy("patient").agg(F.count("*").alias("pairs"), F.count_if("comparable").alias("comparable"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderkey IS NULL THEN 'no_stay' WHEN p_partkey IS NULL THEN 'no_item' WHEN o_custkey % 5 = 0 THEN 'other_patient' END AS problem FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 17 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 19 <> 0) ON l_partkey = p_partkey WHERE o_orderkey IS NULL OR p_partkey IS NULL OR o_custkey % 5 = 0")
+def dimension_identity(spark, d):
+    """Rows whose stay or item is not in its dimension, or whose stay is another patient's."""
+    stays, items = read(spark, d, "orders").filter("o_orderkey % 17 <> 0"), read(spark, d, "part").filter("p_partkey % 19 <> 0")
+    rows = read(spark, d, "lineitem").join(stays, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(items, F.col("l_partkey") == F.col("p_partkey"), "left")
+    problem = F.when(F.col("o_orderkey").isNull(), "no_stay").when(F.col("p_partkey").isNull(), "no_item").when(F.col("o_custkey") % 5 == 0, "other_patient")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+@query("SELECT patient, event_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY distance, event_id) AS r FROM (SELECT e.patient, e.event_id, abs(e.micro - (SELECT arg_min(micro, event_id) FROM ev)) AS distance FROM ev e WHERE kind = 'purchase')) WHERE r = 1")
+def nearest_anchor(spark, d):
+    """Each patient's anchor nearest to a reference value, ties by event id: one aggregation, no sort."""
+    rows = model.events(spark, d)
+    reference = rows.agg(F.min_by("micro", "event_id")).first()[0]
+    near = rows.filter("kind = 'purchase'").select("patient", F.struct(F.abs(F.col("micro") - reference).alias("distance"), "event_id").alias("near"))
+    return near.groupBy("patient").agg(F.min("near").alias("near")).select("patient", "near.event_id", "near.distance")
+
+
+@query("SELECT c_custkey AS patient, CASE WHEN c_mktsegment = 'BUILDING' OR NOT coalesce(low < 50000, true) THEN 'excluded' WHEN low IS NULL THEN 'unresolved' ELSE 'eligible' END AS filter_state FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+def hard_filters(spark, d):
+    low = read(spark, d, "orders").filter("o_orderstatus = 'P' AND o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("low"))
+    rows = read(spark, d, "customer").join(low, "c_custkey", "left")
+    return similarity.eligible(rows, [F.col("c_mktsegment") != "BUILDING", F.col("low") < 50000]).select(F.col("c_custkey").alias("patient"), "filter_state")
+
+
+@query("SELECT patient, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) END AS band, count(DISTINCT kind)::BIGINT AS n_bands FROM (SELECT *, rank() OVER (PARTITION BY patient ORDER BY t // 3600000000 DESC) AS r FROM ev) WHERE r = 1 GROUP BY patient")
+def latest_band(spark, d):
+    """The band declared in a patient's latest hour; more than one leaves it unresolved."""
+    rows = model.events(spark, d).withColumn("hour", F.expr("lo div 3600000000"))
+    by_hour = rows.groupBy("patient", "hour").agg(F.min("kind").alias("band"), F.count_distinct("kind").alias("n_bands"))
+    last = by_hour.groupBy("patient").agg(F.max_by(F.struct("band", "n_bands"), "hour").alias("x"))
+    return last.select("patient", F.when(F.col("x.n_bands") == 1, F.col("x.band")).alias("band"), "x.n_bands")
+
+
+@query("SELECT kind, quantile_disc(micro, 0.5) AS p50, quantile_disc(micro, 0.95) AS p95, max(micro) AS most FROM ev GROUP BY kind")
+def latency_summary(spark, d):
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY micro)").cast("long")
+    return model.events(spark, d).groupBy("kind").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("micro").alias("most"))
+
+
+@query(f"SELECT patient, coalesce(bool_or(n > 1), false) AS shared FROM (SELECT DISTINCT patient FROM ev) LEFT JOIN (SELECT patient, t // {DAY} AS v, count(*) AS n FROM ev WHERE kind = 'signup' GROUP BY 1, 2) USING (patient) GROUP BY patient")
+def shared_variable_flag(spark, d):
+    rows = model.events(spark, d)
+    named = rows.withColumn("start_var", F.when(F.col("kind") == "signup", F.expr(f"string(lo div {DAY})"))).withColumn("end_var", F.lit(None).cast("string"))
+    return store.shares_variables(named)
+
+
+@query("SELECT a.kind AS a, b.kind AS b, count(*)::BIGINT AS n FROM (SELECT DISTINCT kind, patient FROM ev WHERE micro < 20000000) a JOIN (SELECT DISTINCT kind, patient FROM ev WHERE micro < 20000000) b ON a.patient = b.patient AND a.kind < b.kind GROUP BY 1, 2")
+def stratum_overlap(spark, d):
+    sets = model.events(spark, d).filter("micro < 20000000").groupBy("patient").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most as many as kinds
+    pairs = F.flatten(F.transform("kinds", lambda a: F.transform(F.filter("kinds", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return sets.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_partkey AS claim, string_agg(DISTINCT (l_suppkey % 4)::VARCHAR, ',' ORDER BY (l_suppkey % 4)::VARCHAR) AS batches, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def unique_claims(spark, d):
+    """Each claim once, with the batches that have it."""
+    batch = (F.col("l_suppkey") % 4).cast("string")
+    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("claim")).agg(F.array_join(F.array_sort(F.collect_set(batch)), ",").alias("batches"), F.count("*").alias("n"))
+
+
+@query(f"""SELECT patient, CASE WHEN p1 IN ('exact', 'excluded') THEN p1 WHEN p1 = 'none' AND p2 = 'none' THEN 'none' ELSE 'unresolved' END AS status FROM (SELECT w.patient, CASE WHEN w_start IS NULL THEN 'excluded' WHEN bool_or(certain AND lo >= w_start AND hi <= w_end) THEN 'exact' ELSE 'none' END AS p1, CASE WHEN w_start IS NULL THEN 'excluded' WHEN bool_or(lo >= w_start AND hi <= w_end) THEN 'exact' ELSE 'none' END AS p2
+FROM uwin w LEFT JOIN (SELECT e.patient, e.lo, e.hi, c.certain FROM ev e JOIN (SELECT patient, event_id, min(forced) >= 2 AS certain, max(allowed) >= 2 AS possible FROM (
+SELECT p.patient, p.event_id, p.tau, count(*) FILTER (o.lo >= tau - {UNCERTAIN_SPAN} AND o.hi <= tau) AS forced, count(*) FILTER (o.hi >= tau - {UNCERTAIN_SPAN} AND o.lo <= tau) AS allowed
+FROM (SELECT e.patient, e.event_id, unnest(list_distinct(list_value(e.lo, e.hi) || list_filter(flatten(list(list_value(o.lo, o.lo - 1, o.lo + {UNCERTAIN_SPAN}, o.lo + {UNCERTAIN_SPAN} + 1, o.hi, o.hi - 1, o.hi + 1, o.hi + {UNCERTAIN_SPAN}, o.hi + {UNCERTAIN_SPAN} + 1))), lambda x: x BETWEEN e.lo AND e.hi))) AS tau
+  FROM ev e LEFT JOIN ev o ON o.patient = e.patient AND o.kind = 'error' AND o.event_id <> e.event_id WHERE e.kind = 'error' GROUP BY e.patient, e.event_id, e.lo, e.hi) p
+LEFT JOIN ev o ON o.patient = p.patient AND o.kind = 'error' AND o.event_id <> p.event_id GROUP BY ALL) GROUP BY patient, event_id) c ON c.patient = e.patient AND c.event_id = e.event_id WHERE c.possible) x ON x.patient = w.patient GROUP BY w.patient, w_start, w_end)""")
+def two_pass_count(spark, d):
+    """A step that needs three errors within a day, uncertain: matched with the certain ones alone, then with the possible ones too."""
+    m = Model(spark, d, True)
+    tags = derived.counted_uncertain(m.events.filter("kind = 'error'"), 3, UNCERTAIN_SPAN).filter("possible")
+    tagged = m.events.join(tags, ["patient", "event_id"])
+    step = Pattern((Step("a", "error"),), scope="within")
+
+    def statuses(rows):
+        exact = plans.exact_patients(step, rows, m.closure, m.windows).withColumn("_x", F.lit(True))
+        return m.windows.join(exact, "patient", "left").select("patient", F.when(F.col("w_start").isNull(), "excluded").when(F.col("_x"), "exact").otherwise("none").alias("status"), F.lit(None).cast("string").alias("relaxations"))
+
+    return rules.two_passes(statuses(tagged.filter("certain")), statuses(tagged))
+
+
+@query(f"SELECT DISTINCT a.patient FROM ev a JOIN ev b ON a.patient = b.patient AND b.t - a.t >= {10 * DAY} WHERE a.kind = 'signup' AND b.kind = 'error' AND a.micro < 50000000 AND b.micro < 50000000")
+def unbounded_after(spark, d):
+    """A relation without an upper bound: extremes of each side decide, no pairs are made."""
+    m = Model(spark, d)
+    low = m.events.filter("micro < 50000000")
+    first = model.of_concept(low, m.closure, "signup").groupBy("patient").agg(F.min("hi").alias("a"))
+    last = model.of_concept(low, m.closure, "error").groupBy("patient").agg(F.max("lo").alias("b"))
+    return first.join(last, "patient").filter(F.col("b") - F.col("a") >= 10 * DAY).select("patient")
+
+
+EXEMPLAR = (48 * HOUR, 100_000_000, 6 * HOUR, 12 * HOUR)  #: baseline's reach, least rise, limit of the gap, extension
+
+
+@query(f"""SELECT patient, CASE WHEN min(cost) = 0 THEN 'exact' ELSE 'relaxed' END AS status, min(cost)::DECIMAL(18,6) AS cost FROM (
+SELECT f.patient, CASE WHEN x.kind = 'signup' THEN 0 ELSE 1 END + (greatest(0, f.t - x.t - {6 * HOUR})::DECIMAL(28,6) / {12 * HOUR} * 2)::DECIMAL(18,6) AS cost FROM (SELECT c.patient, c.t, c.micro, arg_min(v.micro, (v.micro, v.t, v.event_id)) AS base FROM ev c JOIN ev v ON v.patient = c.patient AND v.kind = 'view' AND v.t < c.t AND v.t >= c.t - {48 * HOUR} WHERE c.kind = 'click' GROUP BY c.patient, c.t, c.micro, c.event_id) f
+JOIN ev x ON x.patient = f.patient AND x.kind IN ('signup', 'error') AND x.t < f.t AND f.t - x.t <= {18 * HOUR} WHERE f.micro - base >= 100000000) GROUP BY patient""")
+def exemplar_priced(spark, d):
+    """A rise of a reading over its least baseline, after an exposure: the exposure's alternative costs one, a late one up to two."""
+    reach, rise, limit, extension = EXEMPLAR
+    rows = model.events(spark, d)
+    base = rows.filter("kind = 'view'").select("patient", F.col("event_id").alias("v_id"), F.col("lo").alias("v_t"), F.col("micro").alias("v_micro"))
+    click = rows.filter("kind = 'click'").select("patient", F.col("event_id").alias("c_id"), F.col("lo").alias("c_t"), F.col("micro").alias("c_micro"))
+    met = join_ranges(click, base, ["patient"], (F.col("c_t") - reach, F.col("c_t") - 1), (F.col("v_t"), F.col("v_t")), reach)
+    follow = met.groupBy("patient", "c_id", "c_t", "c_micro").agg(F.min(F.struct("v_micro", "v_t", "v_id")).alias("base")).filter(F.col("c_micro") - F.col("base.v_micro") >= rise)
+    exposure = rows.filter("kind IN ('signup', 'error')").select("patient", F.col("lo").alias("x_t"), "kind")
+    bound = join_ranges(follow, exposure, ["patient"], (F.col("c_t") - limit - extension, F.col("c_t") - 1), (F.col("x_t"), F.col("x_t")), limit + extension)
+    over = (F.greatest(F.col("c_t") - F.col("x_t") - limit, F.lit(0)).cast("decimal(28,6)") / F.lit(extension).cast("decimal(18,0)") * 2).cast("decimal(18,6)")
+    cost = F.when(F.col("kind") == "signup", 0).otherwise(1) + over
+    return bound.groupBy("patient").agg(F.min(cost).cast("decimal(18,6)").alias("cost")).select("patient", F.when(F.col("cost") == 0, "exact").otherwise("relaxed").alias("status"), "cost")
+
+
+@query("SELECT kind, count(*)::BIGINT AS n FROM ev WHERE kind NOT IN ('view') AND NOT (kind = 'error' AND micro < 100000000) GROUP BY kind")
+def coded_only(spark, d):
+    """Events without the kinds that a request excludes, before any step is bound."""
+    return model.events(spark, d).filter(~F.col("kind").isin("view") & ~((F.col("kind") == "error") & (F.col("micro") < 100_000_000))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
