@@ -23,6 +23,8 @@ def test_round_trip(spark):
     out = tokens.write(df, PATH, SEPARATOR, length=64, least_shards=5)
     rows = out.sequences.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert {r.shard for r in rows} <= set(range(5)) and len({r.shard for r in rows}) > 2
+    assert [r.shard for r in sorted(rows, key=lambda r: r.slot)] == sorted(r.shard for r in rows)
     found: dict = {}
     for r in rows:
         ids = next(tokens.records(out.folder, r.shard, 64, out.code, r.record))
@@ -50,5 +52,14 @@ def test_resumes_and_order_depends_on_key(spark):
     assert firsts[0] != firsts[1]
 
 
+def test_tiny_documents_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        out = tokens.write(docs(spark, ["a", "", "b c", "d"]), PATH, SEPARATOR, length=64, least_shards=4)
+        assert out.sequences.count() >= 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     assert tokens.read_back(tokens.write(docs(spark, []), PATH, SEPARATOR), SEPARATOR).count() == 0

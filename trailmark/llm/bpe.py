@@ -36,7 +36,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: Contractions that are tokens of their own (fixed values).
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 BLOCK = 512
-CACHE = 1 << 20
+CACHE = 1 << 18
 LONG_SLICE = 400
 
 

@@ -60,8 +60,10 @@ def permuted(numbers: np.ndarray, size: int, seed: int = SEED) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, text: str) -> DataFrame:
-    """number, payload (binary) and docs (doc, doc_start, start and n of each piece) for each sequence."""
+def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, text: str, seed: int, shards: int) -> DataFrame:
+    """shard (of shards), place in training order, payload (binary) and docs (doc, doc_start, start and n of each piece) for each sequence. One Python
+    step does it all: a second one would be a second worker beside each task's."""
+    size = 1 << (PLACE_BITS + TASK_BITS)
     rows, kind = bpe._rows(docs, key, text)
     vocabulary, code = bpe.shipped(docs.sparkSession, path), "<u2" if separator < 1 << 16 else "<u4"
     width = np.dtype(code).itemsize
@@ -84,7 +86,9 @@ def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, te
             made += count
             data = stream[: count * length].tobytes()
             payload = [data[i * length * width : (i + 1) * length * width] for i in range(count)]
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(payload, pa.binary()), pa.array(listed, piece_kind)], ["number", "payload", "docs"])
+            place = permuted(numbers, size, seed)
+            shard = (place // -(-size // shards)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), pa.array(payload, pa.binary()), pa.array(listed, piece_kind)], ["shard", "place", "payload", "docs"])
 
         for _, keys, ids, offsets in bpe.encoded(batches, vocabulary.value):
             piece_kind = pa.list_(pa.struct([("doc", keys.type), ("doc_start", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
@@ -103,7 +107,7 @@ def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, te
         if len(rest):
             yield sequences(np.append(rest, np.full(length - len(rest), separator, code)).astype(code), held)
 
-    return rows.mapInArrow(run, f"number bigint, payload binary, docs array<struct<doc: {kind}, doc_start: bigint, start: int, n: int>>")
+    return rows.mapInArrow(run, f"shard int, place bigint, payload binary, docs array<struct<doc: {kind}, doc_start: bigint, start: int, n: int>>")
 
 
 class Written(NamedTuple):
@@ -119,18 +123,8 @@ def write(docs: DataFrame, path: str, separator: int, folder: str | None = None,
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     bytes_ = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     count = max(least_shards, -(-bytes_ // shard_bytes))  # ids take about as many bytes as text
-    size = 1 << (PLACE_BITS + TASK_BITS)
-    sequences = packed(docs, path, separator, length, key, text)
-    code = "<u2" if separator < 1 << 16 else "<u4"
-
-    def ordered(batches):
-        for batch in batches:
-            place = permuted(np.asarray(column(batch, "number")), size, seed)
-            shard = (place // -(-size // count)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), column(batch, "payload"), column(batch, "docs")], ["shard", "place", "payload", "docs"])
-
-    pieces = sequences.schema["docs"].dataType.simpleString()
-    placed = sequences.mapInArrow(ordered, f"shard int, place bigint, payload binary, docs {pieces}")
+    placed = packed(docs, path, separator, length, key, text, seed, count)
+    code, pieces = "<u2" if separator < 1 << 16 else "<u4", placed.schema["docs"].dataType.simpleString()
     ranges = placed.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "place")
 
     def stored(batches):
