@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def occurrence(events: DataFrame, which: str = "first") -> DataFrame:
     """The first (last) event of each patient by the order of its ranges, and whether it is so in all worlds: every other event starts certainly
     later (earlier), or at the identical exact time."""
-    keys = ["lo", "hi", "end_lo", "end_hi", "event_id"] if which == "first" else [F.desc(c) for c in ("hi", "lo", "end_hi", "end_lo", "event_id")]
-    ranked = events.withColumn("_rank", F.row_number().over(Window.partitionBy("patient").orderBy(*keys)))
-    picked = ranked.filter("_rank = 1").select("patient", F.col("event_id").alias("picked"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    rest = ranked.filter("_rank > 1").select("patient", "lo", "hi")
+    keys = ("lo", "hi", "end_lo", "end_hi", "event_id") if which == "first" else ("hi", "lo", "end_hi", "end_lo", "event_id")
+    pick = F.min_by if which == "first" else F.max_by
+    best = events.groupBy("patient").agg(pick(F.struct("event_id", "lo", "hi"), F.struct(*keys)).alias("p"))  # combined before the shuffle: no history is one task
+    picked = best.select("patient", F.col("p.event_id").alias("picked"), F.col("p.lo").alias("p_lo"), F.col("p.hi").alias("p_hi"))
+    rest = events.select("patient", "event_id", "lo", "hi")
     test = (F.col("lo") > F.col("p_hi")) if which == "first" else (F.col("hi") < F.col("p_lo"))
     same = (F.col("lo") == F.col("hi")) & (F.col("p_lo") == F.col("p_hi")) & (F.col("lo") == F.col("p_lo"))
-    sure = rest.join(picked, "patient").groupBy("patient").agg(F.bool_and(test | same).alias("sure"))
+    sure = rest.join(picked, "patient").filter("event_id <> picked").groupBy("patient").agg(F.bool_and(test | same).alias("sure"))
     return picked.join(sure, "patient", "left").select("patient", "picked", "p_lo", "p_hi", F.coalesce("sure", F.lit(True)).alias("sure"))
 
 
