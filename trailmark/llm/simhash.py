@@ -62,7 +62,9 @@ def postings(distinct: DataFrame) -> DataFrame:
     """free (the two positions left out), bytes (the other six) and members of each posting with more than one fingerprint."""
     masks = [((1 << 64) - 1) ^ (0xFF << 8 * p) ^ (0xFF << 8 * q) for p, q in combinations(range(8), 2)]
     keyed = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("free"), F.col("fp").bitwiseAND(_signed(m)).alias("bytes")) for i, m in enumerate(masks)))
-    return distinct.select("fp", F.inline(keyed)).groupBy("free", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+    # few bytes become many rows here: dealt out by number, partitions aren't joined by their size before
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select("fp", F.inline(keyed)).groupBy("free", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
 
 
 def links(distinct: DataFrame) -> DataFrame:
