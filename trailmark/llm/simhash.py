@@ -121,4 +121,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """docs without the rows whose component has a smaller key, and one row of each key that is repeated. Rows without a key
     are kept where their component has no key."""
     found = classes(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates([key])
+    kept = docs.join(found, docs[key].eqNullSafe(found["_kept"]), "left_semi")
+    if not docs.groupBy(key).count().filter("count > 1").limit(1).count():  # keys alone are cheap to read, and whole rows dear to shuffle
+        return kept
+    return kept.dropDuplicates([key])
