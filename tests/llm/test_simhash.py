@@ -72,3 +72,11 @@ def test_keep_one(spark):
     df = docs(spark, [prose(1, 100), prose(1, 100), prose(2, 100), "<no id>"])
     df = df.unionByName(df.filter("doc_id = 0"))
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.keep_one(df).collect()) == [-1, 0, 2]
+
+
+def test_keep_one_of_null_ids_and_of_two_texts_under_one_id(spark):
+    a, b, c, d, e = (prose(i, 100) for i in range(20, 25))
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (5, c), (5, d), (5, d), (7, e), (7, a), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert sorted(map(key, simhash.keep_one(df).collect())) == sorted([(-1, b), (3, c), (5, d), (7, a), (7, e)])

@@ -118,10 +118,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller key, and one row of each key that is repeated. Rows without a key
-    are kept where their component has no key."""
-    found = classes(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    kept = docs.join(found, docs[key].eqNullSafe(found["_kept"]), "left_semi")
-    if not docs.groupBy(key).count().filter("count > 1").limit(1).count():  # keys alone are cheap to read, and whole rows dear to shuffle
+    """One row of each component: the one with the smallest key, null last, and of one key's texts that with the smallest hash. Of
+    rows with the same key and text any one is kept."""
+    row = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text"))
+    found = classes(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_row", "_text")
+    first = cut(found.filter("_row = component_id").groupBy(F.col("_row.key").alias("_kept"), F.col("_row.text").alias("_kept_text")).count())
+    kept = docs.join(first, docs[key].eqNullSafe(first["_kept"]) & (F.xxhash64(docs[text].cast("string")) == first["_kept_text"]), "left_semi")
+    if not first.filter("count > 1").limit(1).count():  # rows are thin here, and whole ones dear to shuffle
         return kept
-    return kept.dropDuplicates([key])
+    return kept.withColumn("_kept_text", F.xxhash64(F.col(text).cast("string"))).dropDuplicates([key, "_kept_text"]).drop("_kept_text")
