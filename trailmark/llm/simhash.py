@@ -15,6 +15,7 @@ id is its smallest non-null id; an empty table gives an empty table; further col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -117,11 +118,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.join(members.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest key, null last, and of one key's texts that with the smallest hash. Of
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped: Callable[[DataFrame, str, str], DataFrame] = classes) -> DataFrame:
+    """One row of each component that grouped() finds: the one with the smallest key, null last, and of one key's texts that with the smallest hash. Of
     rows with the same key and text any one is kept."""
     row = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"), F.xxhash64(F.col(text).cast("string")).alias("text"))
-    found = classes(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_row", "_text")
+    found = grouped(docs.select(row.alias("_row"), F.col(text).alias("_text")), "_row", "_text")
     first = cut(found.filter("_row = component_id").groupBy(F.col("_row.key").alias("_kept"), F.col("_row.text").alias("_kept_text")).count())
     kept = docs.join(first, docs[key].eqNullSafe(first["_kept"]) & (F.xxhash64(docs[text].cast("string")) == first["_kept_text"]), "left_semi")
     if not first.filter("count > 1").limit(1).count():  # rows are thin here, and whole ones dear to shuffle
