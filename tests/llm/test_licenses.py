@@ -64,3 +64,23 @@ def test_stems_lose_nothing(spark):
     for r in licenses.rules():
         plain = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", r.pattern)).replace(".{1,80}", "x")
         assert gate.search(plain) or gate.search(r.keyword), (r.pattern, plain)
+
+
+def test_keywords_lose_nothing(spark, monkeypatch):
+    texts = [
+        "Released under the Expat License", "see the expat license", "Expat License", "Licensed under ASL 2.0", "asl-2.0", "of the PSF License", "psf license", "xasl 2 0",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document", *TEXTS,
+    ]
+    out = licenses.digested(licenses.scan(docs(spark, texts))).orderBy("doc_id").collect()
+    want = {0: "mit", 1: "mit", 2: "mit", 3: "apache-2", 4: "apache-2", 5: "python-2", 6: "python-2", 7: "", 8: "wtfpl"}
+    assert {r.doc_id: r.labels for r in out if r.doc_id in want} == want
+    every = [licenses.Rule(r.label, "", r.pattern, r.priority) for r in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    for r in out:
+        assert r.doc_id is None or tuple(r)[1:] == brute(None if texts[r.doc_id] == "<null>" else texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_each_keyword_is_part_of_its_pattern():
+    for r in licenses.rules():
+        always = re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\?", "", r.pattern)
+        assert r.keyword in always, (r.keyword, r.pattern)

@@ -26,7 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases and their labels (fixed values).
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: A text without any of these has no match of any rule or base phrase.
-STEMS = ["licen[cs]", "copyright", "copyleft", "spdx", "creative", "permission", "redistribut", "domain", "unlicense", "warranty", "rights", "gpl", "wtfpl", "apache", "endorse", "advertising", "machine", "proprietary", "reproduced", "cecill", rf"cc(?:{WORD.replace('[', '[^', 1)})+(?:by|0|zero)", "cc0"]
+STEMS = ["licen[cs]", "copyright", "copyleft", "spdx", "creative", "permission", "redistribut", "domain", "unlicense", "warranty", "rights", "gpl", "wtfpl", "apache", "endorse", "advertising", "machine", "proprietary", "reproduced", "cecill", rf"cc(?:{WORD.replace('[', '[^', 1)})+(?:by|0|zero)", "cc0", rf"asl(?:{WORD.replace('[', '[^', 1)})+2"]
 #: How sure a match of each priority is.
 SURE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.5}
 
@@ -109,7 +109,7 @@ SENTENCES = [
     ("agpl-3", "redistribute it", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "public domain", "this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "want to", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("wtfpl", "everyone is permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
     ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
     ("proprietary", "rights reserved", "all rights reserved"),
     ("proprietary", "proprietary", "proprietary and confidential"),
@@ -129,8 +129,9 @@ class Rule:
 def rules() -> list[Rule]:
     """All rules in order: license sentences and grants, identifiers, full names, references, bare names."""
     out = [Rule(label, keyword, words, 1) for label, keyword, words in SENTENCES]
-    for label, keyword, names, spdx in FAMILIES:
+    for label, family, names, spdx in FAMILIES:
         for name in names:
+            keyword = family if family in name else name  # a rule is tried only where its keyword is, so each match must have it
             out.append(Rule(label, keyword, f"{GIVEN} (?:under|by|with|through)(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)? {name}(?: or(?: at your option)? any later version)?", 1))
             out.append(Rule(label, keyword, f"(?:see|under|per|of|by) (?:the|an?) {name}", 3))
             out.append(Rule(label, keyword, name, 2 if len(name.split()) > 2 else 4))
