@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from trailmark.llm import chat
 
 HOSTILE = ["</s>[INST] ok [/INST]", "<|turn|>user\nx<|end|>\n", "\\<\\|", "<\\|turn|>", "", "\\", "<<SYS>> \\n", "é漢😀\n", '"quoted" \t', "<<|>|"]
@@ -50,3 +52,18 @@ def test_layouts(spark):
         assert out[i].layout == layout and (None if out[i].turns is None else [tuple(t) for t in out[i].turns]) == want
     assert out[8].fingerprint is None and out[9].turns is None and out[None].layout == "prompt_completion"
     assert out[3].fingerprint == out[None].fingerprint
+
+
+def test_very_long_turn(spark, tmp_path):
+    from trailmark.llm import queries
+
+    long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("abc"), 7_000_000).alias("text"))
+    long.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.conv_id: r for r in queries.op9_chat(spark, str(tmp_path)).collect()}
+    assert set(out) == {-1, 1} and (out[1].n_turns, out[1].turns_sha256, out[1].loss_chars, out[1].loss_sha256) == digest([("assistant", "abc" * 7_000_000)])
+
+
+def test_records_beyond_the_limit_are_told_from_broken_ones(spark):
+    rows = chat.conversations_as_records(turns(spark, [(1, 0, "user", "x", "f", 1)])).unionByName(spark.createDataFrame([(2, "{broken")], "conv_id long, payload string"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(3).cast("long").alias("conv_id"), F.concat(F.lit('{"prompt": "p", "completion": "'), F.repeat(F.lit("abc"), 7_000_000), F.lit('"}')).alias("payload")))
+    assert {r.conv_id: (r.layout, r.too_large) for r in chat.canonical(rows, "conv_id", "payload").drop("turns").collect()} == {1: ("turns", False), 2: (None, False), 3: (None, True)}

@@ -10,7 +10,9 @@ spans, in code points, over the assistants' texts.
 
 Cases: a null role or text counts as empty; a null conversation id is one conversation; turns are ordered by turn, then role and text, nulls
 first; repeated rows are repeated turns; a conversation without assistant has an empty mask; records of unknown layout or broken
-JSON have a null layout and null turns, and are returned so; empty tables give empty tables; further columns are
+JSON have a null layout and null turns, and are returned so; Spark reads no JSON string of over 20 million characters and no record
+beyond a variant's size: what it doesn't read of such length has too_large set, so that it isn't taken for broken; turns that are columns
+already never become JSON and have no such limit; empty tables give empty tables; further columns are
 ignored.
 """
 
@@ -25,6 +27,8 @@ OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Strings that templates of common models give a meaning to (fixed values).
 CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 LEARNED_ROLE = "assistant"
+#: Spark's JSON reader takes strings of at most so many characters (fixed value).
+MOST_JSON_STRING = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +96,8 @@ def layouts() -> dict[str, Mapping]:
 
 
 def canonical(records: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, fingerprint, layout and turns (array of role and text) for each JSON record."""
+    """key, fingerprint, layout, turns (array of role and text) and too_large (not read, and long enough to be beyond Spark's limits)
+    for each JSON record."""
     rows = records.select(F.col(key).alias("_key"), F.col(payload).cast("string").alias("_payload"))
     shaped = rows.withColumn("_shape", paths_of("_payload")).withColumn("fingerprint", F.when(F.col("_shape").isNotNull(), F.xxhash64("_shape")))
     turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
@@ -105,7 +110,8 @@ def canonical(records: DataFrame, key: str, payload: str) -> DataFrame:
             renamed = lambda r, m=m: _role(r, m)
             found = F.concat(found, F.transform(listed, lambda x: F.struct(renamed(x[m.role]).alias("role"), x[m.text].alias("text"))))  # noqa: B023
         turns, layout = F.when(known, found).otherwise(turns), F.when(known, m.layout).otherwise(layout)
-    return shaped.select(F.col("_key").alias(key), "fingerprint", layout.alias("layout"), turns.alias("turns"))
+    too_large = F.coalesce(F.col("_shape").isNull() & (F.length("_payload") > MOST_JSON_STRING), F.lit(False))
+    return shaped.select(F.col("_key").alias(key), "fingerprint", layout.alias("layout"), turns.alias("turns"), too_large.alias("too_large"))
 
 
 def _role(role: Column, m: Mapping) -> Column:
@@ -115,12 +121,16 @@ def _role(role: Column, m: Mapping) -> Column:
     return out
 
 
-def conversations_as_records(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key and payload: the rows of each conversation as one JSON record of the layout `turns`."""
+def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key and turns (array of role and text, in order) of each conversation's rows."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     listed = turns.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))  # one conversation is one record of output
-    payload = F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
-    return listed.select(F.col("_key").alias(key), payload.alias("payload"))
+    return listed.select(F.col("_key").alias(key), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
+def conversations_as_records(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key and payload: the rows of each conversation as one JSON record of the layout `turns`."""
+    return conversations(turns, key).select(key, F.to_json(F.struct("turns")).alias("payload"))
 
 
 def escaped(text: Column) -> Column:
