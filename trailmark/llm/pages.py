@@ -1,23 +1,32 @@
-"""Main text of web pages by structure and nearest-URL differencing.
-
-A page becomes lines: one for each block, with the region it stands in. Pages of a host are put in the order of their URL paths;
-each is paired with the neighbour that shares the longer path prefix. The lines of a pair are aligned by longest common
-subsequence, and shared lines are deleted as template, unless the page itself marks them as its article: a paragraph that two
-articles share by chance, or a page published twice, must not lose text. Blocks of navigation, notices, adverts, forms and
-comments are no lines of the article whoever shares them.
-
-Pairing moves URLs and line hashes only. Hosts are cut into ranges by a range partitioning of host and path, so that a host with
-a third of all pages is many ranges; a page at a range's edge takes its neighbour from the table of edges.
-
-Cases: a null or empty page has no text; a null or broken URL is its own host; repeated rows and equal URLs are ordered by page
-id and are each other's neighbours; a page alone on its host has no pair and is judged by structure; very long pages are taken whole, and aligned by
-their hashes in blocks of MOST_LINES lines; an empty table gives an empty table; further columns are ignored.
+"""Main text of web pages by nearest-URL differencing and structure.
+
+A page becomes lines: one for each block, with the region it stands in and the path of its elements (tags, words of class and id).
+The different pages of a host are put in the order of their URL paths; each is paired with the neighbour that shares the longer
+path prefix, and the lines of a pair are aligned by longest common subsequence. Shared lines outside the article are template and
+are deleted. They also tell where the host's template is: an element path outside articles on which lines are shared is template on
+the whole host, and so is a path of pages without a marked article where at least TEMPLATE_PERCENT of the lines are shared; all
+lines on such a path are deleted, also those that change from page to page. What a page marks as its article is never deleted as
+shared: two articles share a paragraph by chance. What then remains outside a marked article, and what tags or names call a menu,
+notice, advert, form or comment, goes by structure.
+
+Each page is parsed once, into a table in the shared folder. Pairing moves line hashes only. Hosts are cut into ranges by a range
+partitioning of host and path, so that a host with a third of all pages is many ranges; a page at a range's edge takes its
+neighbour from the table of edges.
+
+Cases: a null or empty page has no text; a page with a null or empty URL has no host and is judged by structure, as is a page alone on its
+host; a URL without host is its own host; pages of one host with equal lines are one page to pairing, at the least of their URLs, so
+that a page published twice isn't its own template; repeated rows are each answered; very long and very deep pages are taken whole; an empty
+table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import column, cut, text_column
+from trailmark.llm.common import column, cut, staged, text_column
 
 #: Elements that begin and end a block (fixed values).
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()) - {"br"}
@@ -41,10 +50,16 @@ ROLES = {"banner", "navigation", "complementary", "contentinfo", "search", "form
 INSIDE = {"article", "main"}
 #: Tags that end an open paragraph (fixed values).
 END_PARAGRAPH = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Elements that implied end tags close, and the elements that keep them open (fixed values).
+IMPLIED = {"p": {"article", "main", "body", "div", "section", "td", "th", "li", "blockquote", "button"}, "li": {"ul", "ol", "menu"}}
+SCOPES = {*IMPLIED, *set().union(*IMPLIED.values())}
 DROPPED, OPEN, ARTICLE = 0, 1, 2
-MOST_LINES = 400
-#: Bytes of deletions that are broadcast at most.
+#: The share of a path's lines that must be shared where no article is marked.
+TEMPLATE_PERCENT = 80
+#: Bytes of deletions, or of template paths, that are broadcast at most.
 MOST_BROADCAST = 8 << 20
+#: Bits of the table of an alignment that is kept at once; longer pages are halved.
+MOST_BITS = 1 << 26
 
 
 #: Text, or markup: comments, declarations, processing instructions, tags with their attributes.
@@ -54,13 +69,22 @@ ATTRIBUTE = re.compile(r"""([^\s=\"'/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 RAW = set("script style textarea title".split())
 
 
+class Element(NamedTuple):
+    tag: str
+    region: int
+    silent: bool
+    path: int  #: a hash of the block elements from the root down to here
+    open: dict[str, int]  #: for p and li: the place of the one that an implied end tag would close here
+
+
 class Blocks:
-    """Collects (region, text) of each block, in page order."""
+    """Collects (region, path, text) of each block, in page order."""
 
     def __init__(self):
-        self.lines: list[tuple[int, str]] = []
+        self.lines: list[tuple[int, int, str]] = []
         self.parts: list[str] = []
-        self.stack: list[tuple[str, int, bool]] = [("", OPEN, False)]
+        self.stack: list[Element] = [Element("", OPEN, False, 0, {})]
+        self.counts: Counter[str] = Counter()
 
     def feed(self, html: str) -> None:
         at, end = 0, len(html)
@@ -68,7 +92,7 @@ class Blocks:
             m = TOKEN.match(html, at)
             at = m.end()
             if (data := m[1]) is not None:
-                if not self.stack[-1][2]:
+                if not self.stack[-1].silent:
                     self.parts.append(unescape(data) if "&" in data else data)
             elif (name := m[3]) is not None:
                 tag = name.lower()
@@ -82,7 +106,7 @@ class Blocks:
                         self.parts.append(html[at : close.start()])
                     at = close.end() if close else end
                     self.end_tag(tag)
-            elif m[0] == "<" and not self.stack[-1][2]:
+            elif m[0] == "<" and not self.stack[-1].silent:
                 self.parts.append("<")
         self.end_block()
 
@@ -91,21 +115,22 @@ class Blocks:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((self.stack[-1][1], text))
+                self.lines.append((self.stack[-1].region, self.stack[-1].path, text))
 
     def start_tag(self, tag: str, rest: str) -> None:
         if tag in END_PARAGRAPH:
-            self.end_open("p", {"article", "main", "body", "div", "section", "td", "th", "li", "blockquote", "button"})
+            self.end_open("p")
         if tag == "li":
-            self.end_open("li", {"ul", "ol", "menu"})
-        if tag in BLOCKS or tag in OUTSIDE:
+            self.end_open("li")
+        block = tag in BLOCKS or tag in OUTSIDE
+        if block:
             self.end_block()
         if tag == "br":
             self.parts.append(" ")
-        if tag in VOID or len(self.stack) >= 2000:  # deeper elements belong to the last one that is counted
+        if tag in VOID:
             return
-        region, silent = self.stack[-1][1:]
-        named, role, hidden = set(), "", False
+        above = self.stack[-1]
+        region, named, role, hidden = above.region, set(), "", False
         if rest.strip():
             for key, *values in ATTRIBUTE.findall(rest):
                 key, value = key.lower(), "".join(values).lower()
@@ -118,110 +143,143 @@ class Blocks:
             region = ARTICLE
         elif (tag in OUTSIDE or named & OUTSIDE_WORDS or role in ROLES or hidden) and tag not in ("html", "body"):
             region = DROPPED
-        self.stack.append((tag, region, silent or tag in SILENT))
-
-    def end_open(self, tag: str, until: set[str]) -> None:
-        """Ends the innermost open `tag`, unless an element of `until` is within it."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                self.end_block()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in until:
-                return
+        open_ = {t: len(self.stack) if t == tag else above.open.get(t, 0) for t, until in IMPLIED.items() if t == tag or tag not in until} if tag in SCOPES else above.open
+        self.stack.append(Element(tag, region, above.silent or tag in SILENT, path_hash(above.path, tag, frozenset(named)) if block else above.path, open_))
+        self.counts[tag] += 1
+
+    def pop(self, at: int) -> None:
+        """Ends all elements from a place of the stack on."""
+        for e in self.stack[at:]:
+            self.counts[e.tag] -= 1
+        del self.stack[at:]
+
+    def end_open(self, tag: str) -> None:
+        """Ends the innermost open `tag`, unless it is outside of an element that keeps it open."""
+        if at := self.stack[-1].open.get(tag, 0):
+            self.end_block()
+            self.pop(at)
 
     def end_tag(self, tag: str) -> None:
         if tag in BLOCKS or tag in OUTSIDE:
             self.end_block()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                if any(t in BLOCKS for t, *_ in self.stack[i + 1 :]):
-                    self.end_block()
-                del self.stack[i:]
-                return
+        if not self.counts[tag]:
+            return
+        at = next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag)
+        if any(e.tag in BLOCKS for e in self.stack[at + 1 :]):
+            self.end_block()
+        self.pop(at)
+
 
+@lru_cache(1 << 16)
+def path_hash(above: int, tag: str, named: frozenset[str]) -> int:
+    return xxhash.xxh64_intdigest(f"{above} {tag} {' '.join(sorted(named - {''}))}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
-def blocks(html: str) -> list[tuple[int, str]]:
-    """(region, text) of each block. Where the page marks an article, blocks that stand outside it are dropped."""
+
+def blocks(html: str) -> list[tuple[int, int, str]]:
+    """(region, path, text) of each block. Where the page marks an article, blocks that stand outside it are dropped."""
     parser = Blocks()
     parser.feed(html)
-    marked = any(r == ARTICLE for r, _ in parser.lines)
-    return [(DROPPED if marked and r == OPEN else r, t) for r, t in parser.lines]
+    marked = any(r == ARTICLE for r, *_ in parser.lines)
+    return [(DROPPED if marked and r == OPEN else r, p, t) for r, p, t in parser.lines]
+
+
+def _rows_of(own: list[int], places: dict[int, int], width: int) -> Iterator[int]:
+    """For each line of `own` the bit vector of the places where the common subsequence with the lines so far doesn't grow (bit-parallel)."""
+    full = (1 << width) - 1
+    v = full
+    for h in own:
+        u = v & places.get(h, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
 
 
-def text_of(lines: list[tuple[int, str]], deleted: set[int]) -> str:
-    """The blocks of the article, and those outside regions that aren't deleted as shared."""
-    return "\n".join(t for i, (r, t) in enumerate(lines) if r == ARTICLE or (r == OPEN and i not in deleted))
+def _places(other: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for j, h in enumerate(other):
+        out[h] = out.get(h, 0) | 1 << j
+    return out
+
+
+def _lengths(own: list[int], other: list[int]) -> np.ndarray:
+    """The longest common subsequence of all of `own` with each prefix of `other`."""
+    v = (1 << len(other)) - 1
+    for v in _rows_of(own, _places(other), len(other)):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)]
+    return np.append(0, np.cumsum(bits == 0))
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[int]:
-    """Which lines of `own` are in a longest common subsequence with `other`."""
-    out = []
-    for a in range(0, len(own), MOST_LINES):
-        x, y = own[a : a + MOST_LINES], other[a : a + MOST_LINES]
+    """Which lines of `own` are in a longest common subsequence with `other`. Common heads and tails are cut off, lines that the other side
+    lacks are left out, and long rests are halved, so that memory stays bounded."""
+    out, todo = [], [(own, other, list(range(len(own))))]
+    while todo:
+        x, y, at = todo.pop()
         head = 0
         while head < min(len(x), len(y)) and x[head] == y[head]:
             head += 1
         tail = 0
         while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
             tail += 1
-        mine, theirs = x[head : len(x) - tail], y[head : len(y) - tail]
-        lengths = np.zeros((len(mine) + 1, len(theirs) + 1), np.int32)
-        if common := set(mine) & set(theirs):
-            other_ = np.array(theirs, np.int64)
-            for i, h in enumerate(mine, 1):
-                row = lengths[i - 1].copy()
-                if h in common:
-                    row[1:] = np.maximum(row[1:], np.where(other_ == h, lengths[i - 1][:-1] + 1, 0))
-                lengths[i] = np.maximum.accumulate(row)
-        i, j, middle = len(mine), len(theirs), []
-        while i and j and lengths[i, j]:
-            if lengths[i, j] == lengths[i - 1, j]:
-                i -= 1
-            elif lengths[i, j] == lengths[i, j - 1]:
+        out += at[:head] + at[len(x) - tail :]
+        both = set(x[head : len(x) - tail]) & set(y[head : len(y) - tail])
+        inner = [(h, i) for h, i in zip(x[head : len(x) - tail], at[head : len(x) - tail], strict=True) if h in both]
+        x, at, y = [h for h, _ in inner], [i for _, i in inner], [h for h in y[head : len(y) - tail] if h in both]
+        if len(x) > 1 and len(x) * len(y) > MOST_BITS:
+            half = len(x) // 2
+            cut_ = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(x[:half], y[:cut_], at[:half]), (x[half:], y[cut_:], at[half:])]
+            continue
+        kept = [*_rows_of(x, _places(y), len(y))]
+        i, j = len(x) - 1, len(y) - 1
+        while i >= 0 and j >= 0:
+            if kept[i] >> j & 1:  # nothing ends at this place of y
                 j -= 1
+            elif i and not kept[i - 1] >> j & 1:  # it is reached without this line
+                i -= 1
             else:
+                out.append(at[i])
                 i, j = i - 1, j - 1
-                middle.append(i)
-        out += [a + k for k in (*range(head), *(head + k for k in reversed(middle)), *range(len(x) - tail, len(x)))]
-    return out
+    return sorted(out)
 
 
-def hashed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """key, host, path, html's hash, the hashes of the page's lines, and the numbers of those that may be deleted."""
-    rows = pages.select(F.col(key).alias("key"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """key, url, host, path (of the URL), content (a hash of the page's lines), texts, lines (hashes), regions and paths of each page."""
+    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
 
     def run(batches):
         for batch in batches:
-            hashes, open_ = [], []
-            for x in text_column(batch, "html").to_pylist():
-                found = blocks(x)
-                hashes.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for _, t in found])
-                open_.append([i for i, (r, _) in enumerate(found) if r == OPEN])
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("key", "url", "digest")), pa.array(hashes, pa.list_(pa.int64())), pa.array(open_, pa.list_(pa.int32()))], ["key", "url", "digest", "lines", "open"])
+            found = [blocks(x) for x in text_column(batch, "html").to_pylist()]
+            lines = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for *_, t in page] for page in found]
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "key"), column(batch, "url"), pa.array([[t for *_, t in page] for page in found], pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int64())), pa.array([[r for r, *_ in page] for page in found], pa.list_(pa.int32())), pa.array([[p for _, p, _ in page] for page in found], pa.list_(pa.int64()))],
+                ["key", "url", "texts", "lines", "regions", "paths"],
+            )
 
     kind = rows.schema["key"].dataType.simpleString()
-    lined = rows.withColumn("digest", F.xxhash64("html")).mapInArrow(run, f"key {kind}, url string, digest bigint, lines array<bigint>, open array<int>")
+    out = rows.mapInArrow(run, f"key {kind}, url string, texts array<string>, lines array<bigint>, regions array<int>, paths array<bigint>")
     host = F.lower(F.regexp_extract("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1))
     path = F.regexp_replace("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*", "")
-    return lined.select("key", F.when(host == "", F.col("url")).otherwise(host).alias("host"), path.alias("path"), "digest", "lines", "open")
+    return out.select("key", "url", F.when(host != "", host).when(F.col("url") != "", F.col("url")).alias("host"), path.alias("path"), F.xxhash64("lines", "regions", "paths").alias("content"), "texts", "lines", "regions", "paths")
 
 
 def paired(rows: DataFrame) -> DataFrame:
-    """The rows of hashed() with `other`: the lines of the neighbour on the host with the longer common path prefix."""
-    ranged = cut(rows.repartitionByRange("host", "path", "key", "digest").sortWithinPartitions("host", "path", "key", "digest").withColumn("part", F.spark_partition_id()))
+    """The different contents of each host, with before and after: URL path and lines of the neighbours there."""
+    first = lambda c: F.first(c).alias(c)
+    distinct = rows.filter("host IS NOT NULL").groupBy("host", "content").agg(F.min("path").alias("path"), first("lines"), first("regions"), first("paths"))
+    ranged = cut(distinct.repartitionByRange("host", "path", "content").sortWithinPartitions("host", "path", "content").withColumn("part", F.spark_partition_id()))
     near = F.struct("host", "path", "lines")
-    order = Window.partitionBy("part").orderBy("host", "path", "key", "digest")
-    edges = ranged.groupBy("part").agg(F.min_by(near, F.struct("host", "path", "key", "digest")).alias("first"), F.max_by(near, F.struct("host", "path", "key", "digest")).alias("last"))
+    order = Window.partitionBy("part").orderBy("host", "path", "content")
+    edges = ranged.groupBy("part").agg(F.min_by(near, F.struct("host", "path", "content")).alias("first"), F.max_by(near, F.struct("host", "path", "content")).alias("last"))
     across = Window.orderBy("part")  # one row for each range
     edges = edges.select("part", F.lag("last").over(across).alias("before_part"), F.lead("first").over(across).alias("after_part"))
     both = ranged.withColumn("before", F.lag(near).over(order)).withColumn("after", F.lead(near).over(order)).join(F.broadcast(edges), "part")
     sides = [F.coalesce("before", "before_part"), F.coalesce("after", "after_part")]
-    return both.select("key", "digest", "host", "path", "lines", "open", *(F.when(s["host"] == F.col("host"), F.struct(s["path"].alias("path"), s["lines"].alias("lines"))).alias(n) for s, n in zip(sides, ("before", "after"), strict=True)))
+    return both.select("host", "content", "path", "lines", "regions", "paths", *(F.when(s["host"] == F.col("host"), F.struct(s["path"].alias("path"), s["lines"].alias("lines"))).alias(n) for s, n in zip(sides, ("before", "after"), strict=True)))
 
 
 def differenced(pairs: DataFrame) -> DataFrame:
-    """key, digest and shared: the numbers of the lines that the page shares with its neighbour and that may be deleted; pages with some only."""
+    """host, content, regions, paths and shared: the numbers of the lines outside articles that the page shares with its neighbour."""
 
     def prefix(a: str, b: str) -> int:
         return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
@@ -229,29 +287,39 @@ def differenced(pairs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for path, lines, open_, *sides in zip(*(column(batch, c).to_pylist() for c in ("path", "lines", "open", "before", "after")), strict=True):
+            for path, lines, regions, *sides in zip(*(column(batch, c).to_pylist() for c in ("path", "lines", "regions", "before", "after")), strict=True):
                 best = max((s for s in sides if s), key=lambda s: prefix(path, s["path"]), default=None)
-                out.append(sorted(set(open_).intersection(shared_lines(lines, best["lines"]))) if best else [])
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "digest"), pa.array(out, pa.list_(pa.int32()))], ["key", "digest", "shared"])
+                out.append([i for i in shared_lines(lines, best["lines"]) if regions[i] != ARTICLE] if best else [])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(out, pa.list_(pa.int32()))], [*kept, "shared"])
 
-    kind = pairs.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"key {kind}, digest bigint, shared array<int>").filter(F.size("shared") > 0)
+    kept = ("host", "content", "regions", "paths")
+    return pairs.mapInArrow(run, "host string, content bigint, regions array<int>, paths array<bigint>, shared array<int>")
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """key, url and text of each page."""
-    found = differenced(paired(hashed(pages, key, url, html)))
-    once = cut(found.groupBy(F.col("key").alias("_key"), "digest").agg(F.min("shared").alias("shared")))  # equal rows have equal text
-    # a table of deletions that is known to be small spares the pages a shuffle; a larger one is joined by key
-    size = once.agg(F.sum(24 + 4 * F.size("shared"))).first()[0] or 0
-    once = F.broadcast(once) if size <= MOST_BROADCAST else once
-    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(html, F.lit("")).alias("html")).withColumn("digest", F.xxhash64("html"))
-    joined = rows.join(once, rows["key"].eqNullSafe(once["_key"]) & (rows["digest"] == once["digest"]), "left").select("key", "url", "html", "shared")
+def template(found: DataFrame) -> DataFrame:
+    """host and template: the element paths of the host that its shared lines tell to be template."""
+    lines = found.select("host", "shared", F.posexplode(F.arrays_zip("regions", "paths")).alias("i", "at")).filter(F.col("at.regions") != ARTICLE)
+    counts = lines.groupBy("host", F.col("at.paths").alias("path")).agg(F.count("*").alias("n"), F.count_if(F.array_contains("shared", F.col("i"))).alias("n_shared"), F.max("at.regions").alias("region"))
+    marked = counts.filter((F.col("n_shared") > 0) & ((F.col("region") == DROPPED) | (100 * F.col("n_shared") >= TEMPLATE_PERCENT * F.col("n"))))
+    return marked.groupBy("host").agg(F.collect_list("path").alias("template"))  # as many as the host's pages have kinds of elements
 
-    def run(batches):
-        for batch in batches:
-            texts = [text_of(blocks(x), set(s or ())) for x, s in zip(text_column(batch, "html").to_pylist(), column(batch, "shared").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "url"), pa.array(texts, pa.string())], ["key", "url", "text"])
 
-    kind = rows.schema["key"].dataType.simpleString()
-    return joined.mapInArrow(run, f"key {kind}, url string, text string").select(F.col("key").alias(key), "url", "text")
+def deletions(rows: DataFrame) -> DataFrame:
+    """rows of parsed() with shared (numbers of lines) and template (element paths), null where differencing found none."""
+    found = cut(differenced(paired(rows)))
+    marks = cut(template(found))
+    once = found.filter(F.size("shared") > 0).select("host", "content", "shared")
+    # tables that are known to be small spare the pages a shuffle; larger ones are joined by key
+    small = lambda df, c: F.broadcast(df) if (df.agg(F.sum(64 + F.octet_length("host") + 8 * F.size(c))).first()[0] or 0) <= MOST_BROADCAST else df
+    return rows.join(small(once, "shared"), ["host", "content"], "left").join(small(marks, "template"), "host", "left")
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """key, url and text of each page; n_template and n_structure count the lines that differencing, and after it structure alone, delete."""
+    rows = deletions(staged(parsed(pages, key, url, html), "pages", compression="zstd"))
+    lines = F.arrays_zip("texts", "regions", "paths")
+    number = lambda x, i: F.struct(x["texts"].alias("text"), x["regions"].alias("region"), ((x["regions"] != ARTICLE) & (F.coalesce(F.array_contains("shared", i), F.lit(False)) | F.coalesce(F.array_contains("template", x["paths"]), F.lit(False)))).alias("template"))
+    judged = rows.select("key", "url", F.transform(lines, number).alias("lines"))
+    text = F.array_join(F.transform(F.filter("lines", lambda x: ~x["template"] & (x["region"] != DROPPED)), lambda x: x["text"]), "\n")
+    count = lambda test: F.size(F.filter("lines", test)).cast("long")
+    return judged.select(F.col("key").alias(key), "url", text.alias("text"), count(lambda x: x["template"]).alias("n_template"), count(lambda x: ~x["template"] & (x["region"] == DROPPED)).alias("n_structure"))
