@@ -1,12 +1,13 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A fingerprint is eight bytes. Fingerprints that differ in at most two bits share at least six of their eight positional bytes:
-the guaranteed minimum. A posting is keyed by six positions and their bytes, so that whatever meets in one has reached that
-minimum; there are 28 choices of six positions. In a posting of few members each pair is tallied over all its postings (one
-means six shared bytes, seven mean seven) and verified by the bits of the difference. A posting of many members (at most 65,536
-distinct fingerprints, since only two bytes are free) emits no pairs: its members send themselves to the fingerprints one bit
-away, and two members at most two bits apart are just those that meet at such a centre. Only distinct fingerprints are
-indexed, so copies of a text cost one row. Linked fingerprints then become components by star contraction.
+the guaranteed minimum. Postings are keyed by KEYED positions and their bytes, since single bytes would put every 256th fingerprint
+into one. A pair that shares s positional bytes meets in C(s, KEYED) postings, so counting a pair's postings counts its shared
+bytes; pairs that reach the count of the guaranteed minimum are retained and verified by the bits of the difference. A posting of
+many members emits no pairs: its members send themselves to the fingerprints one bit away, and two members at most two bits apart
+are just those that meet at such a centre. (A pair within two bits either meets in small postings only, and is counted in full, or
+has both its members in a large one.) Only distinct fingerprints are indexed, so copies of a text cost one row. Linked fingerprints
+then become components by star contraction.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; fewer than three words
 make one shingle; repeated rows and tied documents share a fingerprint and a component; a null id takes part, but a component's
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import column, cut, text_column
 
 SHINGLE, SEED, MOST_BITS, SMALL_POSTING = 3, 42, 2, 16
+#: Positions that key a posting, and the postings in which fingerprints of the guaranteed minimum of shared bytes meet.
+KEYED = 5
+LEAST_POSTINGS = comb(8 - MOST_BITS, KEYED)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -60,12 +65,12 @@ def _signed(value: int) -> Column:
 
 
 def postings(distinct: DataFrame) -> DataFrame:
-    """free (the two positions left out), bytes (the other six) and members of each posting with more than one fingerprint."""
-    masks = [((1 << 64) - 1) ^ (0xFF << 8 * p) ^ (0xFF << 8 * q) for p, q in combinations(range(8), 2)]
-    keyed = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("free"), F.col("fp").bitwiseAND(_signed(m)).alias("bytes")) for i, m in enumerate(masks)))
+    """positions (a number for each choice), bytes (those there) and members of each posting with more than one fingerprint."""
+    masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), KEYED)]
+    keyed = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(_signed(m)).alias("bytes")) for i, m in enumerate(masks)))
     # few bytes become many rows here: dealt out by number, partitions aren't joined by their size before
     spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread.select("fp", F.inline(keyed)).groupBy("free", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+    return spread.select("fp", F.inline(keyed)).groupBy("positions", "bytes").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     few = found.filter(F.size("members") <= SMALL_POSTING).select(F.inline(pairs))
     tallied = few.groupBy("a", "b").agg(F.count("*").alias("shared_postings"))
-    verified = tallied.filter((F.col("shared_postings") >= 1) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b")
+    verified = tallied.filter((F.col("shared_postings") >= LEAST_POSTINGS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b")
     many = found.filter(F.size("members") > SMALL_POSTING).select(F.explode("members").alias("fp")).distinct()
     centres = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(_signed(1 << i)) for i in range(64)))
     met = many.select("fp", F.explode(centres).alias("centre")).groupBy("centre").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("near"))
