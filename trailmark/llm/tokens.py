@@ -1,17 +1,16 @@
 """Token ids in training order, as fixed-stride binary shards.
 
-Documents are encoded and packed: a document's ids, then one separator, are appended to the task's stream, which is cut every
-`length` ids; the last sequence of a task is filled up with separators. A sequence's number is its task's number and its place
-there; a keyed Feistel permutation of all such numbers, cycle-walking back into the range, gives its place in training order.
-The order's range is cut into equal parts, one for each shard. Shards are sorted and written as records of `length` little-endian
-unsigned integers of 16 bits (32 for larger vocabularies), so that any slot's bytes are at a known offset: reading is sequential and
-can go on from any slot. A sequence's slot is its shard's first slot (a sum over shards) plus its record's number.
+Documents are encoded once and packed: a document's ids, then one separator, are appended to the task's stream, which is cut every
+`length` ids; the last sequence of a task is filled up with separators. The packed sequences are written to the shared folder, so
+that their tasks and places there are fixed whatever is lost or run again, and are counted. A sequence's number is its task's first
+number (a prefix sum over tasks) plus its place; a keyed Feistel permutation of 0 .. n - 1, cycle-walking back into that range,
+turns numbers into global slots. Slots are cut into equal ranges, one for each shard. A shard is written as records of `length`
+little-endian unsigned integers of 16 bits (32 for larger vocabularies), and the record of a slot is the slot less the shard's
+first, so that any slot's bytes are at a known offset: reading is sequential and can go on from any slot.
 
-The numbers are sparse in their range, so that the sequences needn't be counted before they are encoded: text is read and encoded
-once, and only the payload is shuffled, once.
+Slots depend on the seed and the numbers of the sequences alone; which ids a sequence has depends on how the input is split into tasks.
 
-A shard is written under a name of its attempt and then renamed, so that tasks may be lost, repeated or run twice. The input must be a
-table or a checkpoint, whose tasks see the same rows in the same order whenever they run.
+A shard is written under a name of its attempt and then renamed, so that tasks may be lost, repeated or run twice.
 
 Cases: a null or empty text is one separator; repeated rows are each written; very long texts run over as many sequences as they
 need; an empty table writes no records; a null id is listed as null; further columns are ignored.
@@ -26,17 +25,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe
-from trailmark.llm.common import column, cut, shared_dir
+from trailmark.llm.common import column, cut, shared_dir, staged
 
 LENGTH, SHARD_BYTES, LEAST_SHARDS, SEED, ROUNDS = 2048, 64 << 20, 48, 20_240_229, 6
-#: Room for the sequences of one task, and for tasks.
-PLACE_BITS, TASK_BITS = 36, 22
 
 
 def permuted(numbers: np.ndarray, size: int, seed: int = SEED) -> np.ndarray:
@@ -60,10 +58,9 @@ def permuted(numbers: np.ndarray, size: int, seed: int = SEED) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, text: str, seed: int, shards: int) -> DataFrame:
-    """shard (of shards), place in training order, payload (binary) and docs (doc, doc_start, start and n of each piece) for each sequence. One Python
-    step does it all: a second one would be a second worker beside each task's."""
-    size = 1 << (PLACE_BITS + TASK_BITS)
+def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, text: str) -> DataFrame:
+    """task, place (of the sequence in its task), payload (binary) and docs (doc, doc_start, start and n of each piece) for each sequence. One
+    Python step does it all: a second one would be a second worker beside each task's."""
     rows, kind = bpe._rows(docs, key, text)
     vocabulary, code = bpe.shipped(docs.sparkSession, path), "<u2" if separator < 1 << 16 else "<u4"
     width = np.dtype(code).itemsize
@@ -82,13 +79,11 @@ def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, te
                     here = min(n, length - start % length)
                     listed[start // length].append({"doc": k, "doc_start": doc_start, "start": start % length, "n": here})
                     doc_start, start, n = doc_start + here, start + here, n - here
-            numbers = (task << PLACE_BITS) + made + np.arange(count)
+            places = made + np.arange(count)
             made += count
             data = stream[: count * length].tobytes()
             payload = [data[i * length * width : (i + 1) * length * width] for i in range(count)]
-            place = permuted(numbers, size, seed)
-            shard = (place // -(-size // shards)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), pa.array(payload, pa.binary()), pa.array(listed, piece_kind)], ["shard", "place", "payload", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(count, task, np.int32)), pa.array(places), pa.array(payload, pa.binary()), pa.array(listed, piece_kind)], ["task", "place", "payload", "docs"])
 
         for _, keys, ids, offsets in bpe.encoded(batches, vocabulary.value):
             piece_kind = pa.list_(pa.struct([("doc", keys.type), ("doc_start", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
@@ -107,7 +102,25 @@ def packed(docs: DataFrame, path: str, separator: int, length: int, key: str, te
         if len(rest):
             yield sequences(np.append(rest, np.full(length - len(rest), separator, code)).astype(code), held)
 
-    return rows.mapInArrow(run, f"shard int, place bigint, payload binary, docs array<struct<doc: {kind}, doc_start: bigint, start: int, n: int>>")
+    return rows.mapInArrow(run, f"task int, place bigint, payload binary, docs array<struct<doc: {kind}, doc_start: bigint, start: int, n: int>>")
+
+
+def slotted(sequences: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """The rows of packed(), which must be a written table, with their global slot and with compressed payloads; and how many there are."""
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    counts = cut(sequences.groupBy("task").agg(F.count("*").alias("n")))
+    size = counts.agg(F.sum("n")).first()[0] or 0
+    firsts = counts.select("task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = sequences.join(F.broadcast(firsts), "task").select((F.col("first") + F.col("place")).alias("number"), "payload", "docs")
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor()
+        for batch in batches:
+            slots = permuted(np.asarray(column(batch, "number")), size, seed)
+            payload = [squeeze.compress(x.as_buffer()) for x in column(batch, "payload")]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(payload, pa.binary()), column(batch, "docs")], ["slot", "payload", "docs"])
+
+    return numbered.mapInArrow(run, f"slot bigint, payload binary, docs {numbered.schema['docs'].dataType.simpleString()}"), size
 
 
 class Written(NamedTuple):
@@ -121,15 +134,17 @@ def write(docs: DataFrame, path: str, separator: int, folder: str | None = None,
     """Writes all documents' ids to shards in `folder` (of the shared folder where it isn't given)."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    bytes_ = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    count = max(least_shards, -(-bytes_ // shard_bytes))  # ids take about as many bytes as text
-    placed = packed(docs, path, separator, length, key, text, seed, count)
-    code, pieces = "<u2" if separator < 1 << 16 else "<u4", placed.schema["docs"].dataType.simpleString()
-    ranges = placed.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "place")
+    code = "<u2" if separator < 1 << 16 else "<u4"
+    placed, size = slotted(staged(packed(docs, path, separator, length, key, text), "sequences", compression="zstd"), seed)
+    count = max(1, min(size, max(least_shards, -(-size * length * np.dtype(code).itemsize // shard_bytes))))
+    per = max(1, -(-size // count))  # slots of each shard
+    ranges = placed.withColumn("shard", F.expr(f"slot div {per}").cast("int")).repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "slot")
+    pieces = placed.schema["docs"].dataType.simpleString()
 
     def stored(batches):
         context, out, name, shard, record = TaskContext.get(), None, None, None, 0
         store, root = fs.FileSystem.from_uri(folder)
+        expand = zstandard.ZstdDecompressor()
 
         def close():
             if out is not None:
@@ -137,25 +152,22 @@ def write(docs: DataFrame, path: str, separator: int, folder: str | None = None,
                 store.move(name, shard_file(root, shard))
 
         for batch in batches:
-            shards, records = column(batch, "shard").to_pylist(), []
-            for own, payload in zip(shards, column(batch, "payload"), strict=True):
+            for own, slot, payload in zip(column(batch, "shard").to_pylist(), column(batch, "slot").to_pylist(), column(batch, "payload"), strict=True):
                 if own != shard:
                     close()
                     shard, record = own, 0
                     store.create_dir(root, recursive=True)
                     name = f"{shard_file(root, shard)}.{context.taskAttemptId()}"
                     out = store.open_output_stream(name)
-                out.write(payload.as_buffer())
-                records.append(record)
+                if slot != own * per + record:
+                    raise ValueError(f"slot {slot} isn't record {record} of shard {own}")
+                out.write(expand.decompress(payload.as_buffer()))
                 record += 1
-            yield pa.RecordBatch.from_arrays([column(batch, "shard"), pa.array(records, pa.int64()), column(batch, "docs")], ["shard", "record", "docs"])
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("slot", "shard", "docs")], ["slot", "shard", "docs"])
         close()
 
-    written = cut(ranges.mapInArrow(stored, f"shard int, record bigint, docs {pieces}"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    first = written.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    slots = written.join(F.broadcast(first), "shard").select((F.col("first") + F.col("record")).alias("slot"), "shard", "record", "docs")
-    return Written(folder, slots, length, code)
+    written = cut(ranges.mapInArrow(stored, f"slot bigint, shard int, docs {pieces}"))
+    return Written(folder, written.select("slot", "shard", (F.col("slot") - F.col("shard") * per).alias("record"), "docs"), length, code)
 
 
 def shard_file(root: str, shard: int) -> str:
