@@ -45,6 +45,9 @@ def test_layouts(spark):
         (5, {"chat": {"user": {"text": "u"}, "assistant": {"text": "a"}}}, "nested_chat", [("user", "u"), ("assistant", "a")]),
         (6, {"system": "s", "messages": [{"role": "user", "content": "q"}]}, "system_messages", [("system", "s"), ("user", "q")]),
         (7, {"unknown": 1}, None, None),
+        (10, {"messages": []}, "messages", []),
+        (11, {"id": 3, "lang": "en", "messages": [{"content": "q", "name": "n", "role": "user", "weight": 0.5}], "source": "s"}, "messages", [("user", "q")]),
+        (12, {"id": 3, "prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
     ]
     rows = [(i, json.dumps(r)) for i, r, *_ in records] + [(8, "{broken"), (9, None), (None, json.dumps(records[2][1]))]
     out = {r.id: r for r in chat.canonical(spark.createDataFrame(rows, "id long, payload string"), "id", "payload").collect()}
@@ -64,6 +67,19 @@ def test_very_long_turn(spark, tmp_path):
 
 
 def test_records_beyond_the_limit_are_told_from_broken_ones(spark):
-    rows = chat.conversations_as_records(turns(spark, [(1, 0, "user", "x", "f", 1)])).unionByName(spark.createDataFrame([(2, "{broken")], "conv_id long, payload string"))
+    rows = chat.conversations_as_records(turns(spark, [(1, 0, "user", "x", "f", 1)])).select("conv_id", "payload").unionByName(spark.createDataFrame([(2, "{broken")], "conv_id long, payload string"))
     rows = rows.unionByName(spark.range(1).select(F.lit(3).cast("long").alias("conv_id"), F.concat(F.lit('{"prompt": "p", "completion": "'), F.repeat(F.lit("abc"), 7_000_000), F.lit('"}')).alias("payload")))
-    assert {r.conv_id: (r.layout, r.too_large) for r in chat.canonical(rows, "conv_id", "payload").drop("turns").collect()} == {1: ("turns", False), 2: (None, False), 3: (None, True)}
+    assert {r.conv_id: (r.layout is None, r.too_large) for r in chat.canonical(rows, "conv_id", "payload").drop("turns").collect()} == {1: (False, False), 2: (True, False), 3: (True, True)}
+
+
+def test_fingerprints_select_among_layouts(spark, monkeypatch):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t} \\ \"x\"", "f", 1) for c in range(60) for t in range(2 + c % 2)] + [(100 + c, 0, ("human", "gpt", "", "tool")[c % 4], " x ", "f", 1) for c in range(20)]
+    df = turns(spark, rows)
+    seen = {r.layout for r in chat.canonical(chat.conversations_as_records(df), "conv_id", "payload").collect()}
+    assert seen == {"messages", "turns", "conversations", "prompt_completion", "prompt_response", "question_answer", "instruction_output", "nested_chat"}
+    want = {}
+    for c, _, r, x, *_ in rows:
+        want.setdefault(c, []).append((r, x))
+    for most in (chat.MOST_RECORD, 12):
+        monkeypatch.setattr(chat, "MOST_RECORD", most)
+        assert {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonicalised(df).collect()} == want

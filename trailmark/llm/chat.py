@@ -1,6 +1,6 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns; a template marks turns and loss.
 
-A record is JSON. Its fingerprint is a hash of its nested field paths (its schema, without values). MAPPINGS names, for each known
+A record is JSON. Its fingerprint is a hash of its nested field paths (its schema, without values and OPTIONAL fields). MAPPINGS names, for each known
 layout, where its turns are: a list of messages with the fields for role and text, or fields that become single turns. All of
 this, the template, its escapes and the reading back are DataFrame expressions.
 
@@ -29,6 +29,11 @@ CONTROLS = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 LEARNED_ROLE = "assistant"
 #: Spark's JSON reader takes strings of at most so many characters (fixed value).
 MOST_JSON_STRING = 20_000_000
+#: Single values that records of any layout may have besides; they have no part in a fingerprint (fixed values).
+OPTIONAL = ["id", "index", "lang", "name", "source", "weight"]
+#: Conversations of more bytes of roles and texts than these stay columns.
+MOST_RECORD = 4 << 20
+TURNS = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
@@ -66,10 +71,12 @@ MAPPINGS = [
 
 
 def paths_of(payload: str) -> Column:
-    """The nested field paths of a JSON string column, names sorted at each level, without the types of values; null where it
-    isn't JSON."""
+    """The nested field paths of a JSON string column, names sorted at each level, without the types of values and without OPTIONAL
+    fields; null where it isn't JSON."""
     shape = F.expr(f"schema_of_variant(try_parse_json({payload}))")
-    return F.regexp_replace(shape, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9,]+\))?", ": VALUE")
+    plain = F.regexp_replace(shape, r": (?!OBJECT<|ARRAY<)[A-Z]+(\([0-9,]+\))?", ": VALUE")
+    extra = f"(?:{'|'.join(OPTIONAL)}): VALUE"
+    return F.regexp_replace(F.regexp_replace(plain, rf"(?<=OBJECT<)(?:{extra}(?:, |(?=>)))+", ""), f", {extra}(?=[,>])", "")
 
 
 def layouts() -> dict[str, Mapping]:
@@ -92,6 +99,8 @@ def layouts() -> dict[str, Mapping]:
             return "OBJECT<" + ", ".join(f"{k}: {shown(node[k])}" for k in sorted(node)) + ">"
 
         out[shown(tree)] = m
+        if m.messages and not m.singles:
+            out[f"OBJECT<{m.messages}: ARRAY<VOID>>"] = m  # no messages yet
     return out
 
 
@@ -129,8 +138,31 @@ def conversations(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def conversations_as_records(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key and payload: the rows of each conversation as one JSON record of the layout `turns`."""
-    return conversations(turns, key).select(key, F.to_json(F.struct("turns")).alias("payload"))
+    """key, turns and payload: each conversation as one JSON record, its layout chosen by a hash of the key among those that can say it. Payload
+    is null for conversations of more than MOST_RECORD bytes, which never become JSON."""
+    role, text = (lambda i, f=f: F.get("turns", F.lit(i))[f] for f in ("role", "text"))
+    content = lambda r, t: F.transform("turns", lambda x: F.struct(x["role"].alias(r), x["text"].alias(t)))
+    human = F.transform("turns", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value")))
+    pair = lambda a, b: F.to_json(F.struct(text(0).alias(a), text(1).alias(b)))
+    nested = F.struct(F.struct(*(F.struct(text(i).alias("text")).alias(r) for i, r in enumerate(("user", "assistant")))).alias("chat"))
+    listed = [F.to_json(F.struct(content("role", "content").alias("messages"))), F.to_json(F.struct(content("role", "text").alias("turns")))]
+    paired = [pair("prompt", "completion"), pair("prompt", "response"), pair("question", "answer"), pair("instruction", "output"), F.to_json(nested)]
+    renamed = F.exists("turns", lambda x: x["role"].isin("human", "gpt"))  # a layout that renames roles can't say these
+    is_pair = (F.size("turns") == 2) & (role(0) == "user") & (role(1) == "assistant")
+    number = lambda n: F.pmod(F.xxhash64("_key"), F.lit(n))
+    one_of = lambda options, n: F.coalesce(*(F.when(n == i, x) for i, x in enumerate(options)))
+    every = [*listed, F.to_json(F.struct(human.alias("conversations")))]
+    record = F.when(is_pair, one_of(paired, number(len(paired)))).when(renamed, one_of(listed, number(len(listed)))).otherwise(one_of(every, number(len(every))))
+    size = F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["role"]) + F.octet_length(x["text"]))
+    return conversations(turns, key).withColumnRenamed(key, "_key").select(F.col("_key").alias(key), "turns", F.when(size <= MOST_RECORD, record).alias("payload"))
+
+
+def canonicalised(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """key and turns of each conversation, through a record of some layout and the mapping that its fingerprint selects. A record that no
+    mapping reads is an error, never a conversation without turns."""
+    records = conversations_as_records(turns, key).select(F.struct(F.col(key).alias("key"), F.when(F.col("payload").isNull(), F.col("turns")).alias("turns")).alias("_both"), F.coalesce("payload", F.lit("{}")).alias("payload"))
+    found = canonical(records, "_both", "payload")
+    return found.select(F.col("_both.key").alias(key), F.coalesce("_both.turns", "turns", F.raise_error(F.lit("a record of no known layout")).cast(TURNS)).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
