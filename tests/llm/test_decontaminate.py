@@ -33,8 +33,51 @@ def table(spark, items):
 
 def check(spark, texts, items, **more):
     df = docs(spark, texts)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r["items"]) for r in dc.search(df, table(spark, items), **more).collect())
+    rows = dc.search(df, table(spark, items), **more).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r["items"]) for r in rows)
     assert got == sorted((-1 if r.doc_id is None else r.doc_id, *brute(r.text, items)) for r in df.collect())
+    by = {(str(i)): split(t) for i, t in items}
+    texts = {r.doc_id: split(r.text) for r in df.collect()}
+    for r in rows:
+        own = texts[r.doc_id]
+        hit = {p for a, b in zip(r.starts, r.ends, strict=True) for p in range(a, b)}
+        best = max((n for p in range(len(own)) for t in by.values() if (n := longest_at(own, p, [t])) >= 10 or n == len(t) > 0 and own[p : p + n] == t), default=0)
+        assert len(hit) == r.n_hit and r.longest == best == max((m.length for m in r.matches), default=0)
+        assert all(own[m.start : m.start + m.length] == by[m["item"]][m.item_start : m.item_start + m.length] for m in r.matches)
+
+
+def longest_at(own, p, items):
+    def common(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    return max((common(own[p:], t[j:]) for t in items for j in range(len(t)) if t[j] == own[p]), default=0)
+
+
+def test_longest_match_of_all_owners(spark):
+    shared = "zero one two three four five six seven eight nine"
+    items = [(1, shared), (2, f"pre {shared} ten eleven twelve")]
+    row = dc.search(docs(spark, [f"x pre {shared} ten eleven twelve y"]), table(spark, items)).first()
+    assert row.longest == 14 and row["items"] == ["1", "2"] and [tuple(m) for m in row.matches] == [("2", 0, 1, 14)]
+
+
+def test_longest_of_items_of_any_length(spark):
+    r = random.Random(9)
+    few = ["a", "b", "c", "d", "e", "f"]
+    items = [(i, " ".join(r.choice(few) for _ in range(r.choice([1, 3, 9, 14])))) for i in range(12)] + [(20, "none of these"), (21, None)]
+    texts = ["", "<null>", *(" ".join(r.choice([*few, "zz"]) for _ in range(r.randint(0, 40))) for _ in range(30))]
+    df = docs(spark, texts)
+    own = {x.doc_id: split(x.text) for x in df.collect()}
+    want = {str(i): best for i, t in items if (best := max((longest_at(w, p, [split(t)]) for w in own.values() for p in range(len(w))), default=0))}
+    for most in (dc.BLOCK_BYTES, 60):
+        found = dc.longest_of_items(df.repartition(3), table(spark, items), block_bytes=most).collect()
+        assert {x["item"]: x.length for x in found} == want
+        by = {str(i): split(t) for i, t in items}
+        assert all(own[x.doc_id][x.start : x.start + x.length] == by[x["item"]][x.item_start : x.item_start + x.length] for x in found)
+
+
+def test_clean_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, prose(1, 30), "d"), (2, "fine", "e")], "doc_id long, text string, _digest string")
+    assert [tuple(r) for r in dc.clean(df, table(spark, [(1, prose(1, 30))])).collect()] == [(2, "fine", "e")]
 
 
 def test_random_against_brute_force(spark):
