@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, prose
 from trailmark.llm import licenses
@@ -60,7 +63,7 @@ def test_hundreds_of_rules_and_no_python(spark):
 
 
 def test_stems_lose_nothing(spark):
-    gate = re.compile("(?i)" + "|".join(s.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff") for s in licenses.STEMS))
+    gate = re.compile("(?i)" + "|".join(s.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff") for s in [*licenses.STEMS, *(p for _, p in licenses.STEM_WORDS)]))
     for r in licenses.rules():
         plain = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?:[^()]*\)\?", "", r.pattern)).replace(".{1,80}", "x")
         assert gate.search(plain) or gate.search(r.keyword), (r.pattern, plain)
@@ -80,6 +83,22 @@ def test_keywords_lose_nothing(spark, monkeypatch):
         assert r.doc_id is None or tuple(r)[1:] == brute(None if texts[r.doc_id] == "<null>" else texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_many_matches_take_linear_time(spark):
+    text = "all rights reserved " * 12_000
+    licenses.digested(licenses.scan(docs(spark, ["MIT License"]))).first()  # starts what is started once
+    began = time.perf_counter()
+    row = licenses.digested(licenses.scan(docs(spark, [text]))).first()
+    assert (row.n_found, row.labels, row.n_words) == (12_000, "proprietary", 36_000) and time.perf_counter() - began < 10
+
+
+def test_clashing_columns_travel_untouched(spark):
+    names = ["_raw", "_license", "row", "whole", "low", "possible", "seen", "base", "found", "n_words", "key"]
+    df = spark.createDataFrame([(1, "MIT License")], "doc_id long, text string").select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+    out = licenses.scan(df)
+    assert [tuple(r)[2:] for r in out.select("row.*").collect()] == [tuple(f"own {n}" for n in names)]
+    assert licenses.digested(out).first().labels == "mit"
+
+
 def test_each_keyword_is_part_of_its_pattern():
     for r in licenses.rules():
         always = re.sub(r"\(\?:[^()]*(?:\([^()]*\)[^()]*)*\)\?", "", r.pattern)
