@@ -50,7 +50,7 @@ def test_stages_against_brute_force(spark, folder):
         key = lambda r: -1 if r["doc_id"] is None else r["doc_id"]
         ids = {key(r) for r in after.collect()}
         if name == "quality_rules":
-            listed = {key(r): r["_rule"] for r in quality.decided(docs, rules).collect()}
+            listed = {key(r.row): r.rule for r in quality.decided(docs, rules).collect()}
             want = {key(r) for r in before if (s := test_quality.brute(r["text"])) and not (s[0] < 10 or 100 * s[4] > 20 * s[0]) and not listed[key(r)]}
         elif name == "line_dedup":
             documents = docs.toArrow()  # noqa: F841  read by name

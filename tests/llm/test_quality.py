@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -25,14 +26,29 @@ TEXTS = ["", "<null>", "<no id>", " \n\t", "a b c d e a b c d e", "a b c d e f a
 def test_statistics(spark):
     found = quality.decided(docs(spark, TEXTS), [])
     for r in found.collect():
-        s = r["_stats"]
-        want = brute(r.text)
-        assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == want, r.text
-        assert r["_base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        assert r["_kept"] == (not r["_base_failed"])
+        s = r.stats
+        want = brute(r.row.text)
+        assert (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words) == want, r.row.text
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert r.kept == (not r.base_failed)
     assert quality.decided(docs(spark, []), []).count() == 0
 
 
+def test_statistics_of_repetitive_texts(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abc" if i % 2 else "abcdefghijkl") for _ in range(r.choice((4, 5, 6, 20, 80, 300)))) for i in range(80)]
+    for bits in (quality.NUMBER_BITS, 62, 3):  # all hash bits compared, one of them, and texts beyond the numbers
+        monkeypatch.setattr(quality, "NUMBER_BITS", bits)
+        assert all(x.stats.n_repeat_words == brute(x.row.text)[4] for x in quality.measured(docs(spark, texts)).collect())
+
+
+def test_clashing_columns_pass_untouched(spark):
+    names = ["_raw", "_stats", "_kept", "_rule", "_base_failed", "row", "stats", "kept", "rule", "base_failed", "whole", "words", "_new", "n_words"]
+    df = docs(spark, [prose(1, 40), "x", "<null>"]).select("doc_id", "text", *(F.lit(f"own {n}").alias(n) for n in names))
+    out = quality.kept(df, labelled(spark, []))
+    assert out.columns == df.columns and [tuple(r)[2:] for r in out.collect()] == [tuple(f"own {n}" for n in names)]
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality.decided(docs(spark, TEXTS), [(quality.Condition("symbols", True, 9),)])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -60,5 +76,5 @@ def test_without_labels(spark):
 
 def test_order_of_rules(spark):
     a, b = (quality.Condition("words", True, 3),), (quality.Condition("words", True, 1),)
-    rows = quality.measured(docs(spark, ["one two three", "one", ""])).select("doc_id", quality.verdict([a, b]).alias("v"))
+    rows = quality.measured(docs(spark, ["one two three", "one", ""])).select("row.doc_id", quality.verdict([a, b]).alias("v"))
     assert {r.doc_id: r.v for r in rows.orderBy(F.col("doc_id")).collect()} == {0: 1, 1: 2, 2: 0}

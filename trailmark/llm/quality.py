@@ -10,8 +10,8 @@ Everything here is DataFrame functions: one pass over the text gives all statist
 
 Cases: a null or empty text has no words and fails the base rule; repeated rows are each decided; a null id is kept as it is, and
 cannot be labelled; labels without a document, without a quality, or with both qualities are not used; without usable labels of both kinds the
-list is empty; very long texts are taken whole; an empty table gives an empty table; further columns, also clashing ones, pass
-through kept() untouched.
+list is empty; very long texts are taken whole; an empty table gives an empty table; further columns, whatever their names, pass
+through kept() untouched (they travel in one struct, beside which decided() adds its own).
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ SPACE, SYMBOLS = r"[\x20\x09-\x0D]", "[#*$%&|<>]"
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 #: The most labelled rows that a list is learned from (a hash sample; the bound is documented and doesn't follow the table).
 MOST_LABELS = 20_000
+#: Bits of a packed window that hold its number; longer texts have all their windows sorted whole.
+NUMBER_BITS = 21
+#: Partitions of the labelled rows' statistics.
+PARTS = 4
 QUANTILES, MOST_RULES, MOST_CONDITIONS, LEAST_PRECISION, LEAST_COVERED = 24, 8, 3, 0.95, 10
 #: Statistics that rules look at, as parts in a million of the text's words, characters or lines, or counts.
 FEATURES = {
@@ -51,54 +55,63 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeated(hashes: Column) -> Column:
-    """How many words lie in windows whose hash is there twice or more; hashes: of the windows that begin at each word."""
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns; the generator keeps the optimiser from computing them again for each use."""
+    kept = rows.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_new"))
+    return kept.select(*rows.columns, "_new.*")
 
-    def counted(ordered: Column) -> Column:
-        n = F.size(ordered)
-        same = lambda i, j: F.element_at(ordered, (i + 1).cast("int"))["h"] == F.element_at(ordered, (j + 1).cast("int"))["h"]
-        places = F.transform(
-            F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(i > 0, same(i, i - 1)).otherwise(False) | F.when(i < n - 1, same(i, i + 1)).otherwise(False)),
-            lambda i: F.element_at(ordered, (i + 1).cast("int"))["i"],
-        )
-        begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
-        step = lambda s, p: F.struct((p + WINDOW).alias("end"), (s["total"] + p + WINDOW - F.greatest(s["end"], p)).alias("total"))
-        return F.aggregate(F.sort_array(places), begin, step, lambda s: s["total"])
 
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(pairs, counted))
+def windows_of(words: Column) -> Column:
+    """The hash of the WINDOW words from each word on, where there are so many; words: their hashes."""
+    at = lambda i: [F.get(words, i + k) for k in range(1, WINDOW)]
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - WINDOW + 1, F.lit(0))), lambda h, i: F.xxhash64(h, *at(i)))
 
 
-def statistics(text: str = "text") -> Column:
-    """A struct of whole-text counts of a text column."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    chars = lambda pattern: (F.length(whole) - F.length(F.regexp_replace(whole, pattern, ""))).cast("long")
-    lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def repeated(windows: Column, places: Column) -> Column:
+    """How many words lie in windows whose hash is there twice or more; places: ascending numbers of windows, all of those among them."""
 
-    def of_words(words: Column) -> Column:
-        n = F.size(words)
-        windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
-        return F.struct(
-            n.cast("long").alias("n_words"),
-            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
-            let(windows, repeated).cast("long").alias("n_repeat_words"),
-        )
+    def counted(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["h"] == F.get(ordered, i)["h"], F.lit(False))
+        found = F.filter(F.transform(ordered, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["i"])), lambda i: i.isNotNull())
+        begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
+        step = lambda s, p: F.struct((p + WINDOW).alias("end"), (s["total"] + p + WINDOW - F.greatest(s["end"], p)).alias("total"))
+        return F.aggregate(F.sort_array(found), begin, step, lambda s: s["total"])
 
-    words = let(F.filter(F.split(whole, SPACE + "+", -1), lambda w: w != ""), of_words)
-    by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return F.struct(words.alias("words"), by_line.alias("lines"), chars(SYMBOLS).alias("n_symbols"), chars(r"\p{Lu}").alias("n_capitals"), chars("!").alias("n_exclamations"), chars("[0-9]").alias("n_digits"))
+    return let(F.array_sort(F.transform(places, lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i")))), counted)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column _stats. The generator keeps the optimiser from computing it again for each use."""
-    stats = docs.select("*", F.explode(F.array(statistics(text))).alias("_raw"))
-    flat = F.struct("_raw.words.*", "_raw.lines.*", *(F.col(f"_raw.{c}").alias(c) for c in ("n_symbols", "n_capitals", "n_exclamations", "n_digits")))
-    return stats.withColumn("_stats", flat).drop("_raw")
+    """row (a struct of all columns of docs) and stats (a struct of whole-text counts) for each row of docs."""
+    # each step is one projection, so that splits, sorts and sizes are compiled and words are split once
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("whole"))
+    trimmed, white = F.btrim("whole", F.lit(" \t\n\x0b\f\r")), F.split("whole", "\n", -1)
+    rows = once(
+        rows, words=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+", -1)), lines=F.filter(white, lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        marks=F.regexp_replace("whole", r"[^#*$%&|<>\p{Lu}!0-9]+", ""),  # all that is counted by kind
+    ).drop("whole")
+    chars = lambda pattern: (F.length("marks") - F.length(F.regexp_replace("marks", pattern, ""))).cast("long")
+    counts = {"n_symbols": chars(SYMBOLS), "n_capitals": chars(r"\p{Lu}"), "n_exclamations": chars("!"), "n_digits": chars("[0-9]")}
+    counts |= {"n_words": F.size("words").cast("long"), "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_lines": F.size("lines").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")}
+    rows = once(rows, hashes=F.transform("words", lambda w: F.xxhash64(w)), **counts).drop("words", "lines", "marks")
+    rows = once(rows, windows=let(F.col("hashes"), windows_of), n_distinct_words=F.size(F.array_distinct("hashes")).cast("long")).drop("hashes")
+    # windows whose upper hash bits are met twice, by one sort of longs: those bits, then the window's number
+    low = (1 << NUMBER_BITS) - 1
+    packed = F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    some = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = once(rows, packed=F.when(some & (F.size("windows") <= low), F.sort_array(packed)), some=some)
+
+    def suspects(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(x.bitwiseXOR(F.get(ordered, i)).bitwiseAND(F.lit(~low)) == 0, F.lit(False))
+        return F.filter(F.transform(ordered, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x.bitwiseAND(F.lit(low)).cast("int"))), lambda i: i.isNotNull())
+
+    places = F.when(F.col("packed").isNotNull(), let(F.col("packed"), suspects)).otherwise(F.sequence(F.lit(0), F.size("windows") - 1))
+    n_repeat_words = F.when(F.col("some"), let(F.col("windows"), lambda w: repeated(w, places))).otherwise(0).cast("long")
+    rows = once(rows, n_repeat_words=n_repeat_words)
+    return rows.select("row", F.struct("n_words", "word_chars", "n_distinct_words", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", "n_capitals", "n_exclamations", "n_digits").alias("stats"))
 
 
 def base_failed() -> Column:
-    return F.expr(f"_stats.n_words < {LEAST_WORDS} or 100 * _stats.n_repeat_words > {MOST_REPEATED_PERCENT} * _stats.n_words")
+    return F.expr(f"stats.n_words < {LEAST_WORDS} or 100 * stats.n_repeat_words > {MOST_REPEATED_PERCENT} * stats.n_words")
 
 
 @dataclass(frozen=True)
@@ -107,7 +120,7 @@ class Condition:
     at_least: bool
     threshold: int
 
-    def holds(self, stats: str = "_stats.") -> Column:
+    def holds(self, stats: str = "stats.") -> Column:
         value = F.expr(_prefixed(FEATURES[self.feature], stats))
         return value >= self.threshold if self.at_least else value < self.threshold
 
@@ -126,7 +139,7 @@ def all_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, columns, F.lit(True))
 
 
-def verdict(rules: list[Rule], stats: str = "_stats.") -> Column:
+def verdict(rules: list[Rule], stats: str = "stats.") -> Column:
     """The number of the first rule that holds, from 1; 0 for none."""
     out = F.lit(0)
     for number, rule in reversed([*enumerate(rules, 1)]):
@@ -141,26 +154,23 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = min(1.0, most_labels / max(1, count))
     sample = usable.filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < round(share * 1_000_000)).select("_key", F.col("least").alias("quality"))
     chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(sample), "_key")  # at most about most_labels short rows
-    values = [F.expr(_prefixed(e, "_stats.")).cast("long").alias(name) for name, e in FEATURES.items()]
-    part = F.when(F.pmod(F.xxhash64("_key", F.lit("part")), F.lit(3)) < 2, "grow").otherwise("prune").alias("part")
-    rows = cut(measured(chosen).select("quality", part, *values))
+    values = [F.expr(_prefixed(e, "stats.")).cast("long").alias(name) for name, e in FEATURES.items()]
+    part = F.when(F.pmod(F.xxhash64("row._key", F.lit("part")), F.lit(3)) < 2, "grow").otherwise("prune").alias("part")
+    # few thin rows from here on: a few partitions, so that a step of growing is a short job
+    rows = cut(measured(chosen).select("row.quality", part, *values).repartition(PARTS))
     # half of the candidate thresholds from the bad rows and half from all of them
     shares = [i / QUANTILES for i in range(1, QUANTILES)]
-    quantiles = lambda only: [F.percentile_approx(F.when(only, F.col(f)), shares, 10_000).alias(f) for f in FEATURES]
-    marks: dict[str, set[int]] = {f: set() for f in FEATURES}
-    for only in (F.col("quality") == 0, F.col("quality") == 1):
-        found = rows.agg(*quantiles(only)).first()
-        for f in FEATURES:
-            marks[f] |= {x for q in found[f] or [] for x in (q, q + 1)}
-    tests = [Condition(f, side, t) for f in FEATURES for t in sorted(marks[f]) for side in (True, False)]
-    return grown(rows, {f: sorted(m) for f, m in marks.items()}) if tests else []
+    quantiles = [F.percentile_approx(F.when(F.col("quality") == q, F.col(f)), shares, 10_000).alias(f"{f}{q}") for f in FEATURES for q in (0, 1)]
+    found = rows.agg(*quantiles).first()
+    marks = {f: sorted({x for q in (0, 1) for v in found[f"{f}{q}"] or [] for x in (v, v + 1)}) for f in FEATURES}
+    place = lambda f: F.size(F.filter(F.lit(marks[f]).cast("array<bigint>"), lambda t: t <= F.col(f)))
+    binned = [F.struct(F.lit(f).alias("f"), place(f).alias("bin")) for f in FEATURES if marks[f]]
+    return grown(cut(rows.withColumn("bins", F.array(*binned))), marks) if binned else []
 
 
 def counted(rows: DataFrame, covered: Column, marks: dict[str, list[int]]) -> tuple[int, int, dict[Condition, tuple[int, int]]]:
     """Bad and good rows in all, and under each candidate condition, among the growing rows that `covered` holds for."""
-    place = lambda f, m: F.size(F.filter(F.lit(m).cast("array<bigint>"), lambda t: t <= F.col(f)))
-    bins = F.array(*(F.struct(F.lit(f).alias("f"), place(f, m).alias("bin")) for f, m in marks.items() if m))
-    found = rows.filter((F.col("part") == "grow") & covered).select("quality", F.inline(bins)).groupBy("f", "bin").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good")).collect()  # a row for each feature and bin
+    found = rows.filter((F.col("part") == "grow") & covered).select("quality", F.inline("bins")).groupBy("f", "bin").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good")).collect()  # a row for each feature and bin
     by: dict[str, dict[int, tuple[int, int]]] = {}
     for r in found:
         by.setdefault(r.f, {})[r.bin] = (int(r.bad), int(r.good))
@@ -208,11 +218,11 @@ def _on_values(c: Condition) -> Column:
 
 
 def decided(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """docs with _stats, _base_failed, _rule (the rule that rejects, or 0) and _kept."""
-    out = measured(docs, text).withColumn("_base_failed", base_failed())
-    return out.withColumn("_rule", verdict(rules)).withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+    """row and stats as in measured(), with base_failed, rule (the rule that rejects, or 0) and kept."""
+    out = measured(docs, text).withColumn("base_failed", base_failed())
+    return out.withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that neither the base rule nor the learned list rejects."""
-    return decided(docs, learn(docs, labels, key, text), text).filter("_kept").select(*docs.columns)
+    return decided(docs, learn(docs, labels, key, text), text).filter("kept").select("row.*")

@@ -50,8 +50,8 @@ def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = quality.decided(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
-    counts = [f"_stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return found.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    counts = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("row.doc_id", *counts, "base_failed", "kept", "rule")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
