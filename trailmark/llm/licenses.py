@@ -311,8 +311,8 @@ def detections(words: Column) -> Column:
     end = lambda d: -d["minus_end"]
 
     def left(ordered: Column) -> Column:
-        ends = {p: F.transform(ordered, lambda d, p=p: F.when(d["priority"] <= p, end(d)).otherwise(0)) for p in SURE}
-        furthest = F.struct(*(let(e, lambda v: running(v, lambda a, x: F.greatest(a, x))).alias(f"p{p}") for p, e in ends.items()))
+        ends = lambda p: F.transform(ordered, lambda d: F.when(d["priority"] <= p, end(d)).otherwise(0))
+        furthest = F.struct(*(let(ends(p), lambda v: running(v, lambda a, x: F.greatest(a, x))).alias(f"p{p}") for p in SURE))
 
         def kept(far: Column) -> Column:
             before = lambda d, i: F.when(i == 0, 0).otherwise(F.coalesce(*(F.when(d["priority"] == p, F.get(far[f"p{p}"], i - 1)) for p in SURE)))
