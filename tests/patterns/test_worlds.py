@@ -88,6 +88,77 @@ def test_closed_forms_against_worlds(spark, seed):
     assert got == {p: brute(pattern, h, w) for p, (h, w) in cases.items()}, pattern
 
 
+def brute_ordered(pattern, events, window):
+    """Scenarios: for each choice of the events that ordered steps take, the worlds in which they are first (last); exact if each has one binding that
+    holds in all its worlds, possible if some binding holds in some."""
+    if window is None:
+        return "excluded"
+    at = {s.id: k for k, s in enumerate(pattern.steps)}
+    domains = [[i for i, e in enumerate(events) if e["kind"] == s.concept] for s in pattern.steps]
+    found: dict[tuple, dict[tuple, bool]] = {}
+    some = False
+    for w in worlds(events):
+        picks = []
+        for s, d in zip(pattern.steps, domains, strict=True):
+            extreme = (min if s.occurrence == "first" else max)((w[x][0] for x in d), default=None)
+            picks.append([x for x in d if w[x][0] == extreme] if s.occurrence else d)
+        for b in itertools.product(*picks):
+            target = tuple(x for x, s in zip(b, pattern.steps, strict=True) if s.occurrence)
+            ok = True
+            for r in pattern.relations:
+                (s1, e1), (s2, _) = w[b[at[r.source]]], w[b[at[r.target]]]
+                ok &= (r.least is None or s2 - s1 >= r.least) and (r.most is None or s2 - s1 <= r.most) if r.kind == "after" else s2 >= s1 and s2 - e1 <= r.grace
+            for x in b:
+                ok &= {"any": True, "from_start": w[x][0] >= window[0], "within": window[0] <= w[x][0] <= window[1], "after": w[x][0] >= window[1]}[pattern.scope]
+            own = found.setdefault(target, {})
+            own[b] = own.get(b, True) and ok
+            some |= ok
+    if not all(domains):
+        return "none"
+    return "exact" if found and all(any(own.values()) for own in found.values()) else "possible" if some else "none"
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_ordered_steps_against_worlds(spark, seed):
+    r = random.Random(500 + seed)
+    kinds = r.sample(KINDS, 3)
+    steps = tuple(Step(n, k, occurrence=r.choice(["first", "last"]) if n == "a" or r.random() < 0.3 else None) for n, k in zip("abc"[: r.randint(1, 3)], kinds, strict=False))
+    relations = []
+    for k, (x, y) in enumerate(itertools.combinations([s.id for s in steps], 2)):
+        x, y = (y, x) if r.random() < 0.5 else (x, y)
+        least = r.choice([None, -1, 0, 1])
+        relations.append(Relation(f"r{k}", "during", x, y, grace=r.randint(0, 1)) if r.random() < 0.3 else Relation(f"r{k}", "after", x, y, least, r.choice([None, (least or 0) + r.randint(0, 3)])))
+    pattern = Pattern(steps, tuple(relations), scope=r.choice(["any", "any", "from_start", "within"]))
+    cases = {p: (history(r, seed % 2 == 0, False), None if p % 9 == 0 else (1, 4)) for p in range(60)}
+    events = spark.createDataFrame([(p, 100 * p + e["event_id"], e["kind"], e["lo"], e["hi"], e["end_lo"], e["end_hi"], 0, None, None) for p, (h, _) in cases.items() for e in h], SCHEMA)
+    windows = spark.createDataFrame([(p, *(w or (None, None))) for p, (_, w) in cases.items()], "patient long, w_start long, w_end long")
+    closure = spark.createDataFrame([(k, k) for k in KINDS], "concept string, ancestor string")
+    got = {row.patient: row.status for row in plans.statuses(pattern, events, closure, windows).collect()}
+    assert got == {p: brute_ordered(pattern, h, w) for p, (h, w) in cases.items()}, pattern
+
+
+def test_first_of_two_uncertain_events(spark):
+    rows = [(1, 1, "k1", 5, 9, 5, 9, 0, None, None), (1, 2, "k1", 6, 6, 6, 6, 0, None, None), (1, 3, "k2", 14, 14, 14, 14, 0, None, None)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    windows, closure = spark.createDataFrame([(1, 0, 20)], "patient long, w_start long, w_end long"), spark.createDataFrame([(k, k) for k in KINDS], "concept string, ancestor string")
+    pattern = lambda a, b: Pattern((Step("a", "k1", occurrence="first"), Step("b", "k2")), (Relation("r", "after", "a", "b", a, b),))
+    assert plans.exact_patients(pattern(8, 9), events, closure, windows).count() == 1
+    assert plans.possible_patients(pattern(5, 7), events, closure, windows).count() == 0
+    with pytest.raises(ValueError, match="can bind the events"):
+        plans.exact_patients(Pattern((Step("a", "k1", occurrence="first"), Step("b", "k1"))), events, closure, windows)
+
+
+def test_ongoing_events_are_not_listed_by_day(spark):
+    rows = [(1, 1, "k1", 0, 0, 0, ta.FOREVER, 0, None, None), (1, 2, "k1", 50, 50, ta.FOREVER, ta.FOREVER, 0, None, None), (1, 3, "k2", 10**15, 10**15, 10**15, 10**15, 0, None, None), (2, 4, "k2", 5, 5, 5, 5, 0, None, None), (2, 5, "k1", 6, 6, ta.FOREVER, ta.FOREVER, 0, None, None)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    windows, closure = spark.createDataFrame([(1, 0, 20), (2, 0, 20)], "patient long, w_start long, w_end long"), spark.createDataFrame([(k, k) for k in KINDS], "concept string, ancestor string")
+    for steps in ((Step("a", "k1"), Step("b", "k2")), (Step("b", "k2"), Step("a", "k1"))):
+        pattern = Pattern(steps, (Relation("r", "during", "a", "b", grace=3),))
+        assert [r.patient for r in plans.exact_patients(pattern, events, closure, windows).collect()] == [1]
+        assert [r.patient for r in plans.possible_patients(pattern, events, closure, windows).collect()] == [1]
+        assert plans.bindings(pattern, events, closure, windows).count() == 2
+
+
 @pytest.mark.parametrize("seed", range(150))
 def test_kernel_against_worlds(seed):
     r = random.Random(1000 + seed)

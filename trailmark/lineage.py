@@ -30,5 +30,5 @@ def staged(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame
     """df written as Parquet to the shared folder and read again; column pruning then holds for later reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.compression.codec.zstd.level", "6").parquet(path, compression=compression)
     return spark.read.parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.ranges import join_ranges
+
 
 def occurrence(events: DataFrame, which: str = "first") -> DataFrame:
     """The first (last) event of each patient by the order of its ranges, and whether it is so in all worlds: every other event starts certainly
@@ -26,13 +28,27 @@ def envelope(events: DataFrame, which: str = "first") -> DataFrame:
     return events.groupBy("patient").agg(f("lo").alias("lo"), f("hi").alias("hi"))
 
 
-def possible_occurrences(events: DataFrame) -> DataFrame:
-    """Events that can be the patient's first: no other must start before them. The least hi of the others is the second least overall for
-    the event that has the least."""
-    two = events.groupBy("patient").agg(F.slice(F.array_sort(F.collect_list(F.struct("hi", "event_id"))), 1, 2).alias("two"))
-    both = events.join(two, "patient")
-    other = F.when(F.get("two", F.lit(0))["event_id"] == F.col("event_id"), F.get("two", F.lit(1))["hi"]).otherwise(F.get("two", F.lit(0))["hi"])
-    return both.filter(other.isNull() | (F.col("lo") <= other)).select(*events.columns)
+def scenarios(events: DataFrame, which: str = "first") -> DataFrame:
+    """One row for each event that can be its patient's first (last): the event with its start narrowed to the worlds in which it is, namely no
+    later than any other's latest (no earlier than any other's earliest) start. A point's end is narrowed with it."""
+    first = which == "first"
+    bound, pick = ("hi", F.min_by) if first else ("lo", F.max_by)
+    # combined before the shuffle: the bound of the others is the extreme one of all, or the next one for the event that has it
+    order = F.struct(F.col(bound).alias("bound"), F.col("event_id").alias("id"))
+    one = events.groupBy("patient").agg(pick(order, order).alias("_one"))
+    both = events.join(one, "patient")
+    rest = both.filter(F.col("event_id") != F.col("_one.id")).groupBy("patient").agg((F.min if first else F.max)(bound).alias("_next"))
+    near = both.join(rest, "patient", "left").withColumn("_others", F.when(F.col("event_id") == F.col("_one.id"), F.col("_next")).otherwise(F.col("_one.bound")))
+    open_ = F.col("_others").isNull() | ((F.col("lo") <= F.col("_others")) if first else (F.col("hi") >= F.col("_others")))
+    new = {"hi": F.coalesce(F.least("hi", "_others"), "hi")} if first else {"lo": F.coalesce(F.greatest("lo", "_others"), "lo")}
+    point = (F.col("end_lo") == F.col("lo")) & (F.col("end_hi") == F.col("hi")) if "end_lo" in events.columns else F.lit(False)
+    ends = {f"end_{k}": F.when(point, v).otherwise(F.col(f"end_{k}")) for k, v in new.items() if "end_lo" in events.columns}
+    return near.filter(open_).withColumns(new | ends).select(*events.columns)
+
+
+def possible_occurrences(events: DataFrame, which: str = "first") -> DataFrame:
+    """Events that can be the patient's first (last): no other must start before (after) them."""
+    return events.join(scenarios(events, which).select("patient", "event_id"), ["patient", "event_id"], "left_semi").select(*events.columns)
 
 
 def nth_envelope(events: DataFrame, n: int) -> DataFrame:
@@ -60,7 +76,7 @@ def counted_uncertain(events: DataFrame, n: int, span: int) -> DataFrame:
     change only where a bound of another event passes, so the ranges' breakpoints are tried."""
     base = events.select("patient", "event_id", "lo", "hi")
     other = base.select("patient", F.col("event_id").alias("o_id"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    near = base.join(other, "patient").filter((F.col("event_id") != F.col("o_id")) & (F.col("o_hi") >= F.col("lo") - span) & (F.col("o_lo") <= F.col("hi")))
+    near = join_ranges(base, other, ["patient"], (F.col("lo") - span, F.col("hi")), (F.col("o_lo"), F.col("o_hi")), span).filter(F.col("event_id") != F.col("o_id"))
     company = base.join(near.groupBy("patient", "event_id").agg(F.collect_list(F.struct("o_lo", "o_hi")).alias("near")), ["patient", "event_id"], "left")
     points = F.concat(F.array("lo", "hi"), F.flatten(F.transform("near", lambda o: F.array(o["o_lo"], o["o_lo"] - 1, o["o_lo"] + span, o["o_lo"] + span + 1, o["o_hi"], o["o_hi"] - 1, o["o_hi"] + 1, o["o_hi"] + span, o["o_hi"] + span + 1))))
     tried = F.filter(F.array_distinct(points), lambda t: (t >= F.col("lo")) & (t <= F.col("hi")))
@@ -73,9 +89,12 @@ def counted_uncertain(events: DataFrame, n: int, span: int) -> DataFrame:
 def risen(events: DataFrame, previous: int, within: int, factor: tuple[int, int], floor: int, falls: bool = False) -> DataFrame:
     """Exact readings at least factor (a fraction) times the greater of floor and the mean of up to `previous` readings in [t - within, t - 1];
     falls: at most the mean divided by the factor. In whole millionths: value * count * den >= num * sum."""
-    w = Window.partitionBy("patient", "kind").orderBy("lo").rangeBetween(-within, -1)
-    earlier = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("lo", "event_id", "micro")).over(w))), 1, previous)
-    rows = events.withColumn("_earlier", earlier).withColumn("base_n", F.size("_earlier")).filter("base_n > 0")
+    w = Window.partitionBy("patient", "kind").orderBy("lo", "event_id")
+    at = Window.partitionBy("patient", "kind", "lo").orderBy("event_id")  # readings of one time have the same earlier ones, which the first of them sees
+    before = [F.lag(F.struct("lo", "micro"), i).over(w) for i in range(1, previous + 1)]
+    rows = events.withColumn("_before", F.array(*before)).withColumn("_before", F.first("_before").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = F.filter("_before", lambda x: x.isNotNull() & (x["lo"] >= F.col("lo") - within))
+    rows = rows.withColumn("_earlier", earlier).drop("_before").withColumn("base_n", F.size("_earlier")).filter("base_n > 0")
     rows = rows.withColumn("base_sum", F.aggregate("_earlier", F.lit(0).cast("long"), lambda a, x: a + x["micro"])).drop("_earlier")
     num, den = factor
     base = F.greatest(F.col("base_sum"), F.col("base_n") * floor)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +51,9 @@ def cohort(slots: list[DataFrame], constraints: list[tuple[int, int, str, int |
         if by:
             end = F.col(f"s{k - 1}_e")
             out = join_ranges(out, right, keys, (end + (by[3] or 0), end + by[4]), (F.col(f"s{k}_s"), F.col(f"s{k}_s")), max(by[4], ta.UNITS["day"]))
+        elif touch := next((c for c in constraints if max(c[0], c[1]) == k and c[2] in ("overlaps", "meets")), None):
+            i = min(touch[0], touch[1])  # such intervals share an instant
+            out = join_ranges(out, right, keys, (F.col(f"s{i}_s"), F.col(f"s{i}_e")), (F.col(f"s{k}_s"), F.col(f"s{k}_e")), 30 * ta.UNITS["day"])
         else:
             out = out.join(right, keys)
         out = out.filter(" AND ".join(f"s{j}_event_id <> s{k}_event_id" for j in range(k)))
@@ -71,10 +76,29 @@ def rolled_up(classified: DataFrame, keys: list[str], status: str = "status") ->
     return classified.groupBy(*keys).agg(F.element_at(F.create_map(*(F.lit(x) for kv in ROLLED.items() for x in kv)), rank).alias("status"))
 
 
+def before_rolled_up(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The best status of "one before another" over all pairs of a scope's bounded intervals, from extremes alone: the earliest end and the latest
+    start of each clock. For a pair that only one interval would make with itself, the next best of either side is taken."""
+    end, start = F.greatest("e_lo", F.col("s_lo") + 1), F.least("s_hi", F.col("e_hi") - 1)
+    ends, starts = F.struct(end.alias("t"), F.col("event_id").alias("id")), F.struct(start.alias("t"), F.col("event_id").alias("id"))
+    best = rows.groupBy(*keys, "clock").agg(F.count("*").alias("n"), F.min("e_hi").alias("sure_end"), F.max("s_lo").alias("sure_start"), F.min(ends).alias("a"), F.max(starts).alias("b"))
+    own = best.filter("a.id = b.id").select(*keys, "clock", F.col("a.id").alias("_id"))
+    rest = rows.join(own, [*keys, "clock"]).filter("event_id <> _id").groupBy(*keys, "clock").agg(F.min(end).alias("a_next"), F.max(start).alias("b_next"))
+    both = best.join(rest, [*keys, "clock"], "left")
+    reach = lambda a, b: F.coalesce(a + 1 <= b, F.lit(False))
+    possible = F.when(F.col("a.id") != F.col("b.id"), reach(F.col("a.t"), F.col("b.t"))).otherwise(reach(F.col("a_next"), F.col("b.t")) | reach(F.col("a.t"), F.col("b_next")))
+    judged = both.select(*keys, "n", F.when((F.col("sure_end") < F.col("sure_start")) & possible, RANK["CERTAIN"]).when(possible, RANK["POSSIBLE"]).otherwise(RANK["IMPOSSIBLE"]).alias("rank"))
+    scope = judged.groupBy(*keys).agg(F.max("rank").alias("rank"), F.count("*").alias("clocks"), F.sum("n").alias("n")).filter("n > 1")
+    rank = F.greatest("rank", F.when(F.col("clocks") > 1, RANK["INCOMPARABLE"]).otherwise(0))
+    return scope.select(*keys, F.element_at(F.create_map(*(F.lit(x) for kv in ROLLED.items() for x in kv)), rank).alias("status"))
+
+
 def robust(pairs_: DataFrame, options: list[tuple[str, int, int | None, int | None]], keys: list[str], budget: int) -> DataFrame:
     """The cheapest option (name, cost, least and most gap) under which some pair is certain: keys, option and cost. Variants are tried on one
     set of pairs; of equal cost the first name counts."""
-    tried = F.array(*(F.when(bounded("gap", least, most) == "CERTAIN", F.struct(F.lit(cost).alias("cost"), F.lit(name).alias("option"))) for name, cost, least, most in options if cost <= budget))
+    bound = {"s": "a_s", "e": "a_e", "u": "b_s", "v": "b_e"}
+    told = lambda least, most: reduce(lambda x, y: x & y, [F.col(f"{bound[a]}_hi") - F.col(f"{bound[b]}_lo") <= k for a, b, k in ta.atoms("gap", least, most)], F.lit(True))  # noqa: E731  what is certain must hold at the bounds, which is cheap to see
+    tried = F.array(*(F.when(told(least, most) & (bounded("gap", least, most) == "CERTAIN"), F.struct(F.lit(cost).alias("cost"), F.lit(name).alias("option"))) for name, cost, least, most in options if cost <= budget))
     found = pairs_.select(*keys, F.array_min(F.array_compact(tried)).alias("best")).filter("best IS NOT NULL")
     return found.groupBy(*keys).agg(F.min("best").alias("best")).select(*keys, "best.option", "best.cost")
 
@@ -103,3 +127,12 @@ def aligned(left: DataFrame, right: DataFrame, alignment: DataFrame) -> DataFram
     both = left.withColumnRenamed("clock", "l_clock").join(right.withColumnRenamed("clock", "r_clock"), "patient")
     declared = alignment.select("patient", "l_clock", "r_clock", F.lit(True).alias("comparable"))
     return both.join(declared, ["patient", "l_clock", "r_clock"], "left").withColumn("comparable", F.coalesce("comparable", F.lit(False)))
+
+
+def aligned_counts(left: DataFrame, right: DataFrame, alignment: DataFrame) -> DataFrame:
+    """patient, pairs and comparable: how many pairs of a patient's records there are, and how many of them on aligned clocks, without making them."""
+    side = lambda df, c, n: df.groupBy("patient", F.col("clock").alias(c)).agg(F.count("*").alias(n))
+    both = side(left, "l_clock", "_l").join(side(right, "r_clock", "_r"), "patient")  # as many rows as pairs of clocks
+    declared = alignment.select("patient", "l_clock", "r_clock", F.lit(True).alias("_aligned"))
+    met = both.join(declared, ["patient", "l_clock", "r_clock"], "left").withColumn("_n", F.col("_l") * F.col("_r"))
+    return met.groupBy("patient").agg(F.sum("_n").alias("pairs"), F.sum(F.when(F.col("_aligned"), F.col("_n")).otherwise(0)).alias("comparable"))

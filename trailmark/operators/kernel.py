@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.store import shares_variables
 from trailmark.plans.pattern import Pattern
 
 NEVER = float("inf")
-MOST_VARIABLES = 4096
 
 
 def closed(d: np.ndarray) -> np.ndarray:
@@ -29,28 +29,53 @@ def closed(d: np.ndarray) -> np.ndarray:
 
 
 class Times:
-    """A patient's variables (node 0 is time zero) and the greatest difference of each pair."""
+    """A patient's variables (node 0 is time zero) and the greatest difference of each pair. Variables are closed within the groups that events tie
+    together; between groups all paths lead through time zero, so a long history is many small networks."""
 
     def __init__(self, events: list[dict]):
         self.node: dict[str, int] = {"": 0}
         self.at: list[tuple[int, int]] = []
         bounds: list[tuple[int, int, float]] = []
+        # differences to the first event's time are exact in floats, for integers below 2**53
+        self.base = base = min((e["lo"] for e in events), default=0)
         for k, e in enumerate(events):
             start = self.node.setdefault(e.get("start_var") or f"\x00s{k}", len(self.node))
             point = e.get("end_var") is None and e["end_lo"] == e["lo"] and e["end_hi"] == e["hi"]
             end = start if point else self.node.setdefault(e.get("end_var") or f"\x00e{k}", len(self.node))
-            bounds += [(0, start, e["hi"]), (start, 0, -e["lo"]), (0, end, e["end_hi"]), (end, 0, -e["end_lo"])] + ([] if point else [(end, start, 0)])
+            bounds += [(0, start, e["hi"] - base), (start, 0, base - e["lo"]), (0, end, e["end_hi"] - base), (end, 0, base - e["end_lo"])] + ([] if point else [(end, start, 0)])
             self.at.append((start, end))
-        if len(self.node) > MOST_VARIABLES:
-            raise ValueError(f"more than {MOST_VARIABLES} time variables in one history")
-        # nodes that share nothing only meet through time zero; the closure is over all, exact for integers below 2**53 from the first event on
-        base = min((e["lo"] for e in events), default=0)
-        d = np.full((len(self.node), len(self.node)), NEVER)
-        np.fill_diagonal(d, 0)
+        parent = list(range(len(self.node)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for i, j, _ in bounds:
+            if i and j:
+                parent[root(i)] = root(j)
+        groups: dict[int, list[int]] = {}
+        for x in range(1, len(self.node)):
+            groups.setdefault(root(x), []).append(x)
+        self.group, self.place, self.networks = {0: None}, {0: 0}, {}
+        for r, members in groups.items():
+            for k, x in enumerate(members, 1):
+                self.group[x], self.place[x] = r, k
+            d = np.full((len(members) + 1, len(members) + 1), NEVER)
+            np.fill_diagonal(d, 0)
+            self.networks[r] = d
         for i, j, w in bounds:
-            d[i, j] = min(d[i, j], w - base * (i == 0 and j != 0) + base * (j == 0 and i != 0))
-        self.base, self.d = base, closed(d)
-        self.consistent = bool((np.diag(self.d) >= 0).all())
+            d = self.networks[self.group[i or j]]
+            d[self.place[i], self.place[j]] = min(d[self.place[i], self.place[j]], w)
+        self.consistent = all((np.diag(closed(d)) >= 0).all() for d in self.networks.values())
+
+    def most(self, i: int, j: int) -> float:
+        """The greatest x_j - x_i."""
+        if i == j:
+            return 0
+        if 0 in (i, j) or self.group[i] == self.group[j]:
+            return self.networks[self.group[i or j]][self.place[i], self.place[j]]
+        return self.networks[self.group[i]][self.place[i], 0] + self.networks[self.group[j]][0, self.place[j]]
 
 
 def constraints(pattern: Pattern, w_start: int, w_end: int) -> list[tuple[tuple[str, int], tuple[str, int], float]]:
@@ -98,12 +123,12 @@ def decide(pattern: Pattern, events: list[dict], domains: dict[str, list[int]],
             if all(test(node(x, grown), node(y, grown), w) for x, y, w in limits if step in (x[0], y[0]) and {x[0], y[0]} <= known):
                 yield from search(test, grown)
 
-    if next(search(lambda i, j, w: times.d[i, j] <= w, {}), None) is not None:
+    if next(search(lambda i, j, w: times.most(i, j) <= w, {}), None) is not None:
         return "exact"
-    for binding in search(lambda i, j, w: times.d[j, i] + w >= 0, {}):
+    for binding in search(lambda i, j, w: times.most(j, i) + w >= 0, {}):
         nodes = sorted({0, *(n for e in binding.values() for n in times.at[e])})
         place = {n: k for k, n in enumerate(nodes)}
-        d = times.d[np.ix_(nodes, nodes)].copy()
+        d = np.array([[times.most(i, j) for j in nodes] for i in nodes], float)
         for x, y, w in limits:
             i, j = place[node(x, binding)], place[node(y, binding)]
             d[i, j] = min(d[i, j], w)
@@ -113,9 +138,11 @@ def decide(pattern: Pattern, events: list[dict], domains: dict[str, list[int]],
 
 
 def shared_statuses(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
-    """patient and status of patients whose events share variables (start_var, end_var; null for own ones)."""
+    """patient and status of the patients of whose events some share variables (start_var, end_var; null for own ones); all others are left to the closed
+    forms of plans.compile."""
     kinds = {c: {r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()} for c in {s.concept for s in pattern.steps}}  # the bounded catalogue
-    rows = events.select("patient", "event_id", "kind", "lo", "hi", "end_lo", "end_hi", "start_var", "end_var").join(windows, "patient")
+    sharing = shares_variables(events).filter("shared").select("patient")
+    rows = events.select("patient", "event_id", "kind", "lo", "hi", "end_lo", "end_hi", "start_var", "end_var").join(sharing, "patient", "left_semi").join(windows, "patient")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("event_id")

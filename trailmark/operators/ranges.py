@@ -12,29 +12,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bucket(x: Column, width: int) -> Column:
+    """The number of the bucket of a time; exact for longs, unlike the quotient of two doubles."""
+    return F.round((x - F.pmod(x, F.lit(width).cast("long"))) / width).cast("long")
+
+
 def _listed(df: DataFrame, lo: Column, hi: Column, width: int, side: str) -> DataFrame:
-    # exact for longs, unlike the quotient of two doubles
-    first, last = ((x - F.pmod(x, F.lit(width).cast("long"))) / width for x in (lo, hi))
-    first, last = F.round(first).cast("long"), F.round(last).cast("long")
+    first, last = bucket(lo, width), bucket(hi, width)
     return df.withColumn(f"_first_{side}", first).withColumn("_bucket", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
-def join_ranges(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int, how: str = "inner") -> DataFrame:
+def join_ranges(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int) -> DataFrame:
     """Pairs with equal keys whose closed ranges overlap; columns of both sides, keys once. Column names must differ otherwise.
     Ranges must be bounded; width is the buckets' length, best about the ranges' own."""
     l, r = _listed(left, *left_range, width, "l"), _listed(right, *right_range, width, "r")
     r = r.withColumn("_r_lo", right_range[0]).withColumn("_r_hi", right_range[1])
     l = l.withColumn("_l_lo", left_range[0]).withColumn("_l_hi", left_range[1])
-    on = [*keys, "_bucket"]
-    if how == "left_semi":
-        met = l.alias("l").join(r.select(*on, "_r_lo", "_r_hi").alias("r"), (F.col("l._l_lo") <= F.col("r._r_hi")) & (F.col("l._l_hi") >= F.col("r._r_lo")) & _equal(on), "left_semi")
-        return met.select(*left.columns).distinct()
-    met = l.join(r, on).filter("_l_lo <= _r_hi AND _l_hi >= _r_lo AND _bucket = greatest(_first_l, _first_r)")
+    met = l.join(r, [*keys, "_bucket"]).filter("_l_lo <= _r_hi AND _l_hi >= _r_lo AND _bucket = greatest(_first_l, _first_r)")
     return met.drop("_bucket", "_first_l", "_first_r", "_l_lo", "_l_hi", "_r_lo", "_r_hi")
 
 
-def _equal(names: list[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & (F.col(f"l.{n}") == F.col(f"r.{n}"))
-    return out
+def semi_join_range(left: DataFrame, right: DataFrame, keys: list[str], point: Column, right_range: tuple[Column, Column], width: int, condition: Column) -> DataFrame:
+    """The rows of left, once each, that some row of right with equal keys meets the condition with. The condition must imply that left's point lies in right's
+    closed range: only right is listed under several buckets, so that rows of left need no distinct afterwards. Key names must be left's only."""
+    low, high = right_range
+    listed = right.filter(low <= high).withColumn("_bucket", F.explode(F.sequence(bucket(low, width), bucket(high, width))))
+    listed = listed.select("_bucket", *(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = condition & (bucket(point, width) == F.col("_bucket"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(listed, on, "left_semi")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions.timealg import UNITS
+from trailmark.operators.ranges import join_ranges
+
 
 def segments(records: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, from_, to_ and status (SUPPORTED, REFUTED, CONFLICT or UNKNOWN) of each elementary piece of each window (w_start, w_end), by a sweep: a record (positive, s, e) adds one
@@ -37,8 +40,9 @@ def verdicts(pieces: DataFrame, keys: list[str]) -> DataFrame:
     return found.withColumn("verdict", verdict)
 
 
-def point_conflicts(points: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+def point_conflicts(points: DataFrame, records: DataFrame, keys: list[str], width: int = 30 * UNITS["day"]) -> DataFrame:
     """Points (positive, t) inside an interval of the other polarity, or at the time of a point of the other polarity: keys, t."""
-    inside = points.join(records.select(*keys, F.col("positive").alias("r_positive"), "s", "e"), keys).filter("positive <> r_positive AND t >= s AND t < e").select(*keys, "t")
+    held = records.select(*keys, F.col("positive").alias("r_positive"), "s", "e")
+    inside = join_ranges(points, held, keys, (F.col("t"), F.col("t")), (F.col("s"), F.col("e")), width).filter("positive <> r_positive AND t < e").select(*keys, "t")
     both = points.groupBy(*keys, "t").agg((F.bool_or("positive") & F.bool_or(~F.col("positive"))).alias("both")).filter("both").select(*keys, "t")
     return inside.unionByName(both).distinct()

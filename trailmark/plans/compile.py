@@ -6,6 +6,10 @@ the patient alone. Exact decisions over forests are semi-joins from the leaves t
 bindings are joined on plausibility and tested jointly. Relaxed ones come from one join of the widest pattern, each binding
 priced by the cheapest set that admits it.
 
+A step bound to the first or last event of its kind under uncertain times is one scenario for each event that can be it: the pattern is
+exact if it is so in every scenario of a patient, possible if it is in some. Scenarios are closed forms as long as no other step can
+bind the events in question; patterns where one can are refused.
+
 Inputs: events (patient, event_id, kind, lo, hi, end_lo, end_hi, micro), windows (patient, w_start, w_end), the closure. Events without shared
 time variables only; others go to operators.kernel.
 """
@@ -18,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
-from trailmark.operators.ranges import join_ranges
+from trailmark.operators.derived import scenarios
+from trailmark.operators.ranges import join_ranges, semi_join_range
 from trailmark.plans.pattern import Pattern, Relation, Step
-from trailmark.sources.model import of_concept
+from trailmark.sources.model import of_concept, unknown_concepts
 
-FIELDS = ("event_id", "lo", "hi", "end_lo", "end_hi")
+FIELDS = ("event_id", "lo", "hi", "end_lo", "end_hi", "kind")
 
 
 def both(conditions: list[Column]) -> Column:
@@ -30,7 +35,8 @@ def both(conditions: list[Column]) -> Column:
 
 
 def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[str] | None = None) -> DataFrame:
-    """The step's candidate events: of its concept, meeting its value condition, the first or last where asked."""
+    """The step's candidate events: of its concept, meeting its value condition; of a step bound to the first or last, one row for each event that can
+    be it, as it is in the worlds in which it is."""
     wanted = concepts or {step.concept}
     rows = reduce(lambda a, b: a.unionByName(b), [of_concept(events, closure, c) for c in sorted(wanted)]) if len(wanted) > 1 else of_concept(events, closure, next(iter(wanted)))
     rows = rows.distinct() if len(wanted) > 1 else rows
@@ -38,13 +44,7 @@ def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[st
         rows = rows.filter(F.col("micro") >= step.at_least)
     if step.below is not None:
         rows = rows.filter(F.col("micro") < step.below)
-    if step.occurrence:
-        keys = ("lo", "hi", "end_lo", "end_hi", "event_id")
-        pick = F.min_by if step.occurrence == "first" else F.max_by
-        by = F.struct(*keys) if step.occurrence == "first" else F.struct("hi", "lo", "end_hi", "end_lo", "event_id")
-        row = F.struct(*[c for c in rows.columns if c != "patient"])
-        rows = rows.groupBy("patient").agg(pick(row, by).alias("_row")).select("patient", "_row.*")
-    return rows
+    return scenarios(rows, step.occurrence) if step.occurrence else rows
 
 
 def named(rows: DataFrame, step: str) -> DataFrame:
@@ -94,14 +94,43 @@ def width_of(r: Relation) -> int:
     return max(ta.UNITS["hour"], (r.most or 0) - (r.least or 0) if r.kind == "after" else ta.UNITS["day"] + r.grace)
 
 
-def joined(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str, how: str = "inner") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str) -> DataFrame:
     """left (which has step) joined with right (step `other`) on the patient and the relation's reach."""
-    if (r.kind == "after" and (span := reach(r, step, other)) is not None) or (r.kind == "during" and step == r.source and (span := reach(r, step, other)) is not None):
-        return join_ranges(left, right, ["patient"], span, (F.col(f"{other}_lo"), F.col(f"{other}_hi")), width_of(r), how)
-    return left.join(right, "patient", how)
+    span, times = reach(r, step, other), (F.col(f"{other}_lo"), F.col(f"{other}_hi"))
+    if span is None:
+        return left.join(right, "patient")
+    if r.kind == "after":
+        return join_ranges(left, right, ["patient"], span, times, width_of(r))
+    # all that begins after an ongoing event is its partner: no list of buckets is needed to find it
+    ongoing = F.col(f"{step}_end_hi") >= ta.FOREVER
+    near = join_ranges(left.filter(~ongoing), right, ["patient"], span, times, width_of(r))
+    return near.unionByName(left.filter(ongoing).join(right, "patient").filter(times[1] >= span[0]))
+
+
+def supported(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str) -> DataFrame:
+    """The rows of left (which has step) that some row of right (step `other`) meets the relation with, for certain."""
+    names = {f"{s}_{c}": F.col(f"{s}_{c}") for s in (step, other) for c in FIELDS}
+    own, its = (lambda c: names[f"{step}_{c}"]), (lambda c: names[f"{other}_{c}"])
+    if r.kind == "after" and None not in (r.least, r.most):
+        same = 0 if r.least <= 0 <= r.most else None  # an event that both steps have is its own partner, whatever its range
+        span = (its("hi") - r.most, its("lo") - r.least) if step == r.source else (its("hi") + r.least, its("lo") + r.most)
+        point = own("hi") if step == r.source else own("lo")
+        if same is not None:
+            span = (F.least(span[0], its("hi" if step == r.source else "lo")), F.greatest(span[1], its("hi" if step == r.source else "lo")))
+        return semi_join_range(left, right, ["patient"], point, span, width_of(r), holds(r, ta.certain))
+    if r.kind == "during" and step == r.target:  # each left row begins within the other's range
+        ongoing = its("end_lo") >= ta.FOREVER
+        near = semi_join_range(left, right.filter(~ongoing), ["patient"], own("lo"), (its("lo"), its("end_lo") + r.grace), width_of(r), holds(r, ta.certain))
+        begun = right.filter(ongoing).groupBy("patient").agg(F.min(its("hi")).alias("_begun"))  # it covers whatever begins later
+        far = left.join(begun, "patient").filter(own("lo") >= F.col("_begun")).drop("_begun")
+        return near.unionByName(far).dropDuplicates(["patient", f"{step}_event_id"])
+    right = right.select(F.col("patient").alias("_r_patient"), *(c for c in right.columns if c != "patient"))
+    return left.join(right, (F.col("patient") == F.col("_r_patient")) & holds(r, ta.certain), "left_semi")
 
 
 def sides(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame, test, concepts: dict[str, set[str]] | None = None) -> dict[str, DataFrame]:
+    if missing := unknown_concepts(closure, sorted(set().union(*pattern.concepts().values()))):
+        raise ValueError(f"unknown concepts: {', '.join(missing)}")  # never an empty match
     out = {}
     for s in pattern.steps:
         rows = named(selected(events, closure, s, concepts and concepts[s.id]), s.id)
@@ -160,8 +189,36 @@ def jointly(pattern: Pattern) -> Column:
     return linked
 
 
+def ordered_steps(pattern: Pattern, closure: DataFrame) -> list[Step]:
+    """The steps bound to a first or last event. Raises where another step could bind the same events, since scenarios would not be independent then."""
+    ordered = [s for s in pattern.steps if s.occurrence]
+    if ordered:
+        kinds = {c: {r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()} for cs in pattern.concepts().values() for c in cs}  # from the bounded catalogue
+        held = {i: set().union(*(kinds[c] for c in cs)) for i, cs in pattern.concepts().items()}
+        for s in ordered:
+            if clash := [o.id for o in pattern.steps if o.id != s.id and held[o.id] & held[s.id]]:
+                raise ValueError(f"steps {clash} can bind the events that {s.id} takes its {s.occurrence} from")
+            if len(pattern.concepts()[s.id]) > 1:
+                raise ValueError(f"{s.id} takes the {s.occurrence} event and can't be widened")
+    return ordered
+
+
+def in_all_scenarios(pattern: Pattern, ordered: list[Step], found: DataFrame, events: DataFrame, closure: DataFrame, by: list[str]) -> DataFrame:
+    """patient and by: where found (bindings that are certain in their scenario) has every scenario of the patient."""
+    total = None
+    for s in ordered:
+        n = selected(events, closure, s).groupBy("patient").agg(F.count("*").alias(f"_n_{s.id}"))
+        total = n if total is None else total.join(n, "patient")
+    met = found.groupBy("patient", *by).agg(F.count_distinct(*(F.col(f"{s.id}_event_id") for s in ordered)).alias("_met"))
+    every = reduce(lambda a, b: a * b, [F.col(f"_n_{s.id}") for s in ordered])
+    return met.join(total, "patient").filter(F.col("_met") == every).select("patient", *by)
+
+
 def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
-    """Patients with a binding that holds in all worlds. Forests need semi-joins only: a step keeps the events that some event of each child supports."""
+    """Patients with a binding that holds in all worlds; with first or last steps, with one for every event that can be it. Forests without such
+    steps need semi-joins only: a step keeps the events that some event of each child supports."""
+    if ordered := ordered_steps(pattern, closure):
+        return in_all_scenarios(pattern, ordered, bindings(pattern, events, closure, windows, ta.certain), events, closure, [])
     if not pattern.is_forest():
         return bindings(pattern, events, closure, windows, ta.certain).select("patient").distinct()
     views = sides(pattern, events, closure, windows, ta.certain)
@@ -174,13 +231,13 @@ def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, wind
             tops = own if tops is None else tops.join(own, "patient", "left_semi")
             continue
         other = by.source if by.target == step.id else by.target
-        met = joined(views[other], rows, by, other, step.id).filter(holds(by, ta.certain))
-        views[other] = met.select(*views[other].columns).distinct()
+        views[other] = supported(views[other], rows, by, other, step.id)
     return tops
 
 
 def possible_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
     """Patients with a binding that holds in some world."""
+    ordered_steps(pattern, closure)
     found = bindings(pattern, events, closure, windows, ta.plausible)
     if pattern.scope != "any":
         found = found.join(windows, "patient")
@@ -199,16 +256,14 @@ def relaxed_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, wi
         relations.append(Relation(r.id, r.kind, r.source, r.target, r.least, most, max([r.grace, *(int(x.value) for x in values if x.kind == "raise_grace")])))
     widest = Pattern(pattern.steps, tuple(relations), (), scope=pattern.scope)
     found = bindings(widest, events, closure, windows, ta.certain, widest_steps)
-    kinds = events.select("event_id", "kind").distinct()
-    for s in pattern.steps:
-        found = found.join(kinds.select(F.col("event_id").alias(f"{s.id}_event_id"), F.col("kind").alias(f"{s.id}_kind")), f"{s.id}_event_id")
     ancestors = {c: [r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()] for cs in widest_steps.values() for c in cs}  # a concept's kinds, from the bounded catalogue
-    best = F.lit(None).cast("int")
-    for k, chosen in reversed([*enumerate(sets)]):
-        p = pattern.relaxed(chosen)
-        fits = both([F.col(f"{s.id}_kind").isin(ancestors[s.concept]) for s in p.steps] + [holds(r, ta.certain) for r in p.relations])
-        best = F.when(fits, k).otherwise(best)
-    ranked = found.select("patient", best.alias("k")).filter("k IS NOT NULL").groupBy("patient").agg(F.min("k").alias("k"))
+    fits = [both([F.col(f"{s.id}_kind").isin(ancestors[s.concept]) for s in p.steps] + [holds(r, ta.certain) for r in p.relations]) for p in map(pattern.relaxed, sets)]
+    if ordered := ordered_steps(pattern, closure):
+        each = found.withColumn("k", F.explode(F.filter(F.array(*(F.when(f, k) for k, f in enumerate(fits))), lambda k: k.isNotNull())))
+        met = in_all_scenarios(pattern, ordered, each, events, closure, ["k"])
+    else:
+        met = found.select("patient", F.coalesce(*(F.when(f, k) for k, f in enumerate(fits)), F.lit(None).cast("int")).alias("k")).filter("k IS NOT NULL")
+    ranked = met.groupBy("patient").agg(F.min("k").alias("k"))
     rows = [(k, sum(x.cost for x in s), len(s), ",".join(sorted(x.id for x in s))) for k, s in enumerate(sets)]
     table = events.sparkSession.createDataFrame(rows or [(-1, None, 0, "")], "k int, cost decimal(18,6), size int, relaxations string")
     return ranked.join(F.broadcast(table), "k").drop("k")  # as many rows as sets

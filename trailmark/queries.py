@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
+from trailmark.lineage import cut
 from trailmark.operators import derived, evidence, intervals, kernel, rules, similarity, states, store
 from trailmark.operators.ranges import join_ranges
 from trailmark.plans import compile as plans
@@ -84,19 +85,18 @@ def bucket_index(spark, d):
     return store.indexed(Model(spark, d).events)
 
 
-@query("SELECT DISTINCT patient FROM ev WHERE kind = 'signup' AND micro < 60000000 INTERSECT SELECT patient FROM ev WHERE kind = 'error' AND micro < 60000000")
+@query("SELECT DISTINCT patient FROM ev WHERE kind = 'signup' INTERSECT SELECT patient FROM ev WHERE kind = 'error'")
 def candidate_intersection(spark, d):
     m = Model(spark, d)
-    low = m.events.filter("micro < 60000000")
-    return plans.candidates(Pattern((Step("a", "signup"), Step("b", "error"))), store.postings(low, m.closure))
+    return plans.candidates(Pattern((Step("a", "signup"), Step("b", "error"))), store.postings(m.events, m.closure))
 
 
-@query(f"""SELECT w.patient FROM win w JOIN (SELECT patient, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'error' AND micro < 40000000 GROUP BY 1) a USING (patient) JOIN (SELECT patient, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'signup' AND micro < 40000000 GROUP BY 1) b USING (patient)
+@query(f"""SELECT w.patient FROM win w JOIN (SELECT patient, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'error' GROUP BY 1) a USING (patient) JOIN (SELECT patient, min(t) AS lo, max(t) AS hi FROM ev WHERE kind = 'signup' GROUP BY 1) b USING (patient)
 WHERE w_start IS NOT NULL AND a.hi >= w_start AND a.lo <= w_end AND b.hi >= w_start AND b.lo <= w_end AND b.hi - a.lo >= {3 * DAY} AND b.lo - a.hi <= {4 * DAY}""")
 def time_prune(spark, d):
     m = Model(spark, d)
     p = Pattern((Step("a", "error"), Step("b", "signup")), (Relation("r", "after", "a", "b", 3 * DAY, 4 * DAY),), scope="within")
-    return plans.time_pruned(p, store.postings(m.events.filter("micro < 40000000"), m.closure), m.windows)
+    return plans.time_pruned(p, store.postings(m.events, m.closure), m.windows)
 
 
 @query("SELECT patient, event_id, lo, hi, string_agg(ancestor, ',' ORDER BY ancestor) AS concepts FROM ev JOIN closure ON kind = concept WHERE ancestor IN ('conversion', 'activity', 'incident') GROUP BY patient, event_id, lo, hi")
@@ -153,6 +153,24 @@ def chain3_possible(spark, d):
     return plans.possible_patients(CHAIN, m.events, m.closure, m.windows)
 
 
+FIRST_THEN = Pattern((Step("a", "signup", occurrence="first"), Step("b", "purchase")), (Relation("r", "after", "a", "b", 0, 10 * DAY),))
+FIRST_LAST = Pattern((Step("a", "signup", occurrence="first"), Step("b", "purchase", occurrence="last")), (Relation("r", "after", "a", "b", 0, 26 * DAY),))
+SCENARIOS = """first_ AS (SELECT k.patient, k.event_id, k.lo, least(k.hi, min(o.hi)) AS hi FROM ev k LEFT JOIN ev o ON o.patient = k.patient AND o.kind = k.kind AND o.event_id <> k.event_id WHERE k.kind = 'signup' GROUP BY k.patient, k.event_id, k.lo, k.hi HAVING min(o.hi) IS NULL OR k.lo <= min(o.hi)),
+last_ AS (SELECT k.patient, k.event_id, greatest(k.lo, max(o.lo)) AS lo, k.hi FROM ev k LEFT JOIN ev o ON o.patient = k.patient AND o.kind = k.kind AND o.event_id <> k.event_id WHERE k.kind = 'purchase' GROUP BY k.patient, k.event_id, k.lo, k.hi HAVING max(o.lo) IS NULL OR k.hi >= max(o.lo))"""
+
+
+@query(f""", {SCENARIOS} SELECT patient FROM (SELECT a.patient, a.event_id, coalesce(bool_or(b.lo - a.hi >= 0 AND b.hi - a.lo <= {10 * DAY}), false) AS sure FROM first_ a LEFT JOIN ev b ON b.patient = a.patient AND b.kind = 'purchase' GROUP BY ALL) GROUP BY patient HAVING bool_and(sure)""")
+def ordered_exact(spark, d):
+    m = Model(spark, d, True)
+    return plans.exact_patients(FIRST_THEN, m.events, m.closure, m.windows)
+
+
+@query(f", {SCENARIOS} SELECT DISTINCT a.patient FROM first_ a JOIN last_ b ON a.patient = b.patient AND b.hi - a.lo >= 0 AND b.lo - a.hi <= {26 * DAY}")
+def ordered_possible(spark, d):
+    m = Model(spark, d, True)
+    return plans.possible_patients(FIRST_LAST, m.events, m.closure, m.windows)
+
+
 DURING = Pattern((Step("x", "1-URGENT"), Step("y", "2-HIGH")), (Relation("r", "during", "x", "y", grace=2 * DAY),))
 
 
@@ -303,10 +321,11 @@ def exclusion_rule(spark, d):
 
 @query("""SELECT patient, a.event_id AS a_id, b.event_id AS b_id, CASE WHEN a.e < b.s THEN 'before' WHEN a.s > b.e THEN 'after' WHEN a.e = b.s THEN 'meets' WHEN a.s = b.e THEN 'met_by' WHEN a.s = b.s AND a.e = b.e THEN 'equals' WHEN a.s = b.s AND a.e < b.e THEN 'starts' WHEN a.s = b.s THEN 'started_by'
 WHEN a.e = b.e AND a.s > b.s THEN 'finishes' WHEN a.e = b.e THEN 'finished_by' WHEN a.s > b.s AND a.e < b.e THEN 'during' WHEN a.s < b.s AND a.e > b.e THEN 'contains' WHEN a.s < b.s THEN 'overlaps' ELSE 'overlapped_by' END AS relation
-FROM expo a JOIN expo b USING (patient) WHERE a.event_id < b.event_id""")
+FROM expo a JOIN expo b USING (patient) WHERE a.event_id < b.event_id AND a.s <= b.e AND a.e >= b.s""")
 def allen_relation(spark, d):
+    """How intervals that touch are related; all other pairs are before or after each other."""
     rows = model.exposures(spark, d).select("patient", "event_id", "s", "e")
-    both = intervals.renamed(rows, "a", ["patient"]).join(intervals.renamed(rows, "b", ["patient"]), "patient").filter("a_event_id < b_event_id")
+    both = intervals.pairs(rows, rows, ["patient"], 0, 60 * DAY).filter("a_event_id < b_event_id")
     return both.select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), ta.allen(*map(F.col, ("a_s", "a_e", "b_s", "b_e"))).alias("relation"))
 
 
@@ -326,33 +345,39 @@ def interval_cohort(spark, d):
     return found.select("patient", *(F.col(f"s{i}_event_id").alias(f"{n}_id") for i, n in enumerate("abc")))
 
 
-def _bounded_pairs(spark, d):
-    rows = model.exposures(spark, d).filter("event_id % 3 = 0 OR kind = '1-URGENT'")
-    wide = rows.select("patient", "event_id", "s", "e", *((F.col(c) + sign * (F.col("event_id") % k) * DAY).alias(f"{c}_{x}") for c in "se" for x, sign, k in (("lo", -1, 4), ("hi", 1, 6))), F.when(F.col("event_id") % 11 == 0, "local").otherwise("utc").alias("clock"))
-    return intervals.pairs(wide, wide, ["patient"], 40 * DAY, 90 * DAY)
+def _bounded(spark, d):
+    """Exposures whose ends are known within days, on one of two clocks."""
+    bounds = [(F.col(c) + sign * (F.col("event_id") % k) * DAY).alias(f"{c}_{x}") for c in "se" for x, sign, k in (("lo", -1, 4), ("hi", 1, 6))]
+    return model.exposures(spark, d).select("patient", "event_id", "s", "e", *bounds, F.when(F.col("event_id") % 11 == 0, "local").otherwise("utc").alias("clock"))
 
 
-BOUNDED = f"(SELECT patient, event_id, s, e, s - (event_id % 4) * {DAY} AS s_lo, s + (event_id % 6) * {DAY} AS s_hi, e - (event_id % 4) * {DAY} AS e_lo, e + (event_id % 6) * {DAY} AS e_hi, CASE WHEN event_id % 11 = 0 THEN 'local' ELSE 'utc' END AS clock FROM expo WHERE event_id % 3 = 0 OR kind = '1-URGENT')"
-BOUNDED_PAIRS = f"{BOUNDED} a JOIN {BOUNDED} b ON a.patient = b.patient AND a.event_id <> b.event_id AND a.s - {40 * DAY} <= b.e AND a.e + {40 * DAY} >= b.s"
+BOUNDED = f"bnd AS (SELECT patient, event_id, s - (event_id % 4) * {DAY} AS s_lo, s + (event_id % 6) * {DAY} AS s_hi, e - (event_id % 4) * {DAY} AS e_lo, e + (event_id % 6) * {DAY} AS e_hi, CASE WHEN event_id % 11 = 0 THEN 'local' ELSE 'utc' END AS clock FROM expo)"
+BOUNDED_PAIRS = "bnd a JOIN bnd b ON a.patient = b.patient AND a.event_id <> b.event_id"
 
 
-@query(f"""SELECT a.patient, a.event_id AS a_id, b.event_id AS b_id, CASE WHEN a.clock <> b.clock THEN 'INCOMPARABLE' WHEN NOT (greatest(a.e_lo, a.s_lo + 1) + 1 <= least(b.s_hi, b.e_hi - 1)) THEN 'IMPOSSIBLE' WHEN a.e_hi - b.s_lo <= -1 THEN 'CERTAIN' ELSE 'POSSIBLE' END AS status FROM {BOUNDED_PAIRS}""")
+@query(f""", {BOUNDED} SELECT a.patient, a.event_id AS a_id, b.event_id AS b_id, CASE WHEN a.s_hi < b.s_lo AND b.s_hi < a.e_lo AND a.e_hi < b.e_lo THEN 'CERTAIN' ELSE 'POSSIBLE' END AS status FROM {BOUNDED_PAIRS} AND a.clock = b.clock
+WHERE a.s_lo < b.s_hi AND greatest(b.s_lo, a.s_lo + 1) < a.e_hi AND greatest(b.s_lo, a.s_lo + 1) <= b.s_hi AND greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) < b.e_hi AND greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) <= a.e_hi""")
 def bounded_classify(spark, d):
-    return _bounded_pairs(spark, d).select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), intervals.bounded("before").alias("status"))
+    """Pairs of which the first overlaps the second for certain or possibly; all others of one clock are impossible."""
+    rows = _bounded(spark, d)
+    spans = rows.select("patient", "event_id", "clock", "s_lo", "s_hi", "e_lo", "e_hi", F.col("s_lo").alias("s"), F.col("e_hi").alias("e"))
+    found = intervals.pairs(spans, spans, ["patient"], 0, 120 * DAY).filter("a_clock = b_clock").select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), intervals.bounded("overlaps").alias("status"))
+    return found.filter(F.col("status").isin("CERTAIN", "POSSIBLE"))
 
 
-@query(f"""SELECT patient, CASE max(CASE WHEN a_clock <> b_clock THEN 1 WHEN NOT ok THEN 0 WHEN sure THEN 3 ELSE 2 END) WHEN 3 THEN 'CERTAIN_MATCH' WHEN 2 THEN 'POSSIBLE_MATCH' WHEN 1 THEN 'INCOMPARABLE' ELSE 'NO_RECORDED_MATCH' END AS status FROM (
+@query(f""", {BOUNDED} SELECT patient, CASE max(CASE WHEN a_clock <> b_clock THEN 1 WHEN NOT ok THEN 0 WHEN sure THEN 3 ELSE 2 END) WHEN 3 THEN 'CERTAIN_MATCH' WHEN 2 THEN 'POSSIBLE_MATCH' WHEN 1 THEN 'INCOMPARABLE' ELSE 'NO_RECORDED_MATCH' END AS status FROM (
 SELECT a.patient, a.clock AS a_clock, b.clock AS b_clock, greatest(a.e_lo, a.s_lo + 1) + 1 <= least(b.s_hi, b.e_hi - 1) AS ok, a.e_hi - b.s_lo <= -1 AS sure FROM {BOUNDED_PAIRS}) GROUP BY patient""")
 def bounded_rollup(spark, d):
-    return intervals.rolled_up(_bounded_pairs(spark, d).select("patient", intervals.bounded("before").alias("status")), ["patient"])
+    return intervals.before_rolled_up(_bounded(spark, d), ["patient"])
 
 
 ROBUST = [("original", 0, 0, 2 * DAY), ("ten_days", 1, 0, 10 * DAY), ("month", 2, 0, 30 * DAY), ("never", 9, 0, 300 * DAY)]
 
 
-@query(f"""SELECT patient, arg_min(option, cost) AS option, min(cost)::INTEGER AS cost FROM ({" UNION ALL ".join(f"SELECT a.patient, '{n}' AS option, {c} AS cost FROM {BOUNDED_PAIRS} WHERE a.clock = b.clock AND a.e_hi - b.s_lo <= {-lo} AND b.s_hi - a.e_lo <= {hi}" for n, c, lo, hi in ROBUST[:3])}) GROUP BY patient""")
+@query(f""", {BOUNDED} SELECT patient, arg_min(option, cost) AS option, min(cost)::INTEGER AS cost FROM ({" UNION ALL ".join(f"SELECT a.patient, '{n}' AS option, {c} AS cost FROM {BOUNDED_PAIRS} WHERE a.clock = b.clock AND a.e_hi - b.s_lo <= {-lo} AND b.s_hi - a.e_lo <= {hi}" for n, c, lo, hi in ROBUST[:3])}) GROUP BY patient""")
 def robust_relaxation(spark, d):
-    return intervals.robust(_bounded_pairs(spark, d), ROBUST, ["patient"], 5)
+    rows = _bounded(spark, d)
+    return intervals.robust(intervals.pairs(rows, rows, ["patient"], 40 * DAY, 90 * DAY), ROBUST, ["patient"], 5)  # no option within the budget reaches further
 
 
 def _readings(spark, d):
@@ -400,6 +425,7 @@ BOUGHT = "bought AS (SELECT DISTINCT o_custkey AS patient, p_brand AS kind FROM
 
 def _concepts(spark, d):
     kinds, catalogue = _bought(spark, d)
+    kinds = cut(kinds)  # a three-way join that several steps read
     concepts = kinds.join(F.broadcast(catalogue), F.col("kind") == F.col("concept")).select("patient", F.col("ancestor").alias("concept")).distinct()
     return kinds, catalogue, concepts, kinds.agg(F.min("patient")).first()[0], kinds.select("patient").distinct().count()
 
@@ -443,10 +469,11 @@ def weighted_rank_topk(spark, d):
     return similarity.ranked(rows, "distance", "patient", 25)
 
 
-@query("""SELECT coalesce(a.patient, b.patient) AS patient, CASE WHEN a.patient IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT patient FROM ev WHERE kind = 'error' AND micro < 30000000) a FULL JOIN (SELECT DISTINCT patient FROM ev WHERE kind = 'signup' AND micro < 30000000) b ON a.patient = b.patient WHERE a.patient IS NULL OR b.patient IS NULL""")
+@query("""SELECT coalesce(a.patient, b.patient) AS patient, CASE WHEN a.patient IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT patient FROM ev WHERE kind = 'error' GROUP BY 1 HAVING count(*) >= 12) a FULL JOIN (SELECT patient FROM ev WHERE kind = 'signup' GROUP BY 1 HAVING count(*) >= 12) b ON a.patient = b.patient WHERE a.patient IS NULL OR b.patient IS NULL""")
 def revision_diff(spark, d):
-    rows = model.events(spark, d).filter("micro < 30000000")
-    old, new = (rows.filter(F.col("kind") == k).select("patient").distinct() for k in ("error", "signup"))
+    """Who joins and who leaves where a query for twelve errors is revised to twelve signups."""
+    rows = model.events(spark, d)
+    old, new = (rows.filter(F.col("kind") == k).groupBy("patient").agg(F.count("*").alias("n")).filter("n >= 12").select("patient") for k in ("error", "signup"))
     tag = lambda df, t: df.withColumn("change", F.lit(t))
     return tag(new.join(old, "patient", "left_anti"), "added").unionByName(tag(old.join(new, "patient", "left_anti"), "removed"))
 
@@ -569,12 +596,12 @@ def target_split(spark, d):
 
 
 @query("""SELECT query, round(sum(relevant) FILTER (rank <= 10) / 10, 9) AS precision, round(sum(relevant) FILTER (rank <= 10) / sum(relevant), 9) AS recall, round(coalesce(1 / min(rank) FILTER (relevant = 1), 0), 9) AS reciprocal_rank, round(coalesce(sum(hits / rank) FILTER (relevant = 1) / sum(relevant), 0), 9) AS average_precision FROM (
-SELECT *, sum(relevant) OVER (PARTITION BY query ORDER BY rank) AS hits FROM (SELECT q.user_id AS query, row_number() OVER (PARTITION BY q.user_id ORDER BY abs(e.value - q.v), e.event_id) AS rank, (e.event_type = 'purchase')::INTEGER AS relevant FROM (SELECT user_id, max(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1) q JOIN events e ON e.user_id = q.user_id)) GROUP BY query""")
+SELECT *, sum(relevant) OVER (PARTITION BY query ORDER BY rank) AS hits FROM (SELECT q.user_id AS query, row_number() OVER (PARTITION BY q.user_id ORDER BY abs(e.value - q.v), e.event_id) AS rank, (e.event_type = 'purchase')::INTEGER AS relevant FROM (SELECT user_id, max(value) AS v FROM events GROUP BY 1) q JOIN events e ON e.user_id = q.user_id)) GROUP BY query""")
 def retrieval_metrics(spark, d):
     from pyspark.sql import Window
 
     rows = read(spark, d, "events")
-    probe = rows.filter("event_id % 3 = 0").groupBy("user_id").agg(F.max("value").alias("v"))
+    probe = rows.groupBy("user_id").agg(F.max("value").alias("v"))
     w = Window.partitionBy("user_id").orderBy(F.abs(F.col("value") - F.col("v")), "event_id")
     ranks = rows.join(probe, "user_id").select(F.col("user_id").alias("query"), F.row_number().over(w).alias("rank"), (F.col("event_type") == "purchase").cast("int").alias("relevant"))
     return similarity.retrieval(ranks, 10)
@@ -630,11 +657,10 @@ def preflight(spark, d):
 @query("""SELECT a.patient, count(*)::BIGINT AS pairs, count(*) FILTER (a.clock = b.clock OR a.patient % 3 = 0)::BIGINT AS comparable FROM (SELECT patient, event_id, 'c' || event_id % 2 AS clock FROM ev WHERE kind = 'signup') a JOIN (SELECT patient, event_id, 'c' || event_id % 2 AS clock FROM ev WHERE kind = 'purchase') b ON a.patient = b.patient GROUP BY a.patient""")
 def clock_alignment(spark, d):
     rows = model.events(spark, d).withColumn("clock", F.concat(F.lit("c"), (F.col("event_id") % 2).cast("string")))
-    side = lambda k: rows.filter(F.col("kind") == k).select("patient", F.col("event_id").alias(k), "clock")
-    patients = rows.select("patient").distinct()
+    side = lambda k: rows.filter(F.col("kind") == k).select("patient", "clock")
     names = F.array(*(F.struct(F.lit(a).alias("l_clock"), F.lit(b).alias("r_clock")) for a in ("c0", "c1") for b in ("c0", "c1")))
-    declared = patients.select("patient", F.inline(names)).filter("l_clock = r_clock OR patient % 3 = 0")
-    return intervals.aligned(side("signup"), side("purchase"), declared).groupBy("patient").agg(F.count("*").alias("pairs"), F.count_if("comparable").alias("comparable"))
+    declared = rows.select("patient").distinct().select("patient", F.inline(names)).filter("l_clock = r_clock OR patient % 3 = 0")
+    return intervals.aligned_counts(side("signup"), side("purchase"), declared)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o_orderkey IS NULL THEN 'no_stay' WHEN p_partkey IS NULL THEN 'no_item' WHEN o_custkey % 5 = 0 THEN 'other_patient' END AS problem FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 17 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 19 <> 0) ON l_partkey = p_partkey WHERE o_orderkey IS NULL OR p_partkey IS NULL OR o_custkey % 5 = 0")
@@ -655,9 +681,9 @@ def nearest_anchor(spark, d):
     return near.groupBy("patient").agg(F.min("near").alias("near")).select("patient", "near.event_id", "near.distance")
 
 
-@query("SELECT c_custkey AS patient, CASE WHEN c_mktsegment = 'BUILDING' OR NOT coalesce(low < 50000, true) THEN 'excluded' WHEN low IS NULL THEN 'unresolved' ELSE 'eligible' END AS filter_state FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS patient, CASE WHEN c_mktsegment = 'BUILDING' OR NOT coalesce(low < 50000, true) THEN 'excluded' WHEN low IS NULL THEN 'unresolved' ELSE 'eligible' END AS filter_state FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
 def hard_filters(spark, d):
-    low = read(spark, d, "orders").filter("o_orderstatus = 'P' AND o_orderkey % 4 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("low"))
+    low = read(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("low"))
     rows = read(spark, d, "customer").join(low, "c_custkey", "left")
     return similarity.eligible(rows, [F.col("c_mktsegment") != "BUILDING", F.col("low") < 50000]).select(F.col("c_custkey").alias("patient"), "filter_state")
 
@@ -684,9 +710,9 @@ def shared_variable_flag(spark, d):
     return store.shares_variables(named)
 
 
-@query("SELECT a.kind AS a, b.kind AS b, count(*)::BIGINT AS n FROM (SELECT DISTINCT kind, patient FROM ev WHERE micro < 20000000) a JOIN (SELECT DISTINCT kind, patient FROM ev WHERE micro < 20000000) b ON a.patient = b.patient AND a.kind < b.kind GROUP BY 1, 2")
+@query("SELECT a.kind AS a, b.kind AS b, count(*)::BIGINT AS n FROM (SELECT DISTINCT kind, patient FROM ev) a JOIN (SELECT DISTINCT kind, patient FROM ev) b ON a.patient = b.patient AND a.kind < b.kind GROUP BY 1, 2")
 def stratum_overlap(spark, d):
-    sets = model.events(spark, d).filter("micro < 20000000").groupBy("patient").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most as many as kinds
+    sets = model.events(spark, d).groupBy("patient").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # at most as many as kinds
     pairs = F.flatten(F.transform("kinds", lambda a: F.transform(F.filter("kinds", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return sets.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -718,13 +744,12 @@ def two_pass_count(spark, d):
     return rules.two_passes(statuses(tagged.filter("certain")), statuses(tagged))
 
 
-@query(f"SELECT DISTINCT a.patient FROM ev a JOIN ev b ON a.patient = b.patient AND b.t - a.t >= {10 * DAY} WHERE a.kind = 'signup' AND b.kind = 'error' AND a.micro < 50000000 AND b.micro < 50000000")
+@query(f"SELECT DISTINCT a.patient FROM ev a JOIN ev b ON a.patient = b.patient AND b.t - a.t >= {10 * DAY} WHERE a.kind = 'signup' AND b.kind = 'error'")
 def unbounded_after(spark, d):
     """A relation without an upper bound: extremes of each side decide, no pairs are made."""
     m = Model(spark, d)
-    low = m.events.filter("micro < 50000000")
-    first = model.of_concept(low, m.closure, "signup").groupBy("patient").agg(F.min("hi").alias("a"))
-    last = model.of_concept(low, m.closure, "error").groupBy("patient").agg(F.max("lo").alias("b"))
+    first = model.of_concept(m.events, m.closure, "signup").groupBy("patient").agg(F.min("hi").alias("a"))
+    last = model.of_concept(m.events, m.closure, "error").groupBy("patient").agg(F.max("lo").alias("b"))
     return first.join(last, "patient").filter(F.col("b") - F.col("a") >= 10 * DAY).select("patient")
 
 
