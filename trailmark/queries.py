@@ -786,3 +786,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from trailmark import record_queries  # noqa: E402, F401  registers further queries
