@@ -350,3 +350,12 @@ def digested(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array_min(F.transform("base", lambda b: b["first"])).alias("first_word"), F.array_max(F.transform("base", lambda b: b["last"])).alias("last_word"),
         joined(own).alias("base_labels"), joined(F.concat(own, more)).alias("labels"), score.alias("score"), F.size("found").cast("long").alias("n_found"),
     )
+
+
+_PLACES = ", ".join(f"list_transform(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r}), lambda i: {{'i': i, 'label': '{label}'}})" for p, label in BASE.items())
+#: The base columns; what the rules find isn't SQL.
+BASE_SQL = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+found AS (SELECT doc_id, w, flatten(list_value({_PLACES})) AS f FROM words)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(f)::BIGINT AS n_base, list_min(list_transform(f, lambda x: x.i))::BIGINT AS first_word, list_max(list_transform(f, lambda x: x.i))::BIGINT AS last_word, array_to_string(list_sort(list_distinct(list_transform(f, lambda x: x.label))), ',') AS base_labels FROM found
+"""

@@ -226,3 +226,14 @@ def decided(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame
 def kept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that neither the base rule nor the learned list rejects."""
     return decided(docs, learn(docs, labels, key, text), text).filter("kept").select("row.*")
+
+
+#: The base columns; what the learned list decides isn't SQL.
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT r, i, array_to_string(w[i + 1 : i + {WINDOW}], ' ') AS words FROM d, LATERAL (SELECT unnest(range(len(w) - {WINDOW - 1})) AS i)),
+twice AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, words) AS n FROM win) WHERE n > 1),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM twice, LATERAL (SELECT unnest(range(i, i + {WINDOW})) AS p) GROUP BY r),
+base AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN hit USING (r))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM base
+"""

@@ -66,9 +66,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6_licenses, from the same scan."""
+    return op6_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_quality_rules, from the same statistics."""
+    counts = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality.decided(table(spark, sf_dir, "documents").select("doc_id", "text"), []).select("row.doc_id", *counts, "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "base_"))}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL}
+    return {
+        "op1_line_dedup": lines.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL,
+        "base_phrases": licenses.BASE_SQL, "base_statistics": quality.BASE_SQL,
+    }

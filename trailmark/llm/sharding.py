@@ -62,3 +62,14 @@ def shards(docs: DataFrame, count: int = SHARDS, key: str = "doc_id", text: str
     return found.join(F.broadcast(starts), "shard").select(
         F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "first_byte"
     )
+
+
+#: SQL has no CRC-32, so it is worked out from its table, which a rule gives.
+ORACLE_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_value(n, 0, 0, 0, 0, 0, 0, 0, 0), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+data AS (SELECT doc_id, strlen(coalesce(text, '')) + {OVERHEAD} AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+thin AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM data, crc),
+placed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_byte, sum(size) OVER () AS total FROM thin),
+dealt AS (SELECT *, least({SHARDS} * (2 * first_byte + size) // (2 * total), {SHARDS - 1})::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first_byte) - 1 AS slot, NULL::INTEGER AS grown_shard, first_byte FROM dealt
+"""
