@@ -568,7 +568,9 @@ def merkle_root(spark, d):
     return store.merkle_levels(rows.select("patient", scalars.digest(F.col("patient"), F.col("n"), F.col("total")).alias("digest")), "patient", "digest")
 
 
-@query()
+@query(f"""SELECT patient, count(*)::BIGINT AS plausible, count(*) FILTER (la <= a_hi AND greatest(b_lo, la, c_lo - {24 * HOUR}) <= b_hi AND greatest(c_lo, b_lo, la) <= c_hi)::BIGINT AS feasible FROM (
+SELECT a.patient, greatest(a.lo, b.lo - {24 * HOUR}, c.lo - {30 * HOUR}) AS la, a.hi AS a_hi, b.lo AS b_lo, b.hi AS b_hi, c.lo AS c_lo, c.hi AS c_hi FROM ev a JOIN ev b ON a.patient = b.patient AND b.kind = 'click' AND b.hi >= a.lo AND b.lo - a.hi <= {24 * HOUR}
+JOIN ev c ON c.patient = a.patient AND c.kind = 'purchase' AND c.hi >= b.lo AND c.lo - b.hi <= {24 * HOUR} AND c.hi >= a.lo AND c.lo - a.hi <= {30 * HOUR} WHERE a.kind = 'view') GROUP BY patient""")
 def hof_feasibility(spark, d):
     """Joint feasibility of cyclic bindings of uncertain events, counted by patient."""
     m = Model(spark, d, True)
