@@ -56,19 +56,26 @@ def plausible(bounds: tuple[Column, Column], lo: int | None, hi: int | None) ->
     return out & (bounds[0] <= hi) if hi is not None else out
 
 
-def feasible(lows: Column, highs: Column, edges: list[tuple[int, int, int]]) -> Column:
-    """Whether times x with lows <= x <= highs and x[j] - x[i] >= w for all edges (i, j, w) exist: longest paths by relaxing all
-    edges as often as there are nodes; what still moves then never settles. The expression doesn't grow with the rounds."""
+def _raised(x: Column, edges: list[tuple[int, int, int]]) -> Column:
+    """All times raised at once by what the edges (i, j, w: x[j] - x[i] >= w) ask of them."""
+
+    def node(value: Column, at: Column) -> Column:
+        own = [F.when(at == j, F.get(x, F.lit(i)) + w) for i, j, w in edges]
+        return F.greatest(value, *own) if own else value  # greatest() skips nulls
+
+    return F.transform(x, node) if edges else x
 
-    def relaxed(x: Column) -> Column:
-        def node(value: Column, at: Column) -> Column:
-            own = [F.when(at == j, F.get(x, F.lit(i)) + w) for i, j, w in edges]
-            return F.greatest(value, *own) if own else value  # greatest() skips nulls
 
-        return F.transform(x, node) if edges else x
+def earliest(lows: Column, edges: list[tuple[int, int, int]]) -> Column:
+    """The least times that meet all edges, where there are such: longest paths by raising all times as often as there are nodes. The expression
+    doesn't grow with the rounds."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(lows)), lows, lambda x, _: _raised(x, edges))
 
-    settled = F.aggregate(F.sequence(F.lit(1), F.size(lows)), lows, lambda x, _: relaxed(x))
-    return F.transform(F.array(settled), lambda x: (relaxed(x) == x) & F.forall(F.zip_with(x, highs, lambda a, b: a <= b), lambda ok: ok))[0]
+
+def feasible(lows: Column, highs: Column, edges: list[tuple[int, int, int]]) -> Column:
+    """Whether times x with lows <= x <= highs and x[j] - x[i] >= w for all edges (i, j, w) exist. What still moves after as many rounds as
+    there are nodes never settles."""
+    return F.transform(F.array(earliest(lows, edges)), lambda x: (_raised(x, edges) == x) & F.forall(F.zip_with(x, highs, lambda a, b: a <= b), lambda ok: ok))[0]
 
 
 def allen(s: Column, e: Column, u: Column, v: Column) -> Column:

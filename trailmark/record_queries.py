@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trailmark.operators import counts, records
+from trailmark.functions import timealg as ta
+from trailmark.lineage import cut
+from trailmark.operators import counts, intervals, networks, records
 from trailmark.plans import compile as plans
 from trailmark.plans.conditions import condition, duration
 from trailmark.plans.pattern import Pattern, Relation, Step
-from trailmark.queries import BASE, DAY, HOUR, RELAXED, SQL, STATUS_SQL, Model, model, query, read, two_pass_count
+from trailmark.queries import BASE, BOUNDED, BOUNDED_PAIRS, DAY, HOUR, RELAXED, SQL, STATUS_SQL, Model, _bounded, model, query, read, two_pass_count
 
 SPAN = duration("24", "hour")
 #: The islands of times at which three errors can lie in the span before, and the errors cut to them, in SQL.
@@ -128,7 +130,7 @@ def measurement_selection(spark, d):
     """Accepted claims of each record with the bounds of their time, and what keeps a record from being used."""
     items = read(spark, d, "lineitem")
     claims = items.select(F.col("l_partkey").alias("record"), F.col("l_orderkey").alias("time_var"), (F.col("l_suppkey") % 3).alias("scope"), F.col("l_quantity").cast("decimal(18,2)").alias("value"), (F.col("l_returnflag") != "R").alias("accepted"), F.col("l_linestatus").alias("support"))
-    at = plans.ta.micros_of(F.col("o_orderdate").cast("timestamp_ntz"))
+    at = ta.micros_of(F.col("o_orderdate").cast("timestamp_ntz"))
     times = read(spark, d, "orders").filter("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("time_var"), (F.col("o_custkey") % 3).alias("scope"), at.alias("t_lo"), (at + DAY).alias("t_hi"))
     return records.selected_measurements(claims, times)
 
@@ -178,7 +180,7 @@ def period_readings(spark, d):
 def merged_sources(spark, d):
     """Two sources on one clock, their ids made disjoint."""
     ours = model.events(spark, d).select(F.col("event_id").cast("string").alias("record"), "patient", F.col("lo").alias("at"))
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("record"), F.col("o_custkey").alias("patient"), plans.ta.micros_of(F.col("o_orderdate").cast("timestamp_ntz")).alias("at"))
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("record"), F.col("o_custkey").alias("patient"), ta.micros_of(F.col("o_orderdate").cast("timestamp_ntz")).alias("at"))
     return records.merged_sources({"events": ours, "orders": orders}, "record")
 
 
@@ -200,3 +202,60 @@ def cohort_groups(spark, d):
     found = plans.statuses(RELAXED, m.events, m.closure, m.windows)
     group = F.when(F.col("status").isin("exact", "relaxed"), F.col("status")).when(F.col("status") == "excluded", "unresolved").otherwise("not_matched")
     return found.groupBy(group.alias("group_")).agg(F.count("*").alias("n"))
+
+
+@query(f""", {BOUNDED} SELECT a.event_id AS a_id, b.event_id AS b_id, a.s_lo AS s, greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) AS e, greatest(b.s_lo, a.s_lo + 1) AS u, greatest(b.e_lo, greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) + 1) AS v, NOT (a.s_hi < b.s_lo AND b.s_hi < a.e_lo AND a.e_hi < b.e_lo) AS may_fail FROM {BOUNDED_PAIRS} AND a.clock = b.clock
+WHERE a.s_lo < b.s_hi AND greatest(b.s_lo, a.s_lo + 1) < a.e_hi AND greatest(b.s_lo, a.s_lo + 1) <= b.s_hi AND greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) < b.e_hi AND greatest(a.e_lo, greatest(b.s_lo, a.s_lo + 1) + 1) <= a.e_hi""")
+def bounded_witness(spark, d):
+    """Pairs that can overlap, with the earliest times at which they do, and whether some times refute it."""
+    rows = _bounded(spark, d)
+    spans = rows.select("patient", "event_id", "clock", "s_lo", "s_hi", "e_lo", "e_hi", F.col("s_lo").alias("s"), F.col("e_hi").alias("e"))
+    pairs = intervals.pairs(spans, spans, ["patient"], 0, 120 * DAY).filter("a_clock = b_clock")
+    names = ["a_s", "a_e", "b_s", "b_e"]
+    lows, highs = (F.array(*(F.col(f"{n}_{x}") for n in names)) for x in ("lo", "hi"))
+    at = dict(zip("seuv", range(4), strict=True))
+    atoms, proper = [(at[a], at[b], k) for a, b, k in ta.atoms("overlaps")], [(0, 1, 1), (2, 3, 1)]
+    found = pairs.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), networks.witness(lows, highs, [(a, b, -k) for a, b, k in atoms] + proper).alias("w"), networks.counterexample(lows, highs, atoms, proper).isNotNull().alias("may_fail")).filter("w IS NOT NULL")
+    return found.select("a_id", "b_id", *(F.get("w", F.lit(i)).alias(n) for n, i in at.items()), "may_fail")
+
+
+SHIPPED = f"shp AS (SELECT l_orderkey * 10 + l_linenumber AS scope, min(epoch_us(l_shipdate)) + {ta.EPOCH} AS t FROM lineitem GROUP BY 1), bx AS (SELECT scope, t - (scope % 3) * {DAY} AS x_lo, t + (scope % 5) * {DAY} AS x_hi, t + (scope % 4) * {DAY} AS y_lo, t + (scope % 29) * {DAY} AS y_hi FROM shp)"
+
+
+@query(f""", {SHIPPED}, tx AS (SELECT scope, greatest(x_lo, y_lo - {9 * DAY}) AS x_lo, least(x_hi, y_hi - {2 * DAY}) AS x_hi, greatest(y_lo, x_lo + {2 * DAY}) AS y_lo, least(y_hi, x_hi + {9 * DAY}) AS y_hi FROM bx)
+SELECT scope, x_lo, x_hi, y_lo, y_hi, x_lo <= x_hi AND y_lo <= y_hi AS consistent, CASE WHEN x_lo <= x_hi AND y_lo <= y_hi THEN y_lo - x_hi >= {2 * DAY} AND y_hi - x_lo <= {9 * DAY} END AS implied FROM tx""")
+def bounded_sources(spark, d):
+    """Two uncertain times of each item, one two to nine days after the other: their bounds tightened, whether they have a world, and whether the bounds
+    alone say as much."""
+    item = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("scope")).agg(F.min(ta.micros_of(F.col("l_shipdate").cast("timestamp_ntz"))).alias("t"))
+    row = lambda name, lo, hi: F.struct(F.lit(name).alias("variable"), lo.alias("lo"), hi.alias("hi"))
+    t, k = F.col("t"), lambda n: (F.col("scope") % n) * DAY
+    bounds = item.select("scope", F.inline(F.array(row("x", t - k(3), t + k(5)), row("y", t + k(4), t + k(29)))))
+    limits = item.select("scope", F.lit("x").alias("x"), F.lit("y").alias("y"), F.lit(2 * DAY).alias("least"), F.lit(9 * DAY).alias("most"))
+    done = cut(networks.tightened_sources(bounds, limits))
+    of = lambda name: done.filter(F.col("variable") == name).select("scope", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"), *(["consistent"] if name == "x" else []))
+    return of("x").join(of("y"), "scope").join(networks.boxes(done, limits).select("scope", "implied"), "scope", "left").select("scope", "x_lo", "x_hi", "y_lo", "y_hi", "consistent", "implied")
+
+
+@query(f""", sh AS (SELECT patient, lo + {HOUR} AS lo, hi + {3 * HOUR} AS hi FROM ev WHERE kind = 'error'), fr AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY patient ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM sh),
+mg AS (SELECT patient, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY patient ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM fr) GROUP BY patient, i)
+SELECT patient, greatest(mg.lo, w_start) AS lo, least(mg.hi, w_end) AS hi FROM mg JOIN uwin w USING (patient) WHERE w_start IS NOT NULL AND mg.lo <= w_end AND mg.hi >= w_start""")
+def spans_after_errors(spark, d):
+    """The times of the window that lie one to three hours after some error: ranges shifted, merged and intersected."""
+    m = Model(spark, d, True)
+    errors = m.events.filter("kind = 'error'").select("patient", "lo", "hi")
+    window = m.windows.filter("w_start IS NOT NULL").select("patient", F.col("w_start").alias("lo"), F.col("w_end").alias("hi"))
+    return networks.intersected(networks.merged(networks.shifted(errors, HOUR, 3 * HOUR), ["patient"]), window, ["patient"], 5 * DAY)
+
+
+MIXED = f"""clk AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN 'local' ELSE 'utc' END AS clock FROM ev), bas AS (SELECT x.patient, x.event_id AS x_id, x.lo AS x_lo, x.hi AS x_hi, x.clock AS x_clock, b.event_id AS b_id, b.lo AS b_lo, b.hi AS b_hi, b.clock AS b_clock FROM clk x JOIN clk b ON b.patient = x.patient AND b.kind = 'view' AND x.hi - b.lo >= {HOUR} AND x.lo - b.hi <= {6 * HOUR} WHERE x.kind = 'signup'),
+met AS (SELECT bas.*, f.event_id AS f_id, f.lo AS f_lo, f.hi AS f_hi, f.clock AS f_clock FROM bas LEFT JOIN clk f ON f.patient = bas.patient AND f.kind = 'click' AND f.hi - x_lo >= {HOUR} AND f.lo - x_hi <= {8 * HOUR})"""
+
+
+@query(f""", {MIXED} SELECT patient, x_id, b_id, f_id, CASE WHEN x_clock <> b_clock OR x_clock <> coalesce(f_clock, x_clock) THEN 'INCOMPARABLE' WHEN x_lo - b_hi >= {HOUR} AND x_hi - b_lo <= {6 * HOUR} AND (f_id IS NULL OR f_lo - x_hi >= {HOUR} AND f_hi - x_lo <= {8 * HOUR}) THEN 'CERTAIN' ELSE 'POSSIBLE' END AS status FROM met
+WHERE f_id IS NULL OR (b_lo + {HOUR} <= f_hi - {HOUR} AND f_lo - {8 * HOUR} <= b_hi + {6 * HOUR})""")
+def mixed_bounded(spark, d):
+    """Uncertain signups with a view before and a click after them, each pair and triple by how sure it is."""
+    rows = model.events(spark, d, True).withColumn("clock", F.when(F.col("event_id") % 11 == 0, "local").otherwise("utc"))
+    of = lambda kind: rows.filter(F.col("kind") == kind)
+    return networks.baseline_followup_bounded(of("signup"), of("view"), of("click"), (HOUR, 6 * HOUR), (HOUR, 8 * HOUR))
