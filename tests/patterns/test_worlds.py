@@ -159,6 +159,30 @@ def test_ongoing_events_are_not_listed_by_day(spark):
         assert plans.bindings(pattern, events, closure, windows).count() == 2
 
 
+@pytest.mark.parametrize("step", [Step("a", "k1", nth=2), Step("a", "k1", nth=-1), Step("a", "k1", count=(2, 1))])
+def test_nth_and_counted_steps_against_worlds(spark, step):
+    r = random.Random(str(step))
+    pattern = Pattern((step, Step("b", "k2")), (Relation("r", "after", "a", "b", 0, 2),))
+    cases = {p: history(r, True, False) for p in range(60)}
+    events = spark.createDataFrame([(p, 100 * p + e["event_id"], e["kind"], e["lo"], e["hi"], e["lo"], e["hi"], 0, None, None) for p, h in cases.items() for e in h], SCHEMA)
+    windows = spark.createDataFrame([(p, 0, 9) for p in cases], "patient long, w_start long, w_end long")
+    closure = spark.createDataFrame([(k, k) for k in KINDS], "concept string, ancestor string")
+    exact, possible = ({x.patient for x in f(pattern, events, closure, windows).collect()} for f in (plans.exact_patients, plans.possible_patients))
+    for p, h in cases.items():
+        own, other = ([i for i, e in enumerate(h) if e["kind"] == k] for k in ("k1", "k2"))
+        every, some = {}, False
+        for w in worlds(h):
+            if step.nth:
+                starts = sorted(w[i][0] for i in own)
+                found = [("nth", starts[step.nth - 1 if step.nth > 0 else step.nth])] if len(starts) >= abs(step.nth) else []
+            else:
+                found = [(i, w[i][0]) for i in own if sum(w[i][0] - 1 <= w[j][0] <= w[i][0] for j in own) >= 2]
+            holds = {(a, b) for a, s in found for b in other if 0 <= w[b][0] - s <= 2}
+            some |= bool(holds)
+            every = holds if every == {} and w is not None and not isinstance(every, set) else every & holds
+        assert (p in exact, p in possible) == (bool(every), some), h
+
+
 @pytest.mark.parametrize("seed", range(150))
 def test_kernel_against_worlds(seed):
     r = random.Random(1000 + seed)

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
-from trailmark.operators.derived import scenarios
+from trailmark.operators.counts import narrowed
+from trailmark.operators.derived import counted_uncertain, nth_envelope, risen, scenarios
 from trailmark.operators.ranges import join_ranges, semi_join_range
 from trailmark.plans.pattern import Pattern, Relation, Step
 from trailmark.sources.model import of_concept, unknown_concepts
@@ -34,9 +35,10 @@ def both(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[str] | None = None) -> DataFrame:
+def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[str] | None = None, possible: bool = False) -> DataFrame:
     """The step's candidate events: of its concept, meeting its value condition; of a step bound to the first or last, one row for each event that can
-    be it, as it is in the worlds in which it is."""
+    be it, as it is in the worlds in which it is; of an nth step, one row with the range of its start; of a counted one, the events that reach the count
+    in all worlds, or, if possible, each with the times at which it can reach it."""
     wanted = concepts or {step.concept}
     rows = reduce(lambda a, b: a.unionByName(b), [of_concept(events, closure, c) for c in sorted(wanted)]) if len(wanted) > 1 else of_concept(events, closure, next(iter(wanted)))
     rows = rows.distinct() if len(wanted) > 1 else rows
@@ -44,6 +46,15 @@ def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[st
         rows = rows.filter(F.col("micro") >= step.at_least)
     if step.below is not None:
         rows = rows.filter(F.col("micro") < step.below)
+    if step.nth:
+        start = nth_envelope(rows, step.nth).select("patient", F.lit(None).cast("long").alias("event_id"), F.lit(step.concept).alias("kind"), F.col("nth_lo").alias("lo"), F.col("nth_hi").alias("hi"))
+        return start.select("*", F.col("lo").alias("end_lo"), F.col("hi").alias("end_hi"))
+    if step.count:
+        n, span = step.count
+        return narrowed(rows, n, span) if possible else rows.join(counted_uncertain(rows, n, span).filter("certain"), ["patient", "event_id"], "left_semi")
+    if step.rise:
+        previous, within, num, den, floor = step.rise
+        return risen(rows, previous, within, (num, den), floor).select(*rows.columns)
     return scenarios(rows, step.occurrence) if step.occurrence else rows
 
 
@@ -133,7 +144,7 @@ def sides(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: Data
         raise ValueError(f"unknown concepts: {', '.join(missing)}")  # never an empty match
     out = {}
     for s in pattern.steps:
-        rows = named(selected(events, closure, s, concepts and concepts[s.id]), s.id)
+        rows = named(selected(events, closure, s, concepts and concepts[s.id], test is ta.plausible), s.id)
         if pattern.scope != "any":
             rows = rows.join(windows.filter("w_start IS NOT NULL"), "patient").filter(in_scope(pattern, s.id, test)).drop("w_start", "w_end")
         out[s.id] = rows
@@ -190,16 +201,17 @@ def jointly(pattern: Pattern) -> Column:
 
 
 def ordered_steps(pattern: Pattern, closure: DataFrame) -> list[Step]:
-    """The steps bound to a first or last event. Raises where another step could bind the same events, since scenarios would not be independent then."""
-    ordered = [s for s in pattern.steps if s.occurrence]
-    if ordered:
+    """The steps bound to a first or last event. Raises where another step could bind the events that such a step, an nth or a counted one rests on, since
+    their times would not be independent then."""
+    ordered, resting = [s for s in pattern.steps if s.occurrence], [s for s in pattern.steps if s.occurrence or s.nth or s.count]
+    if resting:
         kinds = {c: {r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()} for cs in pattern.concepts().values() for c in cs}  # from the bounded catalogue
         held = {i: set().union(*(kinds[c] for c in cs)) for i, cs in pattern.concepts().items()}
-        for s in ordered:
+        for s in resting:
             if clash := [o.id for o in pattern.steps if o.id != s.id and held[o.id] & held[s.id]]:
-                raise ValueError(f"steps {clash} can bind the events that {s.id} takes its {s.occurrence} from")
+                raise ValueError(f"steps {clash} can bind the events that {s.id} rests on")
             if len(pattern.concepts()[s.id]) > 1:
-                raise ValueError(f"{s.id} takes the {s.occurrence} event and can't be widened")
+                raise ValueError(f"{s.id} rests on all events of its concept and can't be widened")
     return ordered
 
 
