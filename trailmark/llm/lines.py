@@ -24,6 +24,8 @@ LEAST_SITES, MARGIN, LG_K = 10, 0.3, 10
 LONG_WORDS, LEAST_SITES_LONG = 50, 2
 #: How many parts the copies of one text are dealt over where they meet its boilerplate lines.
 PARTS = 8
+#: Bytes of boilerplate lines that are broadcast at most, and of one of them.
+MOST_BROADCAST, ROW_BYTES = 8 << 20, 64
 
 
 def split(text: str) -> Column:
@@ -63,7 +65,8 @@ def boilerplate(texts: DataFrame, least_sites: int = LEAST_SITES, least_sites_lo
 def without_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", least_sites: int = LEAST_SITES, least_sites_long: int = LEAST_SITES_LONG) -> DataFrame:
     """docs with boilerplate lines deleted from text, but for each line's first holder; _line_count and _line_gone count lines before and those deleted."""
     texts = cut(distinct_texts(docs, key, text, site))
-    found = boilerplate(texts, least_sites, least_sites_long)
+    found = cut(boilerplate(texts, least_sites, least_sites_long))
+    found = F.broadcast(found) if ROW_BYTES * found.count() <= MOST_BROADCAST else found  # where they are known to be few, a common line needs no task of its own
     own = (F.col("first.text") == F.col("_line_text")).alias("own")
     once = texts.groupBy("text").agg(F.first("lines").alias("lines"))
     gone = once.select(F.col("text").alias("_line_text"), F.explode("lines").alias("line")).join(found, "line").groupBy("_line_text").agg(F.collect_list(F.struct("line", own, F.col("first.holder.key").alias("key"))).alias("_line_found"))
