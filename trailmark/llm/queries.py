@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, chat, decontaminate, divergence, licenses, lines, pages, quality, sharding, simhash, tokens
+from trailmark.llm import bpe, chat, decontaminate, divergence, licenses, lines, neighbours, pages, phrases, quality, sharding, simhash, tokens
 from trailmark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -87,6 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_line_dedup": lines.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL,
+        "op1_line_dedup": lines.ORACLE_SQL, "op3_sharding": sharding.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat": chat.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_neighbours": neighbours.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL,
         "base_phrases": licenses.BASE_SQL, "base_statistics": quality.BASE_SQL,
     }
