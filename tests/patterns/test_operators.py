@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
-from trailmark.operators import evidence, rules, store
-from trailmark.operators.ranges import join_ranges, semi_join_range
+from trailmark.operators import derived, evidence, intervals, records, rules, store
+from trailmark.operators.ranges import join_by_start, join_ranges, semi_join_range, semi_join_ranges
 from trailmark.plans.pattern import Pattern, Relation, Relaxation, Step
 from trailmark.sources import model
 
@@ -23,6 +23,9 @@ def test_range_join_reports_each_pair_once(spark):
     for width in (1, 7, 1000):
         got = [(row.a, row.b) for row in join_ranges(l, x, ["k"], *spans, width).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        got = [(row.a, row.b) for row in join_by_start(l, x, ["k"], *spans, width).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {row.a for row in semi_join_ranges(l, x, ["k"], *spans, width).collect()} == {a for a, _ in want}
     got = [row.a for row in semi_join_range(l, x, ["k"], F.col("a_lo"), spans[1], 7, F.col("a_lo").between(F.col("b_lo"), F.col("b_hi"))).collect()]
     assert sorted(got) == sorted(p[0] for p in left if any(p[1] == q[1] and q[2] <= p[2] <= q[3] for q in right))
 
@@ -92,3 +95,47 @@ def test_revisions(spark):
 def test_shared_variables(spark):
     rows = spark.createDataFrame([(1, 1, "v", None), (1, 2, None, "v"), (2, 3, "v", "v"), (3, 4, None, None)], "patient long, event_id long, start_var string, end_var string")
     assert {r.patient: r.shared for r in store.shares_variables(rows).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_ranks_over_many_ranges(spark):
+    """Every row once, its rank by all others, with wide rows and several ranges."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 7 != 0, (F.col("id") * 7919) % 5000).alias("distance"), F.repeat(F.lit("x"), 300).alias("wide"), F.sha2(F.col("id").cast("string"), 512).alias("more"))
+    found = records.ranked_missing_last(rows, "distance", "id").cache()
+    assert found.count() == found.select("id").distinct().count() == 20_000
+    want = sorted(((i * 7919) % 5000, i) for i in range(20_000) if i % 7)
+    assert {r.id: r.rank for r in found.select("id", "rank").collect()} == {i: k for k, (_, i) in enumerate(want, 1)} | {i: None for i in range(0, 20_000, 7)}
+
+
+def test_identifiers_end_where_they_end(spark):
+    df = spark.createDataFrame([("abc",), ("abc\n",), ("a b",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(records.is_identifier(F.col("text"))).collect()] == [True, False, False, False, False]
+
+
+def test_operator_results(spark):
+    df = spark.createDataFrame([(0, 2, 3, 5), (0, 3, 3, 5), (0, 4, 3, 5), (3, 5, 0, 2)], "s long, e long, u long, v long")
+    ask = lambda op, scope=True, clock=True, **k: [r[0] for r in df.select(intervals.operator_result(op, F.lit(scope), F.lit(clock), *map(F.col, "seuv"), **k)).collect()]
+    assert ask("before") == ["TRUE", "FALSE", "FALSE", "FALSE"] and ask("meets") == ["FALSE", "TRUE", "FALSE", "FALSE"] and ask("overlaps") == ["FALSE", "FALSE", "TRUE", "FALSE"]
+    assert ask("gap", least=1, most=1) == ["TRUE", "FALSE", "FALSE", "FALSE"] and ask("before", clock=False) == ask("meets", scope=False) == ["INCOMPARABLE"] * 4
+
+
+def test_clashes(spark):
+    facts = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p"), (3, "q"), (3, "r")], "entity long, class string")
+    disjoint = spark.createDataFrame([("p", "q"), ("r", "s")], "a string, b string")
+    assert [tuple(r) for r in evidence.clashes(facts, disjoint).collect()] == [(1, "p", "q")]
+
+
+def test_counts_over_dense_histories(spark):
+    """Against the same counts by hand, with ranges over many steps."""
+    import random
+
+    r = random.Random(8)
+    rows = [(p, 1000 * p + k, lo, lo + r.choice([0, 0, 3, 40])) for p in range(4) for k, lo in enumerate(r.randint(0, 200) for _ in range(60))]
+    df = spark.createDataFrame(rows, "patient long, event_id long, lo long, hi long")
+    for n, span in ((3, 5), (6, 20), (1, 0)):
+        want = {}
+        for p, i, lo, hi in rows:
+            others = [x for x in rows if x[0] == p and x[1] != i]
+            forced = min(sum(o[2] >= t - span and o[3] <= t for o in others) for t in range(lo, hi + 1))
+            allowed = max(sum(o[3] >= t - span and o[2] <= t for o in others) for t in range(lo, hi + 1))
+            want[i] = (forced >= n - 1, allowed >= n - 1)
+        assert {x.event_id: (x.certain, x.possible) for x in derived.counted_uncertain(df, n, span).collect()} == want

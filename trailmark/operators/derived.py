@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.ranges import join_ranges
+from trailmark.lineage import cut
 
 
 def occurrence(events: DataFrame, which: str = "first") -> DataFrame:
@@ -72,18 +72,35 @@ def counted_in_window(events: DataFrame, windows: DataFrame, n: int) -> DataFram
 
 def counted_uncertain(events: DataFrame, n: int, span: int) -> DataFrame:
     """event_id, certain and possible: whether n events lie in the span up to the event's start in all (some) worlds of independent times.
-    At a time t of its range the event has forced company from those surely in [t - span, t] and allowed company from those that can be; both
-    change only where a bound of another event passes, so the ranges' breakpoints are tried."""
+    At a time t of its range the event has forced company from those surely in [t - span, t] and allowed company from those that can be. Both are step
+    functions of t that one sweep over the patient's bounds gives; their least and greatest values over each event's range come from extremes over 1, 2, 4, ...
+    steps, two of which cover any range. So a dense history costs its length, not its square."""
     base = events.select("patient", "event_id", "lo", "hi")
-    other = base.select("patient", F.col("event_id").alias("o_id"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"))
-    near = join_ranges(base, other, ["patient"], (F.col("lo") - span, F.col("hi")), (F.col("o_lo"), F.col("o_hi")), span).filter(F.col("event_id") != F.col("o_id"))
-    company = base.join(near.groupBy("patient", "event_id").agg(F.collect_list(F.struct("o_lo", "o_hi")).alias("near")), ["patient", "event_id"], "left")
-    points = F.concat(F.array("lo", "hi"), F.flatten(F.transform("near", lambda o: F.array(o["o_lo"], o["o_lo"] - 1, o["o_lo"] + span, o["o_lo"] + span + 1, o["o_hi"], o["o_hi"] - 1, o["o_hi"] + 1, o["o_hi"] + span, o["o_hi"] + span + 1))))
-    tried = F.filter(F.array_distinct(points), lambda t: (t >= F.col("lo")) & (t <= F.col("hi")))
-    forced = lambda t: F.size(F.filter("near", lambda o: (o["o_lo"] >= t - span) & (o["o_hi"] <= t)))
-    allowed = lambda t: F.size(F.filter("near", lambda o: (o["o_hi"] >= t - span) & (o["o_lo"] <= t)))
-    some = F.col("near").isNotNull()
-    return company.select("patient", "event_id", F.when(some, F.array_min(F.transform(tried, forced)) >= n - 1).otherwise(n <= 1).alias("certain"), F.when(some, F.array_max(F.transform(tried, allowed)) >= n - 1).otherwise(n <= 1).alias("possible"))
+    move = lambda t, forced, allowed: F.struct(t.alias("t"), F.lit(forced).alias("forced"), F.lit(allowed).alias("allowed"))
+    both = F.col("hi") <= F.col("lo") + span  # only then it is surely there at some time
+    stays = F.when(both, F.array(move(F.col("hi"), 1, 0), move(F.col("lo") + span + 1, -1, 0))).otherwise(F.array(move(F.col("hi"), 0, 0)))
+    moves = base.select("patient", F.inline(F.concat(stays, F.array(move(F.col("lo"), 0, 1), move(F.col("hi") + span + 1, 0, -1)))))
+    w = Window.partitionBy("patient").orderBy("t")
+    steps = moves.groupBy("patient", "t").agg(F.sum("forced").alias("forced"), F.sum("allowed").alias("allowed"))
+    steps = cut(steps.select("patient", "t", F.row_number().over(w).alias("i"), F.sum("forced").over(w).alias("forced"), F.sum("allowed").over(w).alias("allowed")))
+    at = lambda name, i: steps.select("patient", F.col("t").alias(name), F.col("i").alias(i))
+    placed = cut(base.join(at("lo", "_i"), ["patient", "lo"]).join(at("hi", "_j"), ["patient", "hi"]).select("patient", "event_id", "lo", "hi", "_i", "_j"))
+    longest = placed.agg(F.max(F.col("_j") - F.col("_i"))).first()[0] or 0
+    levels, wide = max(1, longest.bit_length()), steps.withColumns({"_least_0": F.col("forced"), "_most_0": F.col("allowed")})
+    for k in range(1, levels):
+        ahead = lambda c: F.lead(c, 1 << (k - 1)).over(w)  # noqa: B023, E731
+        wide = wide.withColumns({f"_least_{k}": F.least(f"_least_{k - 1}", ahead(f"_least_{k - 1}")), f"_most_{k}": F.greatest(f"_most_{k - 1}", ahead(f"_most_{k - 1}"))})
+    table = wide.select("patient", "i", "forced", "allowed", *(F.array(*(F.col(f"_{x}_{k}") for k in range(levels))).alias(x) for x in ("least", "most")))
+    # the last step begins with the range's end, where the event itself is among the forced; all before it are covered by two stretches
+    k = F.when(F.col("_j") > F.col("_i"), F.floor(F.log2(F.col("_j") - F.col("_i"))).cast("int"))
+    stretch = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    k = F.when(stretch(k + 1) <= F.col("_j") - F.col("_i"), k + 1).when(stretch(k) > F.col("_j") - F.col("_i"), k - 1).otherwise(k)
+    asked = placed.withColumn("_k", k).withColumn("_m", F.coalesce(F.col("_j") - stretch(F.col("_k")), F.col("_j")))
+    of = lambda i, *names: table.select("patient", F.col("i").alias(i), *(F.col(c).alias(f"{c}{i}") for c in names))
+    met = asked.join(of("_i", "least", "most"), ["patient", "_i"]).join(of("_m", "least", "most"), ["patient", "_m"]).join(of("_j", "forced", "allowed"), ["patient", "_j"])
+    forced = F.least(F.get("least_i", "_k"), F.get("least_m", "_k"), F.col("forced_j") - both.cast("long"))
+    allowed = F.greatest(F.get("most_i", "_k"), F.get("most_m", "_k"), F.col("allowed_j")) - 1
+    return met.select("patient", "event_id", (forced >= n - 1).alias("certain"), (allowed >= n - 1).alias("possible"))
 
 
 def risen(events: DataFrame, previous: int, within: int, factor: tuple[int, int], floor: int, falls: bool = False) -> DataFrame:

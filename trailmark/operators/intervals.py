@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
-from trailmark.operators.ranges import join_ranges
+from trailmark.operators.ranges import join_by_start, join_ranges
 
 RANK = {"CERTAIN": 3, "POSSIBLE": 2, "INCOMPARABLE": 1, "IMPOSSIBLE": 0}
 ROLLED = {3: "CERTAIN_MATCH", 2: "POSSIBLE_MATCH", 1: "INCOMPARABLE", 0: "NO_RECORDED_MATCH"}
@@ -20,7 +20,7 @@ def renamed(rows: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
 
 def pairs(left: DataFrame, right: DataFrame, keys: list[str], slack: int, width: int) -> DataFrame:
     """Pairs of different intervals (event_id, s, e) of one scope that touch or lie at most slack apart; columns a_* and b_*."""
-    met = join_ranges(renamed(left, "a", keys), renamed(right, "b", keys), keys, (F.col("a_s") - slack, F.col("a_e") + slack), (F.col("b_s"), F.col("b_e")), width)
+    met = join_by_start(renamed(left, "a", keys), renamed(right, "b", keys), keys, (F.col("a_s") - slack, F.col("a_e") + slack), (F.col("b_s"), F.col("b_e")), width)
     return met.filter("a_event_id <> b_event_id")
 
 

@@ -42,3 +42,27 @@ def semi_join_range(left: DataFrame, right: DataFrame, keys: list[str], point: C
     for k in keys:
         on = on & (F.col(k) == F.col(f"_r_{k}"))
     return left.join(listed, on, "left_semi")
+
+
+def semi_join_ranges(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int) -> DataFrame:
+    """The rows of left whose closed range overlaps that of some row of right with equal keys, as often as in which buckets they meet. Column names must differ but for keys."""
+    l = left.withColumns({"_l_lo": left_range[0], "_l_hi": left_range[1]}).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_l_lo"), width), bucket(F.col("_l_hi"), width))))
+    r = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), right_range[0].alias("_r_lo"), right_range[1].alias("_r_hi")).filter("_r_lo <= _r_hi")
+    r = r.withColumn("_r_bucket", F.explode(F.sequence(bucket(F.col("_r_lo"), width), bucket(F.col("_r_hi"), width))))
+    on = (F.col("_bucket") == F.col("_r_bucket")) & (F.col("_l_lo") <= F.col("_r_hi")) & (F.col("_l_hi") >= F.col("_r_lo"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return l.join(r, on, "left_semi").select(*left.columns)
+
+
+def join_by_start(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int) -> DataFrame:
+    """As join_ranges, for ranges that are long or of many lengths: of two that overlap, the one that begins later begins inside the other. So one side is listed
+    under its buckets and the other only where it begins, once for each side: no pair meets twice."""
+    l = left.withColumns({"_l_lo": left_range[0], "_l_hi": left_range[1]})
+    r = right.withColumns({"_r_lo": right_range[0], "_r_hi": right_range[1]})
+    whole = lambda df, side: df.filter(f"_{side}_lo <= _{side}_hi").withColumn("_bucket", F.explode(F.sequence(bucket(F.col(f"_{side}_lo"), width), bucket(F.col(f"_{side}_hi"), width))))
+    start = lambda df, side: df.filter(f"_{side}_lo <= _{side}_hi").withColumn("_bucket", bucket(F.col(f"_{side}_lo"), width))
+    on = [*keys, "_bucket"]
+    begins = whole(l, "l").join(start(r, "r"), on).filter("_r_lo BETWEEN _l_lo AND _l_hi")
+    begun = start(l, "l").join(whole(r, "r"), on).filter("_r_lo < _l_lo AND _l_lo <= _r_hi")
+    return begins.unionByName(begun).drop("_bucket", "_l_lo", "_l_hi", "_r_lo", "_r_hi")

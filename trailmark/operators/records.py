@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import scalars
+from trailmark.lineage import cut
 
 
 def latest_of_each(anchors: DataFrame, readings: DataFrame, variables: dict[str, int]) -> DataFrame:
@@ -24,7 +25,8 @@ def ranked_missing_last(rows: DataFrame, distance: str, *ties: str) -> DataFrame
     """rows with rank, by distance and then ties; rows without a distance come last and have no rank. Ranks come from counts of ranges, so that no
     task sees all rows."""
     order = [F.col(distance).asc_nulls_last(), *ties]
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # ranges are drawn anew whenever they are planned: rows and counts must be of the same ones
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -107,4 +109,4 @@ def age_range(birth: Column, years: Column) -> tuple[Column, Column]:
 
 
 def is_identifier(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[A-Za-z0-9_-]+$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9_-]+\z"), F.lit(False))

@@ -2,31 +2,35 @@
 
 Each step becomes a filtered view of the events with its own column prefix; relations become joins on patient and time range.
 Bounded relations join by time buckets, so a long history doesn't become one task or all its pairs; only unbounded ones join on
-the patient alone. Exact decisions over forests are semi-joins from the leaves to the root and enumerate nothing. Possible
-bindings are joined on plausibility and tested jointly. Relaxed ones come from one join of the widest pattern, each binding
-priced by the cheapest set that admits it.
+the patient alone. Exact decisions over forests are semi-joins from the leaves to the root, possible ones carry the times that each event has
+left (plans.forest): neither enumerates anything. Other patterns' bindings are joined on plausibility and decided jointly (plans.network).
+Relaxed ones come from one join of the widest pattern, each binding priced by the cheapest set that admits it.
 
 A step bound to the first or last event of its kind under uncertain times is one scenario for each event that can be it: the pattern is
 exact if it is so in every scenario of a patient, possible if it is in some. Scenarios are closed forms as long as no other step can
-bind the events in question; patterns where one can are refused.
+bind the events in question; where one can, each scenario's order facts (the first starts no later than any other of them) join the binding's
+network. Nth, counted and rising steps have no such facts: what is exact or ruled out with independent times is so, and what is left is unresolved.
 
 Inputs: events (patient, event_id, kind, lo, hi, end_lo, end_hi, micro), windows (patient, w_start, w_end), the closure. Events without shared
-time variables only; others go to operators.kernel.
+time variables only; others go to operators.shared.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
+from trailmark.operators import rises
 from trailmark.operators.counts import narrowed
 from trailmark.operators.derived import counted_uncertain, nth_envelope, risen, scenarios
 from trailmark.operators.ranges import join_ranges, semi_join_range
+from trailmark.plans import forest, network
 from trailmark.plans.pattern import Pattern, Relation, Step
-from trailmark.sources.model import of_concept, unknown_concepts
+from trailmark.sources.model import Kinds
 
 FIELDS = ("event_id", "lo", "hi", "end_lo", "end_hi", "kind")
 
@@ -35,31 +39,42 @@ def both(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def selected(events: DataFrame, closure: DataFrame, step: Step, concepts: set[str] | None = None, possible: bool = False) -> DataFrame:
+def of_pattern(pattern: Pattern, closure: DataFrame | Kinds) -> Kinds:
+    return closure if isinstance(closure, Kinds) else Kinds(closure, set().union(*pattern.concepts().values()))
+
+
+def meeting(step: Step) -> Column:
+    """The step's condition on values."""
+    out = F.lit(True)
+    if step.at_least is not None:
+        out = out & (F.col("micro") >= step.at_least)
+    return out & (F.col("micro") < step.below) if step.below is not None else out
+
+
+def selected(events: DataFrame, closure: DataFrame | Kinds, step: Step, concepts: set[str] | None = None, possible: bool = False) -> DataFrame:
     """The step's candidate events: of its concept, meeting its value condition; of a step bound to the first or last, one row for each event that can
     be it, as it is in the worlds in which it is; of an nth step, one row with the range of its start; of a counted one, the events that reach the count
-    in all worlds, or, if possible, each with the times at which it can reach it."""
+    in all worlds, or, if possible, each with the times at which it can reach it; of a rising or falling one, the readings that do so in all worlds, or,
+    if possible, each with the times at which it can."""
     wanted = concepts or {step.concept}
-    rows = reduce(lambda a, b: a.unionByName(b), [of_concept(events, closure, c) for c in sorted(wanted)]) if len(wanted) > 1 else of_concept(events, closure, next(iter(wanted)))
-    rows = rows.distinct() if len(wanted) > 1 else rows
-    if step.at_least is not None:
-        rows = rows.filter(F.col("micro") >= step.at_least)
-    if step.below is not None:
-        rows = rows.filter(F.col("micro") < step.below)
+    kinds = closure if isinstance(closure, Kinds) else Kinds(closure, wanted)
+    rows = kinds.of(events, wanted).filter(meeting(step))
     if step.nth:
         start = nth_envelope(rows, step.nth).select("patient", F.lit(None).cast("long").alias("event_id"), F.lit(step.concept).alias("kind"), F.col("nth_lo").alias("lo"), F.col("nth_hi").alias("hi"))
-        return start.select("*", F.col("lo").alias("end_lo"), F.col("hi").alias("end_hi"))
+        return start.select("*", F.col("lo").alias("end_lo"), F.col("hi").alias("end_hi"), F.lit(None).cast("long").alias("micro"))
     if step.count:
         n, span = step.count
         return narrowed(rows, n, span) if possible else rows.join(counted_uncertain(rows, n, span).filter("certain"), ["patient", "event_id"], "left_semi")
     if step.rise:
         previous, within, num, den, floor = step.rise
-        return risen(rows, previous, within, (num, den), floor).select(*rows.columns)
+        if rows.filter("lo < hi").limit(1).count():
+            return rises.selected(rows, previous, within, (num, den), floor, step.falls, possible)
+        return risen(rows, previous, within, (num, den), floor, step.falls).select(*rows.columns)
     return scenarios(rows, step.occurrence) if step.occurrence else rows
 
 
-def named(rows: DataFrame, step: str) -> DataFrame:
-    return rows.select("patient", *(F.col(c).alias(f"{step}_{c}") for c in FIELDS))
+def named(rows: DataFrame, step: str, more: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select("patient", *(F.col(c).alias(f"{step}_{c}") for c in (*FIELDS, *more)))
 
 
 def scope_bounds(scope: str, step: str) -> list[tuple[tuple[Column, Column], int]]:
@@ -139,21 +154,73 @@ def supported(left: DataFrame, right: DataFrame, r: Relation, step: str, other:
     return left.join(right, (F.col("patient") == F.col("_r_patient")) & holds(r, ta.certain), "left_semi")
 
 
-def sides(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame, test, concepts: dict[str, set[str]] | None = None) -> dict[str, DataFrame]:
-    if missing := unknown_concepts(closure, sorted(set().union(*pattern.concepts().values()))):
-        raise ValueError(f"unknown concepts: {', '.join(missing)}")  # never an empty match
-    out = {}
+@dataclass(frozen=True)
+class Facts:
+    """What the steps of a pattern that rest on all events of their kind leave to decide jointly."""
+
+    ordered: tuple[Step, ...] = ()  #: steps bound to a first or last event
+    met: tuple[tuple[str, str], ...] = ()  #: an ordered step and another one that can bind events of its kind
+    doubtful: bool = False  #: another step can bind the events of an nth, counted or rising step
+
+    def __bool__(self) -> bool:
+        return bool(self.met)
+
+
+def facts_of(pattern: Pattern, kinds: Kinds) -> Facts:
+    concepts, met, doubtful = pattern.concepts(), [], False
     for s in pattern.steps:
-        rows = named(selected(events, closure, s, concepts and concepts[s.id], test is ta.plausible), s.id)
+        if not (s.occurrence or s.nth or s.count or s.rise):
+            continue
+        if len(concepts[s.id]) > 1:
+            raise ValueError(f"{s.id} rests on all events of its concept and can't be widened")
+        others = [o.id for o in pattern.steps if o.id != s.id and kinds.meet(concepts[s.id], concepts[o.id])]
+        if s.occurrence:
+            met += [(s.id, o) for o in others]
+        else:
+            doubtful |= bool(others)
+    return Facts(tuple(s for s in pattern.steps if s.occurrence), tuple(met), doubtful)
+
+
+def order_facts(pattern: Pattern, facts: Facts) -> list[network.Edge]:
+    """The first of a kind starts no later, the last no earlier, than any event of the kind that another step binds; and the first of one kind no later than
+    the last of another where some event is of both."""
+    at, out = network.place(pattern), []
+    for s, o in facts.met:
+        if s in at and o in at:
+            one, other = (at[s], at[o]) if pattern.names[s].occurrence == "first" else (at[o], at[s])
+            out.append((one, other, network.if_so(F.col(f"{o}_in_{s}"))))
+            if pattern.names[s].occurrence == "first" and pattern.names[o].occurrence == "last":
+                out.append((at[s], at[o], network.if_so(F.col(f"{s}_meets_{o}"))))
+    return out
+
+
+def sides(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame, test, concepts: dict[str, set[str]] | None = None, facts: Facts | None = None) -> dict[str, DataFrame]:
+    kinds, out, met = of_pattern(pattern, closure), {}, facts.met if facts else ()
+    for s in pattern.steps:
+        rows, more = selected(events, kinds, s, concepts and concepts[s.id], test is ta.plausible), []
+        for one in (pattern.names[x] for x, other in met if other == s.id and x in pattern.names):
+            more.append(f"in_{one.id}")  # an nth event is no particular one
+            rows = kinds.marked(rows, {one.concept}, more[-1]).withColumn(more[-1], F.col(more[-1]) & F.coalesce(meeting(one), F.lit(False)) & F.col("event_id").isNotNull())
+        for other in (pattern.names[x] for one, x in met if one == s.id and x in pattern.names and s.occurrence == "first" and pattern.names[x].occurrence == "last"):
+            more.append(f"meets_{other.id}")
+            shared = kinds.marked(selected(events, kinds, replace(s, occurrence=None)), {other.concept}, "_of_both").filter(F.col("_of_both") & meeting(other))
+            rows = rows.join(shared.select("patient").distinct().withColumn(more[-1], F.lit(True)), "patient", "left").withColumn(more[-1], F.coalesce(more[-1], F.lit(False)))
+        rows = named(rows, s.id, tuple(more))
         if pattern.scope != "any":
-            rows = rows.join(windows.filter("w_start IS NOT NULL"), "patient").filter(in_scope(pattern, s.id, test)).drop("w_start", "w_end")
+            rows = rows.join(windows.filter("w_start IS NOT NULL"), "patient").filter(in_scope(pattern, s.id, test))
+            rows = rows.withColumn(f"{s.id}_inside", in_scope(pattern, s.id, ta.certain)).drop("w_start", "w_end")
         out[s.id] = rows
     return out
 
 
-def bindings(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame, test=ta.plausible, concepts=None) -> DataFrame:
+def bindings(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame, test=ta.plausible, concepts=None, facts: Facts | None = None) -> DataFrame:
     """All bindings whose relations and scope each pass the test: patient and every step's columns."""
-    views, done, out = sides(pattern, events, closure, windows, test, concepts), set(), None
+    return bound(pattern, sides(pattern, events, closure, windows, test, concepts, facts), lambda r: holds(r, test))
+
+
+def bound(pattern: Pattern, views: dict[str, DataFrame], holding) -> DataFrame:
+    """The bindings of the views for which holding(relation) is true of each relation."""
+    done, out = set(), None
     for step, by in pattern.order():
         if out is None:
             out = views[step.id]
@@ -163,80 +230,51 @@ def bindings(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: D
             other = by.source if by.target == step.id else by.target
             out = joined(out, views[step.id], by, other, step.id)
         seen = {*done, step.id}
-        out = out.filter(both([holds(r, test) for r in pattern.relations if step.id in (r.source, r.target) and {r.source, r.target} <= seen]))
+        out = out.filter(both([holding(r) for r in pattern.relations if step.id in (r.source, r.target) and {r.source, r.target} <= seen]))
         done = seen
     return out
 
 
+def with_windows(pattern: Pattern, found: DataFrame, windows: DataFrame) -> DataFrame:
+    return found if pattern.scope == "any" else found.join(windows.select("patient", "w_start", "w_end"), "patient")
+
+
 def jointly(pattern: Pattern) -> Column:
-    """Whether a binding's constraints hold together in some world: nodes are the start and end of each step, one node pair for steps
-    with one event, and the window's ends."""
-    ids = [s.id for s in pattern.steps]
-    lows = [F.col(f"{i}_{c}") for i in ids for c in ("lo", "end_lo")]
-    highs = [F.col(f"{i}_{c}") for i in ids for c in ("hi", "end_hi")]
-    at = {i: 2 * k for k, i in enumerate(ids)}
-    edges = [(at[i], at[i] + 1, 0) for i in ids]
-    for r in pattern.relations:
-        a, b = at[r.source], at[r.target]
-        if r.kind == "after":
-            edges += [(a, b, r.least)] if r.least is not None else []
-            edges += [(b, a, -r.most)] if r.most is not None else []
-        else:
-            edges += [(a, b, 0), (b, a + 1, -r.grace)]
-    if pattern.scope in ("from_start", "within"):
-        lows = [F.greatest(x, F.col("w_start")) if k % 2 == 0 else x for k, x in enumerate(lows)]
-    if pattern.scope == "within":
-        highs = [F.least(x, F.col("w_end")) if k % 2 == 0 else x for k, x in enumerate(highs)]
-    if pattern.scope == "after":
-        lows = [F.greatest(x, F.col("w_end")) if k % 2 == 0 else x for k, x in enumerate(lows)]
-    plain = ta.feasible(F.array(*lows), F.array(*highs), edges)
-    # steps that share an event move together: equal starts and equal ends
-    linked = plain
-    for x in range(len(ids)):
-        for y in range(x):
-            same = F.col(f"{ids[x]}_event_id") == F.col(f"{ids[y]}_event_id")
-            tie = [(2 * y, 2 * x, 0), (2 * x, 2 * y, 0), (2 * y + 1, 2 * x + 1, 0), (2 * x + 1, 2 * y + 1, 0)]
-            linked = F.when(same, ta.feasible(F.array(*lows), F.array(*highs), edges + tie)).otherwise(linked)
-    return linked
-
-
-def ordered_steps(pattern: Pattern, closure: DataFrame) -> list[Step]:
-    """The steps bound to a first or last event. Raises where another step could bind the events that such a step, an nth or a counted one rests on, since
-    their times would not be independent then."""
-    ordered, resting = [s for s in pattern.steps if s.occurrence], [s for s in pattern.steps if s.occurrence or s.nth or s.count]
-    if resting:
-        kinds = {c: {r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()} for cs in pattern.concepts().values() for c in cs}  # from the bounded catalogue
-        held = {i: set().union(*(kinds[c] for c in cs)) for i, cs in pattern.concepts().items()}
-        for s in resting:
-            if clash := [o.id for o in pattern.steps if o.id != s.id and held[o.id] & held[s.id]]:
-                raise ValueError(f"steps {clash} can bind the events that {s.id} rests on")
-            if len(pattern.concepts()[s.id]) > 1:
-                raise ValueError(f"{s.id} rests on all events of its concept and can't be widened")
-    return ordered
+    """Whether a binding's constraints hold together in some world."""
+    return network.feasible(pattern)
 
 
-def in_all_scenarios(pattern: Pattern, ordered: list[Step], found: DataFrame, events: DataFrame, closure: DataFrame, by: list[str]) -> DataFrame:
+def in_all_scenarios(pattern: Pattern, facts: Facts, found: DataFrame, events: DataFrame, kinds: Kinds, windows: DataFrame, by: list[str]) -> DataFrame:
     """patient and by: where found (bindings that are certain in their scenario) has every scenario of the patient."""
+    ids = [F.col(f"{s.id}_event_id") for s in facts.ordered]
+    met = found.groupBy("patient", *by).agg(F.count_distinct(*ids).alias("_met"))
+    if facts:  # scenarios of steps that share a kind can rule each other out
+        only = Pattern(facts.ordered, scope="any")
+        every = bindings(only, events, kinds, windows, ta.plausible, facts=facts).filter(network.feasible(only, order_facts(only, facts)))
+        total = every.groupBy("patient").agg(F.count("*").alias("_every"))
+        return met.join(total, "patient").filter("_met = _every").select("patient", *by)
     total = None
-    for s in ordered:
-        n = selected(events, closure, s).groupBy("patient").agg(F.count("*").alias(f"_n_{s.id}"))
+    for s in facts.ordered:
+        n = selected(events, kinds, s).groupBy("patient").agg(F.count("*").alias(f"_n_{s.id}"))
         total = n if total is None else total.join(n, "patient")
-    met = found.groupBy("patient", *by).agg(F.count_distinct(*(F.col(f"{s.id}_event_id") for s in ordered)).alias("_met"))
-    every = reduce(lambda a, b: a * b, [F.col(f"_n_{s.id}") for s in ordered])
+    every = reduce(lambda a, b: a * b, [F.col(f"_n_{s.id}") for s in facts.ordered])
     return met.join(total, "patient").filter(F.col("_met") == every).select("patient", *by)
 
 
-def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
+def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
     """Patients with a binding that holds in all worlds; with first or last steps, with one for every event that can be it. Forests without such
     steps need semi-joins only: a step keeps the events that some event of each child supports."""
-    if ordered := ordered_steps(pattern, closure):
-        return in_all_scenarios(pattern, ordered, bindings(pattern, events, closure, windows, ta.certain), events, closure, [])
+    kinds = of_pattern(pattern, closure)
+    facts = facts_of(pattern, kinds)
+    if facts:
+        found = with_windows(pattern, bindings(pattern, events, kinds, windows, ta.plausible, facts=facts), windows)
+        return in_all_scenarios(pattern, facts, found.filter(network.certain(pattern, order_facts(pattern, facts))), events, kinds, windows, [])
+    if facts.ordered:
+        return in_all_scenarios(pattern, facts, bindings(pattern, events, kinds, windows, ta.certain), events, kinds, windows, [])
     if not pattern.is_forest():
-        return bindings(pattern, events, closure, windows, ta.certain).select("patient").distinct()
-    views = sides(pattern, events, closure, windows, ta.certain)
-    order = pattern.order()
-    tops = None
-    for step, by in reversed(order):
+        return bindings(pattern, events, kinds, windows, ta.certain).select("patient").distinct()
+    views, tops = sides(pattern, events, kinds, windows, ta.certain), None
+    for step, by in reversed(pattern.order()):
         rows = views[step.id]
         if by is None:
             own = rows.select("patient").distinct()
@@ -247,49 +285,102 @@ def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, wind
     return tops
 
 
-def possible_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
-    """Patients with a binding that holds in some world."""
-    ordered_steps(pattern, closure)
-    found = bindings(pattern, events, closure, windows, ta.plausible)
-    if pattern.scope != "any":
-        found = found.join(windows, "patient")
-    return found.filter(jointly(pattern)).select("patient").distinct()
+def independent(pattern: Pattern, kinds: Kinds) -> bool:
+    """Whether no two steps can bind one event but those of one relation."""
+    concepts, related = pattern.concepts(), {frozenset((r.source, r.target)) for r in pattern.relations}
+    ids = [s.id for s in pattern.steps]
+    return not any(kinds.meet(concepts[a], concepts[b]) for k, a in enumerate(ids) for b in ids[:k] if frozenset((a, b)) not in related)
+
 
+def possible_patients(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
+    """Patients with a binding that holds in some world. Where another step can bind the events of an nth, counted or rising step, some of them may have none:
+    statuses() calls them unresolved."""
+    kinds = of_pattern(pattern, closure)
+    facts = facts_of(pattern, kinds)
+    if not facts and pattern.is_forest() and independent(pattern, kinds):
+        views = {s.id: forest.timed(selected(events, kinds, s, None, True), windows, pattern.scope) for s in pattern.steps}
+        concepts = pattern.concepts()
+        return forest.possible(pattern, views, lambda a, b: kinds.meet(concepts[a], concepts[b]), {r.id: width_of(r) for r in pattern.relations})
+    found = with_windows(pattern, bindings(pattern, events, kinds, windows, ta.plausible, facts=facts), windows)
+    return found.filter(network.feasible(pattern, order_facts(pattern, facts))).select("patient").distinct()
 
-def relaxed_patients(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
-    """patient, cost, size and relaxations (ids, comma-joined) of the cheapest set that admits some binding for certain. The widest pattern is bound
-    once; a binding then meets the sets in their order."""
-    sets = [s for s in pattern.sets() if s]
-    widest_steps = pattern.concepts()
-    relations = []
+
+def widest(pattern: Pattern) -> Pattern:
+    """The pattern with each relation as wide as some affordable set makes it."""
+    sets, relations = list(pattern.sets()), []
     for r in pattern.relations:
         values = [x for s in sets for x in s if x.target == r.id]
-        most = max([r.most, *(int(x.value) for x in values if x.kind == "raise_max")], key=lambda v: v) if r.most is not None else None
+        most = max([r.most, *(int(x.value) for x in values if x.kind == "raise_max")]) if r.most is not None else None
         relations.append(Relation(r.id, r.kind, r.source, r.target, r.least, most, max([r.grace, *(int(x.value) for x in values if x.kind == "raise_grace")])))
-    widest = Pattern(pattern.steps, tuple(relations), (), scope=pattern.scope)
-    found = bindings(widest, events, closure, windows, ta.certain, widest_steps)
-    ancestors = {c: [r[0] for r in closure.filter(F.col("ancestor") == c).select("concept").collect()] for cs in widest_steps.values() for c in cs}  # a concept's kinds, from the bounded catalogue
-    fits = [both([F.col(f"{s.id}_kind").isin(ancestors[s.concept]) for s in p.steps] + [holds(r, ta.certain) for r in p.relations]) for p in map(pattern.relaxed, sets)]
-    if ordered := ordered_steps(pattern, closure):
-        each = found.withColumn("k", F.explode(F.filter(F.array(*(F.when(f, k) for k, f in enumerate(fits))), lambda k: k.isNotNull())))
-        met = in_all_scenarios(pattern, ordered, each, events, closure, ["k"])
-    else:
-        met = found.select("patient", F.coalesce(*(F.when(f, k) for k, f in enumerate(fits)), F.lit(None).cast("int")).alias("k")).filter("k IS NOT NULL")
-    ranked = met.groupBy("patient").agg(F.min("k").alias("k"))
-    rows = [(k, sum(x.cost for x in s), len(s), ",".join(sorted(x.id for x in s))) for k, s in enumerate(sets)]
-    table = events.sparkSession.createDataFrame(rows or [(-1, None, 0, "")], "k int, cost decimal(18,6), size int, relaxations string")
-    return ranked.join(F.broadcast(table), "k").drop("k")  # as many rows as sets
+    return Pattern(pattern.steps, tuple(relations), (), scope=pattern.scope)
 
 
-def statuses(pattern: Pattern, events: DataFrame, closure: DataFrame, windows: DataFrame) -> DataFrame:
-    """patient, status (excluded, exact, possible, relaxed or none), cost and relaxations, one row for each patient of windows."""
+def fits(found: DataFrame, pattern: Pattern, kinds: Kinds) -> tuple[DataFrame, list[Column]]:
+    """found with marks, and for each affordable set, in their order, whether a binding is of its concepts."""
+    out = []
+    for chosen in pattern.sets():
+        own, test = pattern.relaxed(chosen), F.lit(True)
+        for s in own.steps:
+            if len(pattern.concepts()[s.id]) > 1:
+                mark = f"_{s.id}_{s.concept}"
+                found = found if mark in found.columns else kinds.marked(found, {s.concept}, mark, f"{s.id}_kind")
+                test = test & F.col(mark)
+        out.append(test)
+    return found, out
+
+
+def priced(pattern: Pattern, spark) -> DataFrame:
+    """k, cost, size and relaxations of each affordable set, in their order; the empty set is the first."""
+    rows = [(k, sum(x.cost for x in s), len(s), ",".join(sorted(x.id for x in s))) for k, s in enumerate(pattern.sets()) if s]
+    return spark.createDataFrame(rows or [(-1, None, 0, "")], "k int, cost decimal(18,6), size int, relaxations string")
+
+
+def relaxed_patients(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
+    """patient, cost, size and relaxations (ids, comma-joined) of the cheapest set that admits some binding for certain. The widest pattern is bound
+    once; a binding then meets the sets in their order."""
+    kinds = of_pattern(pattern, closure)
+    facts, wide = facts_of(pattern, kinds), widest(pattern)
+    found = bindings(wide, events, kinds, windows, ta.plausible if facts else ta.certain, pattern.concepts(), facts)
+    found, of_sets = fits(with_windows(pattern, found, windows) if facts else found, pattern, kinds)
+    patterns = [pattern.relaxed(chosen) for chosen in pattern.sets()]
+    own = (lambda p: network.certain(p, order_facts(p, facts))) if facts else (lambda p: both([holds(r, ta.certain) for r in p.relations]))
+    ways = [F.when(fit & own(p), F.lit(k)) for k, (fit, p) in enumerate(zip(of_sets, patterns, strict=True)) if k]
+    none = F.lit(None).cast("int")
+    if facts.ordered:
+        each = found.withColumn("k", F.explode(F.filter(F.array(none, *ways), lambda k: k.isNotNull())))
+        met = in_all_scenarios(pattern, facts, each, events, kinds, windows, ["k"])
+    else:
+        met = found.select("patient", F.coalesce(*ways, none).alias("k")).filter("k IS NOT NULL")
+    return met.groupBy("patient").agg(F.min("k").alias("k")).join(F.broadcast(priced(pattern, events.sparkSession)), "k").drop("k")  # as many rows as sets
+
+
+def decided_at_once(pattern: Pattern, events: DataFrame, kinds: Kinds, windows: DataFrame) -> DataFrame:
+    """patient, _exact, _possible, cost, size and relaxations from one pass over the bindings of the widest pattern."""
+    found = with_windows(pattern, bindings(widest(pattern), events, kinds, windows, ta.plausible, pattern.concepts()), windows)
+    found, of_sets = fits(found, pattern, kinds)
+    inside = both([F.col(f"{s.id}_inside") for s in pattern.steps]) if pattern.scope != "any" else F.lit(True)
+    sure = [fit & inside & both([holds(r, ta.certain) for r in p.relations]) for fit, p in zip(of_sets, map(pattern.relaxed, pattern.sets()), strict=True)]
+    may = of_sets[0] & both([holds(r, ta.plausible) for r in pattern.relations])
+    cheapest = F.coalesce(*(F.when(s, F.lit(k)) for k, s in enumerate(sure)))
+    marked = found.select("patient", cheapest.alias("k"), F.when(may, F.when(sure[0], True).otherwise(network.feasible(pattern))).alias("may"))
+    best = marked.groupBy("patient").agg(F.min("k").alias("k"), F.bool_or("may").alias("_possible"))
+    return best.join(F.broadcast(priced(pattern, events.sparkSession)), "k", "left").withColumn("_exact", F.col("k") == 0).drop("k")
+
+
+def statuses(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
+    """patient, status (excluded, exact, possible, unresolved, relaxed or none), cost and relaxations, one row for each patient of windows."""
+    kinds = of_pattern(pattern, closure)
+    facts = facts_of(pattern, kinds)
     flag = lambda df, name: df.select("patient", F.lit(True).alias(name))
-    out = windows.join(flag(exact_patients(pattern, events, closure, windows), "_exact"), "patient", "left").join(flag(possible_patients(pattern, events, closure, windows), "_possible"), "patient", "left")
-    if any(True for s in pattern.sets() if s):
-        out = out.join(relaxed_patients(pattern, events, closure, windows), "patient", "left")
+    if any(True for s in pattern.sets() if s) and not facts.ordered and not facts.doubtful and not any(s.count or s.rise for s in pattern.steps):
+        out = windows.join(decided_at_once(pattern, events, kinds, windows), "patient", "left")
     else:
-        out = out.withColumns({"cost": F.lit(None).cast("decimal(18,6)"), "relaxations": F.lit(None).cast("string")})
-    status = F.when(F.col("w_start").isNull(), "excluded").when(F.col("_exact"), "exact").when(F.col("_possible"), "possible").when(F.col("relaxations").isNotNull(), "relaxed").otherwise("none")
+        out = windows.join(flag(exact_patients(pattern, events, kinds, windows), "_exact"), "patient", "left").join(flag(possible_patients(pattern, events, kinds, windows), "_possible"), "patient", "left")
+        if any(True for s in pattern.sets() if s):
+            out = out.join(relaxed_patients(pattern, events, kinds, windows), "patient", "left")
+        else:
+            out = out.withColumns({"cost": F.lit(None).cast("decimal(18,6)"), "relaxations": F.lit(None).cast("string")})
+    status = F.when(F.col("w_start").isNull(), "excluded").when(F.col("_exact"), "exact").when(F.col("_possible"), "unresolved" if facts.doubtful else "possible").when(F.col("relaxations").isNotNull(), "relaxed").otherwise("none")
     only = lambda c: F.when(F.col("status") == "relaxed", F.col(c)).alias(c)
     return out.withColumn("status", status).select("patient", "status", only("cost"), only("relaxations"))
 

@@ -24,12 +24,15 @@ class Step:
     nth: int | None = None  #: the nth event from the start, or from the end if negative
     count: tuple[int, int] | None = None  #: an event with so many, itself included, in the span of so many microseconds up to it
     rise: tuple[int, int, int, int, int] | None = None  #: a reading at least num / den times the mean of up to `previous` ones `within` microseconds before, or times a floor: (previous, within, num, den, floor)
+    falls: bool = False  #: the rise turned round: at most the mean divided by num / den
 
     def __post_init__(self):
         if self.occurrence not in (None, "first", "last"):
             raise ValueError(f"occurrence of {self.id}: {self.occurrence}")
         if sum(x is not None for x in (self.occurrence, self.nth, self.count, self.rise)) > 1 or self.nth == 0 or (self.count and (self.count[0] < 1 or self.count[1] < 0)):
             raise ValueError(f"one derived condition at most, of whole numbers: {self.id}")
+        if self.falls and not self.rise:
+            raise ValueError(f"{self.id} falls by nothing")
         if None not in (self.at_least, self.below) and self.at_least >= self.below:
             raise ValueError(f"no value can meet the condition of {self.id}")
 

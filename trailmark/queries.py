@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
 from trailmark.lineage import cut
-from trailmark.operators import derived, evidence, intervals, kernel, rules, similarity, states, store
+from trailmark.operators import derived, evidence, intervals, rules, shared, similarity, states, store
 from trailmark.operators.ranges import join_ranges
 from trailmark.plans import compile as plans
 from trailmark.plans.pattern import Pattern, Relation, Relaxation, Step
@@ -578,15 +578,23 @@ def hof_feasibility(spark, d):
     return found.groupBy("patient").agg(F.count("*").alias("plausible"), F.sum(plans.jointly(CYCLE).cast("long")).alias("feasible"))
 
 
-@query()
+NAMED = f"""named AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN lo // {HOUR} END AS v FROM ev), agreed AS (SELECT patient, v, max(lo) AS v_lo, min(hi) AS v_hi, count(*) AS n FROM named WHERE v IS NOT NULL GROUP BY ALL HAVING max(lo) <= min(hi)),
+timed AS (SELECT n.patient, n.event_id, n.kind, CASE WHEN g.v IS NULL THEN -n.event_id ELSE g.v END AS name, coalesce(g.v_lo, n.lo) AS lo, coalesce(g.v_hi, n.hi) AS hi FROM named n LEFT JOIN agreed g ON g.patient = n.patient AND g.v = n.v),
+sharing AS (SELECT DISTINCT patient FROM agreed WHERE n > 1)"""
+
+
+@query(f""", {NAMED}, bound AS (SELECT w.patient, w_start, w_end, a.name AS an, a.lo AS al, a.hi AS ah, b.name AS bn, b.lo AS bl, b.hi AS bh, c.name AS cn, c.lo AS cl, c.hi AS ch FROM sharing JOIN uwin w USING (patient) JOIN timed a ON a.patient = w.patient AND a.kind = 'view' JOIN timed b ON b.patient = w.patient AND b.kind = 'click' JOIN timed c ON c.patient = w.patient AND c.kind = 'purchase'
+  WHERE a.hi >= w_start AND a.lo <= w_end AND b.hi >= a.lo AND b.lo <= a.hi + {12 * HOUR} AND c.hi >= b.lo AND c.lo <= b.hi + {12 * HOUR}),
+judged AS (SELECT patient, al >= w_start AND ah <= w_end AND bl >= w_start AND bh <= w_end AND cl >= w_start AND ch <= w_end AND (an = bn OR (bl - ah >= 0 AND bh - al <= {12 * HOUR})) AND (bn = cn OR (cl - bh >= 0 AND ch - bl <= {12 * HOUR})) AS sure,
+  CASE WHEN an = cn THEN greatest(al, bl, cl, w_start) <= least(ah, bh, ch, w_end) ELSE greatest(al, w_start) <= least(ah, w_end) AND b_lo <= b_hi AND greatest(cl, w_start, b_lo) <= least(ch, w_end, CASE WHEN bn = cn THEN b_hi ELSE b_hi + {12 * HOUR} END) END AS may
+  FROM (SELECT *, greatest(bl, w_start, greatest(al, w_start)) AS b_lo, least(bh, w_end, CASE WHEN an = bn THEN ah ELSE least(ah, w_end) + {12 * HOUR} END) AS b_hi FROM bound))
+SELECT w.patient, CASE WHEN w_start IS NULL THEN 'excluded' WHEN bool_or(sure) THEN 'exact' WHEN bool_or(may) THEN 'possible' ELSE 'none' END AS status FROM sharing JOIN uwin w USING (patient) LEFT JOIN judged USING (patient) GROUP BY w.patient, w_start""")
 def kernel_shared_vars(spark, d):
-    """Statuses of patients whose clicks on one day share a time variable."""
+    """Statuses of patients whose events of one hour share a time variable, where their ranges agree on one."""
     m = Model(spark, d, True)
-    var = F.when((F.col("kind") == "click") & (F.col("event_id") % 35 != 0), F.concat_ws(":", F.lit("day"), F.floor(F.col("lo") / DAY)))
-    pair = m.events.withColumn("start_var", var).withColumn("end_var", F.lit(None).cast("string"))
-    shared = pair.filter("start_var IS NOT NULL").groupBy("patient", "start_var").agg(F.greatest(F.max("lo"), F.min("lo")).alias("v_lo"), F.min("hi").alias("v_hi")).filter("v_lo <= v_hi")
-    kept = pair.join(shared, ["patient", "start_var"], "left").withColumn("start_var", F.when(F.col("v_lo").isNotNull(), F.col("start_var"))).drop("v_lo", "v_hi")
-    return kernel.shared_statuses(CHAIN, kept, m.closure, m.windows)
+    rows = m.events.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.expr(f"string(lo div {HOUR})")))
+    agreed = rows.filter("v IS NOT NULL").groupBy("patient", "v").agg(F.max("lo").alias("v_lo"), F.min("hi").alias("v_hi")).filter("v_lo <= v_hi").select("patient", "v", F.col("v").alias("start_var"))
+    return shared.statuses(CHAIN, rows.join(agreed, ["patient", "v"], "left").withColumn("end_var", F.lit(None).cast("string")), m.closure, m.windows)
 
 
 @query(f"""SELECT patient, CASE WHEN bool_and(sure) THEN 'exact' WHEN bool_or(may) THEN 'possible' ELSE 'none' END AS status FROM (SELECT f.patient, f.event_id, bool_or(coalesce(b.lo - f.n_hi >= 0 AND b.hi - f.lo <= {12 * HOUR}, false)) AS sure, bool_or(coalesce(b.hi - f.lo >= 0 AND b.lo - f.n_hi <= {12 * HOUR}, false)) AS may FROM (
@@ -683,9 +691,9 @@ def nearest_anchor(spark, d):
     return near.groupBy("patient").agg(F.min("near").alias("near")).select("patient", "near.event_id", "near.distance")
 
 
-@query("SELECT c_custkey AS patient, CASE WHEN c_mktsegment = 'BUILDING' OR NOT coalesce(low < 50000, true) THEN 'excluded' WHEN low IS NULL THEN 'unresolved' ELSE 'eligible' END AS filter_state FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey")
+@query("SELECT c_custkey AS patient, CASE WHEN c_mktsegment = 'BUILDING' OR NOT coalesce(low < 50000, true) THEN 'excluded' WHEN low IS NULL THEN 'unresolved' ELSE 'eligible' END AS filter_state FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS low FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def hard_filters(spark, d):
-    low = read(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("low"))
+    low = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_totalprice").alias("low"))
     rows = read(spark, d, "customer").join(low, "c_custkey", "left")
     return similarity.eligible(rows, [F.col("c_mktsegment") != "BUILDING", F.col("low") < 50000]).select(F.col("c_custkey").alias("patient"), "filter_state")
 

@@ -108,7 +108,7 @@ def recorded_ranking(spark, d):
     return records.ranked_missing_last(rows, "distance", "patient", "episode").withColumn("highlighted", F.col("rank") <= 10)
 
 
-REVIEWS = "rev AS (SELECT l_partkey AS mapping, l_orderkey * 10 + l_linenumber AS decision, min(CASE WHEN l_returnflag = 'R' THEN 'withdraw' ELSE 'accept' END) AS action FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2)"
+REVIEWS = "rev AS (SELECT l_partkey AS mapping, l_orderkey * 10 + l_linenumber AS decision, min(CASE WHEN l_returnflag = 'R' THEN 'withdraw' ELSE 'accept' END) AS action FROM lineitem GROUP BY 1, 2)"
 
 
 @query(f""", {REVIEWS}, ch AS (SELECT *, lag(decision) OVER (PARTITION BY mapping ORDER BY decision) AS before FROM rev), sup AS (SELECT *, CASE WHEN decision % 97 <> 0 THEN before END AS supersedes FROM ch)
@@ -116,7 +116,7 @@ SELECT p_partkey AS mapping, CASE WHEN coalesce(bool_or(CASE WHEN decision IS NU
 FROM part LEFT JOIN sup ON mapping = p_partkey GROUP BY p_partkey""")
 def mapping_outcomes(spark, d):
     """Reviewed mappings: what the chain of decisions about each says."""
-    made = read(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_partkey").alias("mapping"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("decision"), F.when(F.col("l_returnflag") == "R", "withdraw").otherwise("accept").alias("action")).groupBy("mapping", "decision").agg(F.min("action").alias("action"))
+    made = read(spark, d, "lineitem").select(F.col("l_partkey").alias("mapping"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("decision"), F.when(F.col("l_returnflag") == "R", "withdraw").otherwise("accept").alias("action")).groupBy("mapping", "decision").agg(F.min("action").alias("action"))
     chain = made.withColumn("supersedes", F.when(F.col("decision") % 97 != 0, F.lag("decision").over(Window.partitionBy("mapping").orderBy("decision"))))
     every = read(spark, d, "part").select(F.col("p_partkey").alias("mapping")).join(chain, "mapping", "left")
     return records.mapping_outcomes(every.withColumn("seq", F.col("decision")))

@@ -104,6 +104,44 @@ def unknown_concepts(concepts: DataFrame, wanted: list[str]) -> list[str]:
     return sorted(set(wanted) - known)
 
 
+#: How many kinds of the wanted concepts are named in a plan at most; beyond, they are joined.
+MOST_KINDS = 10_000
+
+
+class Kinds:
+    """The kinds that stand for each of the wanted concepts, from one read of the catalogue. Few of them are named in filters, which reach
+    the scan; those of a large catalogue stay a table. Asking for a concept that the catalogue lacks is an error, never an empty match."""
+
+    def __init__(self, concepts: DataFrame, wanted: set[str]):
+        self.table, self.sets = concepts.select("concept", "ancestor"), None
+        rows = self.table.filter(F.col("ancestor").isin(sorted(wanted))).distinct().limit(MOST_KINDS + 1).collect()
+        if len(rows) <= MOST_KINDS:
+            self.sets = {c: {r.concept for r in rows if r.ancestor == c} for c in wanted}
+        missing = sorted(c for c, kinds in self.sets.items() if not kinds) if self.sets is not None else unknown_concepts(concepts, sorted(wanted))
+        if missing:
+            raise ValueError(f"unknown concepts: {', '.join(missing)}")
+
+    def of(self, rows: DataFrame, wanted: set[str]) -> DataFrame:
+        """Events that stand for any of the concepts, once each."""
+        if self.sets is not None:
+            return rows.filter(F.col("kind").isin(sorted(set().union(*(self.sets[c] for c in wanted)))))
+        return rows.join(self.table.filter(F.col("ancestor").isin(sorted(wanted))).select(F.col("concept").alias("kind")), "kind", "left_semi")
+
+    def marked(self, rows: DataFrame, wanted: set[str], name: str, kind: str = "kind") -> DataFrame:
+        """rows with whether their kind stands for any of the concepts."""
+        if self.sets is not None:
+            return rows.withColumn(name, F.col(kind).isin(sorted(set().union(*(self.sets[c] for c in wanted)))))
+        named = self.table.filter(F.col("ancestor").isin(sorted(wanted))).select(F.col("concept").alias(kind)).distinct().withColumn(name, F.lit(True))
+        return rows.join(named, kind, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+    def meet(self, one: set[str], other: set[str]) -> bool:
+        """Whether some kind stands for concepts of both."""
+        if self.sets is not None:
+            return bool(set().union(*(self.sets[c] for c in one)) & set().union(*(self.sets[c] for c in other)))
+        side = lambda cs: self.table.filter(F.col("ancestor").isin(sorted(cs))).select("concept").distinct()
+        return bool(side(one).join(side(other), "concept").limit(1).count())
+
+
 def offset_micros(text: Column, origin: Column) -> Column:
     """Zoned date and time text minus a zoned origin, in microseconds."""
     return F.unix_micros(F.to_timestamp(text)) - F.unix_micros(F.to_timestamp(origin))
