@@ -127,6 +127,21 @@ def test_differencing_decides_on_generated_hosts(spark, monkeypatch, marked):
         assert all(r.text != rows[r.page_id][2] for r in off)
 
 
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a ">" ', "<a x='>' ", "<p <", "<!-- ", "</", "<a x=\"> "])
+def test_open_tags_and_quotes_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    pages.blocks("<p>text</p>" + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 5
+
+
+def test_text_after_the_last_tag():
+    assert extract("<p>x</p>a < b <c &amp; d") == "x\na < b <c & d"
+    assert extract("<p>x</p>a <!-- b") == "x\na"
+    assert extract("<p title='a>b'>x</p><p title='>y</p>z") == "x\ny\nz"
+
+
 def test_copies_are_not_their_own_template(spark):
     rows = [(i, f"http://m.org/{i}", "<div>head</div><p>the one text</p>") for i in range(3)] + [(3, "http://m.org/9", "<div>head</div><p>another</p>")]
     assert sorted(r.text for r in pages.main_text(frame(spark, rows)).collect()) == ["another", *["the one text"] * 3]

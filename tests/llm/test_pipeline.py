@@ -90,14 +90,14 @@ def test_empty_documents(spark, folder, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = lambda t: sorted(str(tuple(r.values())) for r in t.select(sorted(t.column_names)).to_pylist())
     assert rows(queries.queries()[name](spark, SF).toArrow()) == rows(con.sql(queries.oracle_sql()[name]).to_arrow_table())
 
 
-def test_ten_operators_and_the_entry():
+def test_all_operators_and_the_entry():
     import __spark_entry__
 
     found = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)] == [1] * 10 and "pipeline" in found
+    assert [sum(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)] == [1] * 13 and "pipeline" in found

@@ -74,6 +74,13 @@ def test_keep_one(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.keep_one(df).collect()) == [-1, 0, 2]
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    df = docs(spark, [prose(1, 100), prose(2, 100)]).selectExpr("*", "doc_id AS _kept_text", "doc_id AS _hash", "doc_id AS _kept")
+    df = df.unionByName(df)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r._kept_text, r._hash, r._kept) for r in out.collect()) == [(i, i, i, i) for i in (0, 1)]
+
+
 def test_keep_one_of_null_ids_and_of_two_texts_under_one_id(spark):
     a, b, c, d, e = (prose(i, 100) for i in range(20, 25))
     rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (5, c), (5, d), (5, d), (7, e), (7, a), (9, d)]

@@ -7,7 +7,7 @@ are deleted. They also tell where the host's template is: an element path outsid
 the whole host, and so is a path of pages without a marked article where at least TEMPLATE_PERCENT of the lines are shared; all
 lines on such a path are deleted, also those that change from page to page. What a page marks as its article is never deleted as
 shared: two articles share a paragraph by chance. What then remains outside a marked article, and what tags or names call a menu,
-notice, advert, form or comment, goes by structure.
+notice, advert, form or comment, goes by structure: menus and adverts that change from page to page are shared with no neighbour.
 
 Each page is parsed once, into a table in the shared folder. Pairing moves line hashes only. Hosts are cut into ranges by a range
 partitioning of host and path, so that a host with a third of all pages is many ranges; a page at a range's edge takes its
@@ -15,8 +15,8 @@ neighbour from the table of edges.
 
 Cases: a null or empty page has no text; a page with a null or empty URL has no host and is judged by structure, as is a page alone on its
 host; a URL without host is its own host; pages of one host with equal lines are one page to pairing, at the least of their URLs, so
-that a page published twice isn't its own template; repeated rows are each answered; very long and very deep pages are taken whole; an empty
-table gives an empty table; further columns are ignored.
+that a page published twice isn't its own template; repeated rows are each answered; very long and very deep pages are taken whole, in time
+that grows with their length, also where tags or quotes stay open; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,6 +64,8 @@ MOST_BITS = 1 << 26
 
 #: Text, or markup: comments, declarations, processing instructions, tags with their attributes.
 TOKEN = re.compile(r"([^<]+)|<!--(?:[\s\S]*?-->|[\s\S]*)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>?|<")
+#: A tag that ends at the next >, for the rest of a page in which a quote stays open.
+PLAIN_TAG = re.compile(r"(\A(?!))?<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s=\"'/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is not markup (fixed values).
 RAW = set("script style textarea title".split())
@@ -87,9 +89,16 @@ class Blocks:
         self.counts: Counter[str] = Counter()
 
     def feed(self, html: str) -> None:
-        at, end = 0, len(html)
+        at, end, last, quoted = 0, len(html), html.rfind(">"), True
         while at < end:
-            m = TOKEN.match(html, at)
+            if at > last and html[at] == "<":  # no tag ends any more; declarations and end tags run to the end
+                m = re.compile(r"<[!?/]").search(html, at)
+                if not self.stack[-1].silent:
+                    self.parts.append(unescape(html[at : m.start() if m else end]))
+                break
+            m = TOKEN.match(html, at) if quoted or html[at] != "<" else PLAIN_TAG.match(html, at) or TOKEN.match(html, at)
+            if m[0] == "<" and html[at + 1 : at + 2].isalpha() and html[at + 1].isascii():
+                quoted, m = False, PLAIN_TAG.match(html, at)
             at = m.end()
             if (data := m[1]) is not None:
                 if not self.stack[-1].silent:

@@ -132,4 +132,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", grouped:
     kept = docs.join(first, docs[key].eqNullSafe(first["_kept"]) & (F.xxhash64(docs[text].cast("string")) == first["_kept_text"]), "left_semi")
     if not first.filter("count > 1").limit(1).count():  # rows are thin here, and whole ones dear to shuffle
         return kept
-    return kept.withColumn("_kept_text", F.xxhash64(F.col(text).cast("string"))).dropDuplicates([key, "_kept_text"]).drop("_kept_text")
+    own = "_hash"
+    while own in docs.columns:
+        own += "_"
+    return kept.withColumn(own, F.xxhash64(F.col(text).cast("string"))).dropDuplicates([key, own]).drop(own)
