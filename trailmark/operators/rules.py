@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.plans.pattern import Pattern
-from trailmark.sources.model import with_concepts
+from trailmark.sources.model import Kinds, with_concepts
 
 
 def uncovered(pattern: Pattern, windows: DataFrame, coverage: DataFrame, sources: DataFrame) -> DataFrame:
@@ -32,8 +32,30 @@ def touched(pattern: Pattern, excluded: DataFrame, closure: DataFrame, windows:
     """patient: those with a record that was left out, of a step's concept, whose start the scope admits."""
     wanted = sorted(set().union(*pattern.concepts().values()))
     rows = with_concepts(excluded.withColumnRenamed("concept", "kind"), closure).filter(F.col("concept").isin(wanted)).join(windows.filter("w_start IS NOT NULL"), "patient")
-    admits = {"any": F.lit(True), "from_start": F.col("x_hi") >= F.col("w_start"), "within": (F.col("x_hi") >= F.col("w_start")) & (F.col("x_lo") <= F.col("w_end")), "after": F.col("x_hi") >= F.col("w_end")}[pattern.scope]
-    return rows.filter(admits).select("patient").distinct()
+    return rows.filter(admits_start(pattern.scope)).select("patient").distinct()
+
+
+def admits_start(scope: str) -> Column:
+    """Whether the scope admits some start in [x_lo, x_hi]."""
+    return {"any": F.lit(True), "from_start": F.col("x_hi") >= F.col("w_start"), "within": (F.col("x_hi") >= F.col("w_start")) & (F.col("x_lo") <= F.col("w_end")), "after": F.col("x_hi") >= F.col("w_end")}[scope]
+
+
+def undetermined(pattern: Pattern, findings: DataFrame, closure: DataFrame, windows: DataFrame, steps: list[str]) -> DataFrame:
+    """patient, step, reach and admitted: how many undetermined findings (patient, kind, x_lo, x_hi, finding) are of each of the steps' concepts, and how many of
+    them start where the scope admits it. Such a finding acts as a record that the ingest left out of that step; windows of null are out of the question."""
+    concepts, kinds = pattern.concepts(), Kinds(closure, set().union(*(pattern.concepts()[s] for s in steps)))
+    rows, out = findings.filter("finding = 'undetermined'").join(windows.filter("w_start IS NOT NULL"), "patient"), None
+    for s in steps:
+        own = kinds.of(rows, concepts[s]).groupBy("patient").agg(F.count("*").alias("reach"), F.count_if(admits_start(pattern.scope)).alias("admitted")).select("patient", F.lit(s).alias("step"), "reach", "admitted")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def with_undetermined(statuses: DataFrame, reach: DataFrame) -> DataFrame:
+    """Statuses after undetermined findings, step by step: where one of a step is admitted, none becomes not_comparable, relaxed unresolved and possible
+    incomplete; `steps` lists the steps that it holds for, sorted, whatever the status."""
+    admitted = reach.filter("admitted > 0").groupBy("patient").agg(F.array_join(F.array_sort(F.collect_set("step")), ",").alias("steps"))
+    return with_exclusions(statuses, admitted.select("patient")).join(admitted, "patient", "left")
 
 
 def with_exclusions(statuses: DataFrame, touched_: DataFrame) -> DataFrame:

@@ -133,8 +133,9 @@ def joined(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str
     return near.unionByName(left.filter(ongoing).join(right, "patient").filter(times[1] >= span[0]))
 
 
-def supported(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str) -> DataFrame:
-    """The rows of left (which has step) that some row of right (step `other`) meets the relation with, for certain."""
+def supported(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str, keys: tuple[str, ...] = ("patient",)) -> DataFrame:
+    """The rows of left (which has step) that some row of right (step `other`) with equal keys meets the relation with, for certain."""
+    keys = list(keys)
     names = {f"{s}_{c}": F.col(f"{s}_{c}") for s in (step, other) for c in FIELDS}
     own, its = (lambda c: names[f"{step}_{c}"]), (lambda c: names[f"{other}_{c}"])
     if r.kind == "after" and None not in (r.least, r.most):
@@ -143,15 +144,15 @@ def supported(left: DataFrame, right: DataFrame, r: Relation, step: str, other:
         point = own("hi") if step == r.source else own("lo")
         if same is not None:
             span = (F.least(span[0], its("hi" if step == r.source else "lo")), F.greatest(span[1], its("hi" if step == r.source else "lo")))
-        return semi_join_range(left, right, ["patient"], point, span, width_of(r), holds(r, ta.certain))
+        return semi_join_range(left, right, keys, point, span, width_of(r), holds(r, ta.certain))
     if r.kind == "during" and step == r.target:  # each left row begins within the other's range
         ongoing = its("end_lo") >= ta.FOREVER
-        near = semi_join_range(left, right.filter(~ongoing), ["patient"], own("lo"), (its("lo"), its("end_lo") + r.grace), width_of(r), holds(r, ta.certain))
-        begun = right.filter(ongoing).groupBy("patient").agg(F.min(its("hi")).alias("_begun"))  # it covers whatever begins later
-        far = left.join(begun, "patient").filter(own("lo") >= F.col("_begun")).drop("_begun")
-        return near.unionByName(far).dropDuplicates(["patient", f"{step}_event_id"])
-    right = right.select(F.col("patient").alias("_r_patient"), *(c for c in right.columns if c != "patient"))
-    return left.join(right, (F.col("patient") == F.col("_r_patient")) & holds(r, ta.certain), "left_semi")
+        near = semi_join_range(left, right.filter(~ongoing), keys, own("lo"), (its("lo"), its("end_lo") + r.grace), width_of(r), holds(r, ta.certain))
+        begun = right.filter(ongoing).groupBy(*keys).agg(F.min(its("hi")).alias("_begun"))  # it covers whatever begins later
+        far = left.join(begun, keys).filter(own("lo") >= F.col("_begun")).drop("_begun")
+        return near.unionByName(far).dropDuplicates([*keys, f"{step}_event_id"])
+    right = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(right, both([F.col(k) == F.col(f"_r_{k}") for k in keys]) & holds(r, ta.certain), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -272,6 +273,8 @@ def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame | Kin
     if facts.ordered:
         return in_all_scenarios(pattern, facts, bindings(pattern, events, kinds, windows, ta.certain), events, kinds, windows, [])
     if not pattern.is_forest():
+        if step := separator(pattern):
+            return exact_by_separator(pattern, step, sides(pattern, events, kinds, windows, ta.certain))
         return bindings(pattern, events, kinds, windows, ta.certain).select("patient").distinct()
     views, tops = sides(pattern, events, kinds, windows, ta.certain), None
     for step, by in reversed(pattern.order()):
@@ -285,6 +288,49 @@ def exact_patients(pattern: Pattern, events: DataFrame, closure: DataFrame | Kin
     return tops
 
 
+def without(pattern: Pattern, step: str) -> Pattern:
+    return Pattern(tuple(s for s in pattern.steps if s.id != step), tuple(r for r in pattern.relations if step not in (r.source, r.target)), scope=pattern.scope)
+
+
+def separator(pattern: Pattern) -> str | None:
+    """A step without which the pattern is a forest, of those the one with the most relations."""
+    found = [s.id for s in pattern.steps if len(pattern.steps) > 1 and without(pattern, s.id).is_forest()]
+    return max(found, key=lambda i: sum(i in (r.source, r.target) for r in pattern.relations), default=None)
+
+
+def exact_by_separator(pattern: Pattern, step: str, views: dict[str, DataFrame]) -> DataFrame:
+    """Patients with a certain binding of a cycle: what is left of the pattern without the step is a forest, which is decided for each of the step's events at
+    once. Steps related to it are listed once for each of its events that they fit; from there on all joins are semi-joins on patient and event."""
+    keys = ("patient", "_separator")
+    own = views[step]
+    touching = {s.id: [r for r in pattern.relations if {r.source, r.target} == {s.id, step}] for s in pattern.steps if s.id != step}
+    for other, by in touching.items():
+        for r in by:  # first what of it has no partner at all goes
+            own = supported(own, views[other], r, step, other)
+    own = own.withColumn("_separator", F.col(f"{step}_event_id"))
+    left = {}
+    for other, by in touching.items():
+        if by:
+            met = joined(own, views[other], by[0], step, other).filter(both([holds(r, ta.certain) for r in by]))
+            left[other] = met.drop(*(c for c in own.columns if c not in keys))
+        else:
+            left[other] = views[other]
+    rest, tops = without(pattern, step), own.select(*keys).distinct()
+    for s, by in reversed(rest.order()):
+        rows, keyed = left[s.id], "_separator" in left[s.id].columns
+        if by is None:
+            on = keys if keyed else ("patient",)
+            tops = tops.join(rows.select(*on).distinct(), list(on), "left_semi")
+            continue
+        other = by.source if by.target == s.id else by.target
+        if not keyed or "_separator" in left[other].columns:
+            left[other] = supported(left[other], rows, by, other, s.id, keys if keyed else ("patient",))
+        else:  # the other isn't related to the separator itself: it is listed for the events that its partners fit
+            met = joined(rows, left[other], by, s.id, other).filter(holds(by, ta.certain))
+            left[other] = met.select("_separator", *left[other].columns).dropDuplicates(["_separator", "patient", f"{other}_event_id"])
+    return tops.select("patient").distinct()
+
+
 def independent(pattern: Pattern, kinds: Kinds) -> bool:
     """Whether no two steps can bind one event but those of one relation."""
     concepts, related = pattern.concepts(), {frozenset((r.source, r.target)) for r in pattern.relations}
@@ -301,10 +347,46 @@ def possible_patients(pattern: Pattern, events: DataFrame, closure: DataFrame |
         views = {s.id: forest.timed(selected(events, kinds, s, None, True), windows, pattern.scope) for s in pattern.steps}
         concepts = pattern.concepts()
         return forest.possible(pattern, views, lambda a, b: kinds.meet(concepts[a], concepts[b]), {r.id: width_of(r) for r in pattern.relations})
+    if not facts.ordered and not any(s.nth or s.count or s.rise for s in pattern.steps):  # such steps rest on events that a patient must keep
+        events = events.join(hulls(pattern, events, kinds, windows).filter("NOT refuted").select("patient"), "patient", "left_semi")
     found = with_windows(pattern, bindings(pattern, events, kinds, windows, ta.plausible, facts=facts), windows)
     return found.filter(network.feasible(pattern, order_facts(pattern, facts))).select("patient").distinct()
 
 
+def hulls(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
+    """patient and refuted, one row for each patient of windows: whether the hull of each step's candidates, all of them together as one event, already rules the
+    pattern out, or a step has none. One aggregation of the events; what it refutes needs no binding."""
+    kinds = of_pattern(pattern, closure)
+    rows, parts = events, []
+    for s in pattern.steps:
+        rows = kinds.marked(rows, {s.concept}, f"_is_{s.id}")
+        own = F.col(f"_is_{s.id}") & F.coalesce(meeting(s), F.lit(False))
+        parts += [f(F.when(own, F.col(c))).alias(f"{s.id}_{c}") for c, f in (("lo", F.min), ("hi", F.max), ("end_lo", F.min), ("end_hi", F.max))]
+    found = windows.join(rows.groupBy("patient").agg(*parts), "patient", "left")
+    lows, highs = network.scoped(pattern, *network.ranges(pattern))
+    order = [(2 * k, 2 * k + 1, 0) for k in range(len(pattern.steps))]
+    there = both([F.col(f"{s.id}_lo").isNotNull() for s in pattern.steps] + ([F.col("w_start").isNotNull()] if pattern.scope != "any" else []))
+    return found.select("patient", F.when(there, ~ta.feasible(F.array(*lows), F.array(*highs), order + network.demands(pattern))).otherwise(True).alias("refuted"))
+
+
+def witnesses(pattern: Pattern, events: DataFrame, closure: DataFrame | Kinds, windows: DataFrame) -> DataFrame:
+    """patient, {step}_event_id, {step}_at and replayed: of each patient with a possible match the binding with the least event ids, the earliest times at
+    which all of it holds, and whether these, set into the ranges, the events' own order, the relations and the scope one by one, meet every one of
+    them. Bindings are reduced where they are made; steps bound to a first, nth, counted or rising event are refused."""
+    if derived := [s.id for s in pattern.steps if s.occurrence or s.nth or s.count or s.rise]:
+        raise ValueError(f"steps {derived} rest on other events than those bound")
+    found = with_windows(pattern, bindings(pattern, events, closure, windows), windows).filter(network.feasible(pattern))
+    lows, highs = network.scoped(pattern, *network.ranges(pattern))
+    edges = network.structure(pattern) + network.demands(pattern)
+    at = found.withColumns({"_lows": F.array(*lows), "_highs": F.array(*highs)}).withColumn("_at", ta.earliest(F.col("_lows"), edges))
+    kept = [F.col("_at")[j] - F.col("_at")[i] >= w for i, j, w in edges]
+    inside = F.forall(F.zip_with("_at", "_lows", lambda t, x: t >= x), lambda ok: ok) & F.forall(F.zip_with("_at", "_highs", lambda t, x: t <= x), lambda ok: ok)
+    ids = [F.col(f"{s.id}_event_id") for s in pattern.steps]
+    times = [F.col("_at")[2 * k].alias(f"{s.id}_at") for k, s in enumerate(pattern.steps)]
+    best = at.select("patient", F.struct(*ids, *times, (both(kept) & inside).alias("replayed")).alias("b")).groupBy("patient").agg(F.min("b").alias("b"))
+    return best.select("patient", "b.*")
+
+
 def widest(pattern: Pattern) -> Pattern:
     """The pattern with each relation as wide as some affordable set makes it."""
     sets, relations = list(pattern.sets()), []

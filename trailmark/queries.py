@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
 from trailmark.lineage import cut
-from trailmark.operators import derived, evidence, intervals, rules, shared, similarity, states, store
+from trailmark.operators import derived, evidence, intervals, reasoning, rises, rules, shared, similarity, states, store
 from trailmark.operators.ranges import join_ranges
 from trailmark.plans import compile as plans
 from trailmark.plans.pattern import Pattern, Relation, Relaxation, Step
@@ -578,6 +578,104 @@ def hof_feasibility(spark, d):
     return found.groupBy("patient").agg(F.count("*").alias("plausible"), F.sum(plans.jointly(CYCLE).cast("long")).alias("feasible"))
 
 
+@query("""SELECT DISTINCT a.patient FROM ev a JOIN ev b ON a.patient = b.patient AND b.t - a.t BETWEEN 0 AND %d JOIN ev c ON c.patient = b.patient AND c.t - b.t BETWEEN 0 AND %d AND c.t - a.t BETWEEN 0 AND %d JOIN ev e ON e.patient = c.patient AND e.t - c.t BETWEEN 0 AND %d AND e.t - a.t BETWEEN %d AND %d
+WHERE a.kind = 'view' AND b.kind = 'click' AND c.kind = 'purchase' AND e.kind = 'error'""" % (24 * HOUR, 24 * HOUR, 30 * HOUR, 24 * HOUR, 6 * HOUR, 48 * HOUR))
+def cycle_patients(spark, d):
+    """Patients with two cycles that share a view, decided for each view at once; no binding is listed."""
+    m = Model(spark, d)
+    more = Pattern((*CYCLE.steps, Step("e", "error")), (*CYCLE.relations, Relation("r4", "after", "c", "e", 0, 24 * HOUR), Relation("r5", "after", "a", "e", 6 * HOUR, 48 * HOUR)))
+    return plans.exact_patients(more, m.events, m.closure, m.windows)
+
+
+SPREAD = Pattern((Step("a", "error", at_least=100_000_000), Step("b", "signup"), Step("c", "purchase", below=10_000_000)), (Relation("r1", "after", "a", "b", 5 * DAY, 7 * DAY), Relation("r2", "after", "b", "c", 6 * DAY, 8 * DAY)), scope="within")
+
+
+@query(f"""SELECT w.patient, coalesce(w_start IS NULL OR greatest(al, w_start) > least(ah, w_end) OR b_lo > b_hi OR greatest(cl, w_start, b_lo + {6 * DAY}) > least(ch, w_end, b_hi + {8 * DAY}), true) AS refuted FROM uwin w LEFT JOIN (SELECT x.*, greatest(bl, w_start, greatest(al, w_start) + {5 * DAY}) AS b_lo, least(bh, w_end, least(ah, w_end) + {7 * DAY}) AS b_hi FROM uwin JOIN
+(SELECT patient, min(lo) FILTER (kind = 'error' AND micro >= 100000000) AS al, max(hi) FILTER (kind = 'error' AND micro >= 100000000) AS ah, min(lo) FILTER (kind = 'signup') AS bl, max(hi) FILTER (kind = 'signup') AS bh, min(lo) FILTER (kind = 'purchase' AND micro < 10000000) AS cl, max(hi) FILTER (kind = 'purchase' AND micro < 10000000) AS ch FROM ev GROUP BY patient) x USING (patient)
+WHERE al IS NOT NULL AND bl IS NOT NULL AND cl IS NOT NULL) USING (patient)""")
+def hull_refuted(spark, d):
+    """Patients whose histories rule a pattern out by their steps' hulls alone."""
+    m = Model(spark, d, True)
+    return plans.hulls(SPREAD, m.events, m.closure, m.windows)
+
+
+BEFORE_FIRST = Pattern((Step("a", "signup", occurrence="first"), Step("b", "conversion")), (Relation("r", "after", "b", "a", 1, 5 * DAY),))
+
+
+@query(f""", {SCENARIOS} SELECT w.patient, CASE WHEN w_start IS NULL THEN 'excluded' WHEN s.sure THEN 'exact' WHEN s.may THEN 'possible' ELSE 'none' END AS status FROM uwin w LEFT JOIN (SELECT patient, bool_and(sure) AS sure, bool_or(may) AS may FROM (
+SELECT a.patient, a.event_id, coalesce(bool_or(a.lo - b.hi >= 1 AND a.hi - b.lo <= {5 * DAY}), false) AS sure, coalesce(bool_or(a.hi - b.lo >= 1 AND a.lo - b.hi <= {5 * DAY}), false) AS may FROM first_ a LEFT JOIN ev b ON b.patient = a.patient AND b.kind = 'purchase' GROUP BY ALL) GROUP BY patient) s USING (patient)""")
+def before_first(spark, d):
+    """A conversion within five days before the first signup: another signup, a conversion too, can't be it, since none comes before the first."""
+    m = Model(spark, d, True)
+    return plans.statuses(BEFORE_FIRST, m.events, m.closure, m.windows).select("patient", "status")
+
+
+@query(f""", r AS (SELECT * FROM ev WHERE kind = 'error'), near AS (SELECT e.patient, e.event_id, e.lo, e.hi, e.micro, o.lo AS o_lo, o.hi AS o_hi, o.event_id AS o_id, o.micro AS v FROM r e JOIN r o ON o.patient = e.patient AND o.event_id <> e.event_id AND o.lo <= e.hi - 1 AND o.hi >= e.lo - {2 * DAY}),
+tried AS (SELECT DISTINCT patient, event_id, t FROM (SELECT patient, event_id, lo, hi, unnest([lo, o_lo + 1, o_lo + 2, o_hi + 1, o_hi + 2, o_lo + {2 * DAY} + 1, o_hi + {2 * DAY} + 1]) AS t FROM near) WHERE t BETWEEN lo AND hi),
+seen AS (SELECT n.*, t, o_lo >= t - {2 * DAY} AND o_hi <= t - 1 AS forced, least(o_hi, t - 1) AS latest FROM near n JOIN tried USING (patient, event_id) WHERE o_lo <= t - 1 AND o_hi >= t - {2 * DAY}),
+last_ AS (SELECT s.event_id, s.t, s.micro >= 2 * greatest(s.v, 50000000) AS rises FROM seen s WHERE NOT EXISTS (SELECT 1 FROM seen f WHERE f.event_id = s.event_id AND f.t = s.t AND f.forced AND f.o_id <> s.o_id AND (f.o_lo, f.o_id) > (s.latest, s.o_id))),
+each_ AS (SELECT y.patient, y.event_id, y.t, coalesce((SELECT bool_or(rises) FROM last_ l WHERE l.event_id = y.event_id AND l.t = y.t), false) AS may, coalesce((SELECT bool_and(rises) FROM last_ l WHERE l.event_id = y.event_id AND l.t = y.t), false) AND EXISTS (SELECT 1 FROM seen f WHERE f.event_id = y.event_id AND f.t = y.t AND f.forced) AS must FROM tried y)
+SELECT patient, event_id, bool_and(must) AS certain FROM each_ GROUP BY patient, event_id HAVING bool_or(may)""")
+def rise_uncertain(spark, d):
+    """Errors of at least twice the last one's value in the two days before, where times are known within ranges."""
+    rows = model.events(spark, d, True).filter("kind = 'error'")
+    return rises.uncertain(rows, 1, 2 * DAY, (2, 1), 50_000_000).select("patient", "event_id", "certain")
+
+
+@query(f""", b AS (SELECT a.patient, a.event_id AS a_event_id, b.event_id AS b_event_id, c.event_id AS c_event_id, greatest(a.lo, w_start) AS al, least(a.hi, w_end) AS ah, greatest(b.lo, w_start) AS bl, least(b.hi, w_end) AS bh, greatest(c.lo, w_start) AS cl, least(c.hi, w_end) AS ch
+  FROM uwin w JOIN ev a ON a.patient = w.patient AND a.kind = 'view' JOIN ev b ON b.patient = w.patient AND b.kind = 'click' AND b.hi >= a.lo AND b.lo <= a.hi + {12 * HOUR} JOIN ev c ON c.patient = w.patient AND c.kind = 'purchase' AND c.hi >= b.lo AND c.lo <= b.hi + {12 * HOUR} WHERE w_start IS NOT NULL),
+t AS (SELECT *, greatest(al, bl - {12 * HOUR}, cl - {24 * HOUR}) AS a_at FROM b), u AS (SELECT *, greatest(bl, a_at, cl - {12 * HOUR}) AS b_at FROM t), v AS (SELECT *, greatest(cl, b_at) AS c_at FROM u)
+SELECT patient, a_event_id, b_event_id, c_event_id, a_at, b_at, c_at, true AS replayed FROM v WHERE a_at <= ah AND b_at <= bh AND c_at <= ch QUALIFY row_number() OVER (PARTITION BY patient ORDER BY a_event_id, b_event_id, c_event_id) = 1""")
+def binding_witness(spark, d):
+    """A binding of each possible patient with times at which it holds."""
+    m = Model(spark, d, True)
+    return plans.witnesses(CHAIN, m.events, m.closure, m.windows)
+
+
+FOUND = Pattern((Step("a", "error", at_least=250_000_000), Step("b", "purchase")), (Relation("r", "after", "a", "b", 0, 12 * HOUR),), scope="within")
+
+
+@query(f"""SELECT w.patient, CASE WHEN w_start IS NULL THEN 'excluded' WHEN s.sure THEN 'exact' WHEN s.may THEN 'possible' WHEN u.n > 0 THEN 'not_comparable' ELSE 'none' END AS status, NOT (coalesce(s.may, false) AND NOT coalesce(s.sure, false) AND coalesce(u.n, 0) > 0) AS complete, CASE WHEN u.n > 0 THEN 'a' END AS steps FROM uwin w LEFT JOIN (
+SELECT a.patient, bool_or(a.lo >= w_start AND a.hi <= w_end AND b.lo >= w_start AND b.hi <= w_end AND b.lo - a.hi >= 0 AND b.hi - a.lo <= {12 * HOUR}) AS sure, bool_or(greatest(a.lo, w_start) <= least(a.hi, w_end) AND greatest(b.lo, w_start, greatest(a.lo, w_start)) <= least(b.hi, w_end, least(a.hi, w_end) + {12 * HOUR})) AS may
+FROM uwin JOIN ev a ON a.patient = uwin.patient AND a.kind = 'error' AND a.micro >= 250000000 JOIN ev b ON b.patient = a.patient AND b.kind = 'purchase' WHERE w_start IS NOT NULL GROUP BY a.patient) s USING (patient)
+LEFT JOIN (SELECT patient, count(*) AS n FROM ev JOIN uwin USING (patient) WHERE kind = 'error' AND micro >= 150000000 AND micro < 250000000 AND w_start IS NOT NULL AND hi >= w_start AND lo <= w_end GROUP BY patient) u USING (patient)""")
+def undetermined_findings(spark, d):
+    """Errors below one value are negative, above another found, and between them undetermined: where such a one could have been the step's, no match isn't none."""
+    m = Model(spark, d, True)
+    finding = F.when(F.col("micro") >= 250_000_000, "found").when(F.col("micro") >= 150_000_000, "undetermined").otherwise("negative")
+    findings = m.events.filter("kind = 'error'").select("patient", "kind", F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"), finding.alias("finding"))
+    reach = rules.undetermined(FOUND, findings, m.closure, m.windows, ["a"])
+    return rules.with_undetermined(plans.statuses(FOUND, m.events, m.closure, m.windows), reach).select("patient", "status", "complete", "steps")
+
+
+REVIEW = [
+    reasoning.Rule("urgent", reasoning.Is("x", "flagged"), (reasoning.Is("x", "urgent"),)),
+    reasoning.Rule("followed", reasoning.Is("y", "flagged"), (reasoning.Is("x", "flagged"), reasoning.Has("x", "followed_by", "y"), reasoning.Is("y", "open"))),
+    reasoning.Rule("large", reasoning.Is("x", "review"), (reasoning.Is("x", "flagged"), reasoning.Is("x", "large"))),
+]
+
+
+@query(f""", o AS (SELECT o_custkey AS patient, o_orderkey AS id, epoch_us(o_orderdate) + {ta.EPOCH} AS t, o_orderpriority, o_orderstatus, o_totalprice, lead(o_orderkey) OVER w AS next, lead(epoch_us(o_orderdate)) OVER w - epoch_us(o_orderdate) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+flagged AS (WITH RECURSIVE f AS (SELECT id FROM o WHERE o_orderpriority = '1-URGENT' UNION SELECT y.id FROM f JOIN o x ON x.id = f.id JOIN o y ON y.id = x.next AND x.gap <= {200 * DAY} WHERE y.o_orderstatus <> 'F') SELECT id FROM f),
+review AS (SELECT * FROM o WHERE o_totalprice >= 200000 AND id IN (SELECT id FROM flagged))
+SELECT DISTINCT r.patient FROM review r JOIN o u ON u.patient = r.patient AND u.o_orderpriority = '1-URGENT' AND u.t - r.t BETWEEN 1 AND {120 * DAY}""")
+def rule_selection(spark, d):
+    """Customers with an order that rules put under review, along chains of open orders, and an urgent one within 120 days after it."""
+    from pyspark.sql import Window
+
+    orders = read(spark, d, "orders").withColumn("t", ta.micros_of(F.col("o_orderdate").cast("timestamp_ntz")))
+    classes = F.array_compact(F.array(F.when(F.col("o_orderpriority") == "1-URGENT", "urgent"), F.when(F.col("o_orderstatus") != "F", "open"), F.when(F.col("o_totalprice") >= 200000, "large")))
+    facts = orders.select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("entity"), F.explode(classes).alias("class"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    follows = orders.withColumns({"object": F.lead("o_orderkey").over(w), "gap": F.lead("t").over(w) - F.col("t")}).filter(F.col("gap") <= 200 * DAY)
+    found = reasoning.derived(facts, follows.select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("subject"), F.lit("followed_by").alias("property"), "object"), REVIEW, ["patient"])
+    at = orders.select(F.col("o_orderkey").alias("event_id"), F.col("t").alias("lo"), F.col("t").alias("hi"), F.col("t").alias("end_lo"), F.col("t").alias("end_hi"))
+    rows = found.filter(F.col("class").isin("review", "urgent")).select("patient", F.col("entity").alias("event_id"), F.col("class").alias("kind"), F.lit(0).cast("long").alias("micro")).join(at, "event_id")
+    kinds = spark.createDataFrame([(k, k) for k in ("review", "urgent")], "concept string, ancestor string")
+    pattern = Pattern((Step("a", "review"), Step("b", "urgent")), (Relation("r", "after", "a", "b", 1, 120 * DAY),))
+    return plans.exact_patients(pattern, rows, kinds, model.windows(rows))
+
+
 NAMED = f"""named AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN lo // {HOUR} END AS v FROM ev), agreed AS (SELECT patient, v, max(lo) AS v_lo, min(hi) AS v_hi, count(*) AS n FROM named WHERE v IS NOT NULL GROUP BY ALL HAVING max(lo) <= min(hi)),
 timed AS (SELECT n.patient, n.event_id, n.kind, CASE WHEN g.v IS NULL THEN -n.event_id ELSE g.v END AS name, coalesce(g.v_lo, n.lo) AS lo, coalesce(g.v_hi, n.hi) AS hi FROM named n LEFT JOIN agreed g ON g.patient = n.patient AND g.v = n.v),
 sharing AS (SELECT DISTINCT patient FROM agreed WHERE n > 1)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
 from trailmark.lineage import cut
-from trailmark.operators import counts, intervals, networks, records
+from trailmark.operators import claims, counts, intervals, networks, records
 from trailmark.plans import compile as plans
 from trailmark.plans.conditions import condition, duration
 from trailmark.plans.pattern import Pattern, Relation, Step
@@ -259,3 +259,32 @@ def mixed_bounded(spark, d):
     rows = model.events(spark, d, True).withColumn("clock", F.when(F.col("event_id") % 11 == 0, "local").otherwise("utc"))
     of = lambda kind: rows.filter(F.col("kind") == kind)
     return networks.baseline_followup_bounded(of("signup"), of("view"), of("click"), (HOUR, 6 * HOUR), (HOUR, 8 * HOUR))
+
+
+#: Claims that refer to a measurement, a patient's role and a result's role, with the result's value, unit and quality and the claim's time.
+MEASURED = [
+    ("?claim", "is", "claim"), ("?claim", "refers_to", "measurement"), ("?claim", "refers_to", "?role"), ("?claim", "refers_to", "?result_role"), ("?claim", "has_part", "?time"), ("?role", "is", "patient_role"), ("?role", "feature_of", "?person"),
+    ("?result_role", "is", "result_role"), ("?result_role", "feature_of", "?result"), ("?result", "is", "quantity_result"), ("?result", "has_value", "?value"), ("?result", "has_part", "?unit"), ("?result", "refers_to", "?quality"),
+    ("?unit", "is", "unit"), ("?quality", "is", "quantity"), ("?quality", "feature_of", "?person"), ("?time", "is", "time"), ("?time", "has_value", "?timestamp"),
+]
+
+
+@query("""SELECT 'claim' || l_orderkey || '-' || l_linenumber AS claim, 'person' || o_custkey AS person, 'role' || o_custkey AS role, 'result' || l_orderkey || '-' || l_linenumber AS result, 'quality' || o_custkey AS quality, v AS value, 'unit' || f AS unit, strftime(o_orderdate, '%Y-%m-%d') AS "timestamp", (v::DECIMAL(18,2) * CASE f WHEN 'A' THEN 1 WHEN 'N' THEN 1000 END)::DECIMAL(38,12) AS amount
+FROM (SELECT l_orderkey, l_linenumber, min(l_quantity)::INTEGER::VARCHAR AS v, min(l_returnflag) AS f, min(l_linestatus) AS s FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey WHERE s = 'F'""")
+def claim_bindings(spark, d):
+    """Measurement claims found in a table of statements about lines of orders, in nine columns, amounts in one unit."""
+    items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").cast("string").alias("v"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"))
+    rows = items.join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    name = lambda tag, of: F.concat(F.lit(tag), of.cast("string"))
+    claim, result, result_role, time = name("claim", line), name("result", line), name("result_role", line), name("time", F.col("o_orderkey"))
+    role, person, quality = (name(t, F.col("o_custkey")) for t in ("role", "person", "quality"))
+    unit = name("unit", F.col("f"))
+    said = [
+        (claim, "is", F.lit("claim")), (claim, "refers_to", F.lit("measurement")), (claim, "refers_to", role), (claim, "refers_to", result_role), (claim, "has_part", time), (role, "is", F.lit("patient_role")), (role, "feature_of", person), (result_role, "is", F.lit("result_role")), (result_role, "feature_of", result),
+        (result, "is", F.when(F.col("s") == "F", "quantity_result").otherwise("other_result")), (result, "has_value", F.col("v")), (result, "has_part", unit), (result, "refers_to", quality), (unit, "is", F.lit("unit")), (quality, "is", F.lit("quantity")), (quality, "feature_of", person), (time, "is", F.lit("time")), (time, "has_value", F.date_format("o_orderdate", "yyyy-MM-dd")),
+    ]
+    statements = rows.select(F.inline(F.array(*(F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object")) for s, p, o in said))))
+    factors = spark.createDataFrame([("unitA", "1"), ("unitN", "1000")], "unit string, factor string")
+    found = claims.as_rows(claims.bindings(statements, MEASURED), "value", "unit", factors, "claim", "person", "value", "unit", "timestamp")
+    return found.select("claim", "person", "role", "result", "quality", "value", "unit", "timestamp", "amount")
