@@ -37,7 +37,9 @@ SAMPLE, COMMON, MOST_COMMON = 8_000, 3, 1 << 16
 #: With how many members before it in a posting each is paired first.
 NEIGHBOURS = 2
 #: In how many rounds each component's most promising pair is compared before all that are left.
-ROUNDS = 2
+ROUNDS = 1
+#: Links that one task unites at most.
+MOST_LINKS = 1 << 18
 #: Words of a small bitmap.
 BRIEF = 4
 BRIEF_NAMES = [f"w{i}" for i in range(BRIEF)]
@@ -195,7 +197,7 @@ def linked(rows: DataFrame, thin: DataFrame, docs: DataFrame, text: str, shingle
     found = staged(found.filter("_1 IS NOT NULL OR _next IS NOT NULL").drop("_next"), "postings")  # shingles of one set only are gone
     sides = F.array(*(F.when(F.col(f"_{i}").isNotNull() & allowed(own, F.col(f"_{i}")), pair(own, F.col(f"_{i}"))) for i in range(1, NEIGHBOURS + 1)))
     met = found.select(F.inline(F.filter(sides, lambda p: p.isNotNull()))).filter("a <> b").distinct()
-    done, roots = settled(cut(hopeful(met, thin, least_percent)), None, None, check)
+    roots = settled(cut(hopeful(met, thin, least_percent)), None, check)
     # all other pairs of a posting that could still join two components
     flat = found.select("shingle", "size", "node", "place").join(small(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = cut(flat.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shingle"))
@@ -210,24 +212,54 @@ def linked(rows: DataFrame, thin: DataFrame, docs: DataFrame, text: str, shingle
     hope = may_be_similar(bits, l["size"] + r["size"], least_percent)
     far = flat.join(larger, (flat["shingle"] == larger["shingle"]) & (flat["step"] == larger["step"]) & ordered & (l["root"] != r["root"]) & allowed(l, r) & hope)
     # those of them that were tried before have failed, and fail again
-    return settled(cut(hopeful(far.select(F.inline(F.array(pair(l, r)))).distinct(), thin, least_percent)), done, roots, check)[1]
+    return settled(cut(hopeful(far.select(F.inline(F.array(pair(l, r)))).distinct(), thin, least_percent)), roots, check)
 
 
-def settled(left: DataFrame, done: DataFrame | None, roots: DataFrame | None, check) -> tuple[DataFrame, DataFrame]:
-    """The links done, with those of the pairs left (a, b, apart) that components still need, and the roots of all nodes linked: each component's most
-    promising pair is compared first, round by round, then what is still apart."""
+def united(links: DataFrame) -> DataFrame:
+    """node and root (the smallest node it is connected with) for each node of the links (a, b); few links are one task's work, more go by stars."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], ["node", "root"])
+
+    return links.coalesce(1).mapInArrow(run, "node bigint, root bigint") if links.count() <= MOST_LINKS else components(links)
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The roots of all nodes when links (a, b) are added to what the roots say: only the links' own roots are united."""
+    if roots is None:
+        return cut(united(links))
+    fresh = cut(united(cut(apart(links, roots).select(F.col("x").alias("a"), F.col("y").alias("b")))))
+    moved = fresh.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    every = roots.unionByName(fresh.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+    return cut(every.join(moved, "root", "left").select("node", F.coalesce("_root", "root").alias("root")))
+
+
+def settled(left: DataFrame, roots: DataFrame | None, check) -> DataFrame:
+    """The roots of all nodes linked once those of the pairs left (a, b, apart) are compared that components still need: each component's most promising pair
+    first, round by round, then what is still apart."""
     for k in range(ROUNDS + 1):
-        ends = left.select("*", F.col("a").alias("x"), F.col("b").alias("y")) if roots is None else apart(left, roots)
-        ends = cut(ends)
-        if done is not None and not ends.limit(1).count():
+        ends = cut(left.select("*", F.col("a").alias("x"), F.col("b").alias("y")) if roots is None else apart(left, roots))
+        if roots is not None and not ends.limit(1).count():
             break
         best = ends.select("a", "b", "apart", F.explode(F.array("x", "y")).alias("end")).groupBy("end").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p"))
         best = cut(best.select("p.a", "p.b").distinct() if k < ROUNDS else ends.select("a", "b"))
-        fresh = check(best)
-        done = cut(fresh if done is None else done.unionByName(fresh))
-        roots = cut(components(done))
+        roots = joined(roots, check(best))
         left = ends.drop("x", "y").join(best, ["a", "b"], "left_anti")
-    return done, roots
+    return roots
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
