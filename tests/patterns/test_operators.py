@@ -139,3 +139,42 @@ def test_counts_over_dense_histories(spark):
             allowed = max(sum(o[3] >= t - span and o[2] <= t for o in others) for t in range(lo, hi + 1))
             want[i] = (forced >= n - 1, allowed >= n - 1)
         assert {x.event_id: (x.certain, x.possible) for x in derived.counted_uncertain(df, n, span).collect()} == want
+
+
+def test_merkle_root_by_hand(spark):
+    import hashlib
+
+    from trailmark import queries
+
+    from tests.conftest import SF
+
+    hashed = lambda prefix, *parts: hashlib.sha256("".join((prefix, *parts)).encode()).hexdigest()
+    rows = model.events(spark, SF).groupBy("patient").agg(F.count("*").alias("n"), F.sum("micro").alias("total"))
+    leaves = [r.digest for r in rows.select("patient", scalars.digest(F.col("patient"), F.col("n"), F.col("total")).alias("digest")).orderBy("patient").collect()]
+    level, want, depth = [hashed("\x00", x) for x in leaves], [], 0
+    while True:
+        want += [(depth, k, h) for k, h in enumerate(level)]
+        if len(level) == 1:
+            break
+        level, depth = [hashed("\x01", *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)], depth + 1
+    assert sorted(tuple(r) for r in queries.QUERIES["merkle_root"](spark, SF).select("level", "node", "hash").collect()) == want
+
+
+def test_structural_classes_beside_left_out_records(spark):
+    pattern = Pattern((Step("a", "x"), Step("b", "y")))
+    left_out = spark.createDataFrame([(1, "x")], "patient long, concept string")
+    rules.refuse_structural(pattern, left_out, {"z"})
+    rules.refuse_structural(pattern, left_out.limit(0), {"y"})
+    with pytest.raises(ValueError, match="records of y"):
+        rules.refuse_structural(pattern, left_out, {"y", "z"})
+
+
+def test_undetermined_findings(spark):
+    windows = spark.createDataFrame([(1, 10, 20), (2, 10, 20), (3, None, None), (4, 10, 20)], "patient long, w_start long, w_end long")
+    findings = spark.createDataFrame([(1, "x", 5, 12, "undetermined"), (1, "y", 30, 31, "undetermined"), (2, "x", 1, 2, "undetermined"), (3, "x", 12, 12, "undetermined"), (4, "x", 12, 12, "found"), (4, "z", 12, 12, "undetermined")], "patient long, kind string, x_lo long, x_hi long, finding string")
+    closure = spark.createDataFrame([("x", "x"), ("y", "y"), ("z", "z")], "concept string, ancestor string")
+    pattern = Pattern((Step("a", "x"), Step("b", "y")), scope="within")
+    reach = rules.undetermined(pattern, findings, closure, windows, ["a", "b"])
+    assert sorted(tuple(r) for r in reach.collect()) == [(1, "a", 1, 1), (1, "b", 1, 0), (2, "a", 1, 0)]
+    statuses = spark.createDataFrame([(p, s) for p, s in ((1, "none"), (2, "none"), (3, "excluded"), (4, "relaxed"))], "patient long, status string")
+    assert {r.patient: (r.status, r.steps) for r in rules.with_undetermined(statuses, reach).collect()} == {1: ("not_comparable", "a"), 2: ("none", None), 3: ("excluded", None), 4: ("relaxed", None)}

@@ -40,6 +40,13 @@ def admits_start(scope: str) -> Column:
     return {"any": F.lit(True), "from_start": F.col("x_hi") >= F.col("w_start"), "within": (F.col("x_hi") >= F.col("w_start")) & (F.col("x_lo") <= F.col("w_end")), "after": F.col("x_hi") >= F.col("w_end")}[scope]
 
 
+def refuse_structural(pattern: Pattern, excluded: DataFrame, structural: set[str]) -> None:
+    """Records of structural classes can't be seen to be left out: a pattern that names one can't be answered beside left-out records, and is refused."""
+    named = sorted(set().union(*pattern.concepts().values()) & structural)
+    if named and excluded.limit(1).count():
+        raise ValueError(f"records of {', '.join(named)} could have been left out unseen")
+
+
 def undetermined(pattern: Pattern, findings: DataFrame, closure: DataFrame, windows: DataFrame, steps: list[str]) -> DataFrame:
     """patient, step, reach and admitted: how many undetermined findings (patient, kind, x_lo, x_hi, finding) are of each of the steps' concepts, and how many of
     them start where the scope admits it. Such a finding acts as a record that the ingest left out of that step; windows of null are out of the question."""

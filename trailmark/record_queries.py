@@ -12,6 +12,7 @@ from trailmark.plans import compile as plans
 from trailmark.plans.conditions import condition, duration
 from trailmark.plans.pattern import Pattern, Relation, Step
 from trailmark.queries import BASE, BOUNDED, BOUNDED_PAIRS, DAY, HOUR, RELAXED, SQL, STATUS_SQL, Model, _bounded, model, query, read, two_pass_count
+from trailmark.sources import convert
 
 SPAN = duration("24", "hour")
 #: The islands of times at which three errors can lie in the span before, and the errors cut to them, in SQL.
@@ -288,3 +289,29 @@ def claim_bindings(spark, d):
     factors = spark.createDataFrame([("unitA", "1"), ("unitN", "1000")], "unit string, factor string")
     found = claims.as_rows(claims.bindings(statements, MEASURED), "value", "unit", factors, "claim", "person", "value", "unit", "timestamp")
     return found.select("claim", "person", "role", "result", "quality", "value", "unit", "timestamp", "amount")
+
+
+RECORDS = f"""rec AS (SELECT patient, event_id AS record_id, CASE WHEN event_id % 2 = 0 THEN 'ward' ELSE 'clinic' END AS source, CASE kind WHEN 'signup' THEN 'order' WHEN 'error' THEN 'stop' WHEN 'view' THEN 'letter' ELSE 'observation' END AS kind, CASE WHEN event_id % 17 <> 0 THEN 'c' || (event_id % 4) END AS code, lo, hi, CASE WHEN event_id % 13 = 0 THEN 'cancelled' ELSE 'done' END AS status,
+  CASE WHEN event_id % 11 = 0 THEN lag(event_id) OVER (PARTITION BY patient, event_id % 2 ORDER BY lo, event_id) END AS supersedes FROM ev),
+kept AS (SELECT r.*, CASE code WHEN 'c0' THEN 'heart' WHEN 'c1' THEN 'lung' WHEN 'c2' THEN 'heart' END AS concept FROM rec r WHERE status = 'done' AND NOT EXISTS (SELECT 1 FROM rec l WHERE l.patient = r.patient AND l.source = r.source AND l.supersedes = r.record_id)),
+moves AS (SELECT *, sum(opens) OVER w AS s FROM (SELECT *, CASE kind WHEN 'order' THEN 1 ELSE -1 END AS opens, CASE kind WHEN 'order' THEN lo ELSE hi END AS t FROM kept WHERE kind IN ('order', 'stop') AND concept IS NOT NULL) WINDOW w AS (PARTITION BY patient, concept ORDER BY t, opens DESC, lo, hi, record_id)),
+leveled AS (SELECT *, s - least(min(s) OVER (PARTITION BY patient, concept ORDER BY t, opens DESC, lo, hi, record_id), 0) + CASE WHEN opens < 0 THEN 1 ELSE 0 END AS level FROM moves),
+closed AS (SELECT *, lead(CASE WHEN opens < 0 THEN lo END) OVER l AS s_lo, lead(CASE WHEN opens < 0 THEN hi END) OVER l AS s_hi FROM leveled WINDOW l AS (PARTITION BY patient, concept, level ORDER BY t, opens DESC, lo, hi, record_id))"""
+
+
+@query(f""", {RECORDS} SELECT patient, record_id::VARCHAR AS event_id, kind, concept, source, lo, hi, lo AS end_lo, hi AS end_hi FROM kept WHERE kind = 'observation' AND concept IS NOT NULL
+UNION ALL SELECT patient, record_id || '#' || i, 'mention', m, source, f, hi, f, hi FROM (SELECT k.*, f, unnest([0, 1]) AS i, unnest(['heart', CASE WHEN record_id % 3 = 0 THEN 'lung' END]) AS m FROM kept k JOIN (SELECT patient, min(lo) AS f FROM rec GROUP BY 1) USING (patient) WHERE kind = 'letter') WHERE m IS NOT NULL
+UNION ALL SELECT patient, record_id::VARCHAR, 'exposure', concept, source, lo, hi, CASE WHEN s_hi IS NULL THEN lo ELSE greatest(s_lo, lo) END, CASE WHEN s_hi IS NULL THEN {ta.FOREVER} ELSE greatest(s_hi, s_lo, lo) END FROM closed WHERE opens > 0""")
+def converted_records(spark, d):
+    """Events made from versioned, coded records: observations, mentions in letters, and exposures between orders and stops."""
+    rows = model.events(spark, d, True)
+    kind = F.when(F.col("kind") == "signup", "order").when(F.col("kind") == "error", "stop").when(F.col("kind") == "view", "letter").otherwise("observation")
+    before = Window.partitionBy("patient", F.col("event_id") % 2).orderBy("lo", "event_id")
+    mention = lambda concept, assertion: F.struct(F.lit(concept).alias("concept"), assertion.alias("assertion"), F.lit("patient").alias("experiencer"))
+    said = F.when(F.col("kind") == "view", F.array(mention("heart", F.lit("present")), mention("lung", F.when(F.col("event_id") % 3 == 0, "present").otherwise("absent"))))
+    records_ = rows.select(
+        "patient", F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 2 == 0, "ward").otherwise("clinic").alias("source"), kind.alias("kind"), F.lit("local").alias("system"), F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string"))).alias("code"), "lo", "hi",
+        F.when(F.col("event_id") % 13 == 0, "cancelled").otherwise("done").alias("status"), F.when(F.col("event_id") % 11 == 0, F.lag("event_id").over(before)).alias("supersedes"), said.alias("mentions"),
+    )
+    codes = spark.createDataFrame([("local", "c0", "heart"), ("local", "c1", "lung"), ("local", "c2", "heart")], "system string, code string, concept string")
+    return convert.converted(records_, codes, ["done"], ["letter"], F.col("kind") == "order", F.col("kind") == "stop")
