@@ -79,3 +79,13 @@ def test_ranking_and_scalars(spark):
     assert [str(v) for v in row] == ["2021-02-28", "2022-02-27", "True", "False"]
     zoned = spark.sql("SELECT '2020-01-01T00:00:01.5+02:00' AS t, '2019-12-31T22:00:00Z' AS o").select(model.offset_micros(F.col("t"), F.col("o"))).first()[0]
     assert zoned == 1_500_000
+
+
+def test_metrics_of_measures(spark):
+    from trailmark.operators import similarity
+
+    rank = lambda ids: spark.createDataFrame([(i, float(k)) for k, i in enumerate(ids)] + [(99, None)], "patient long, distance double")
+    relevant = spark.createDataFrame([(1,), (2,), (3,), (99,)], "patient long")
+    found = {r.measure: tuple(r)[1:] for r in similarity.measure_metrics({"good": rank([1, 2, 3, 4, 5, 6]), "late": rank([4, 5, 6, 7, 1, 8, 2, 9, 10, 11, 12, 3]), "none": rank([7, 8])}, relevant).collect()}
+    assert found["good"] == (1.0, 0.6, 1.0, 1.0) and found["none"] == (0.0, 0.0, 0.0, 0.0)
+    assert found["late"] == (round((1 / 5 + 2 / 7 + 3 / 12) / 3, 9), 0.2, round(2 / 3, 9), 0.2)

@@ -91,3 +91,22 @@ def retrieval(ranks: DataFrame, k: int) -> DataFrame:
         F.round(F.sum(F.when(at, F.col("relevant"))) / k, 9).alias("precision"), F.round(F.sum(F.when(at, F.col("relevant"))) / F.sum("relevant"), 9).alias("recall"),
         F.round(F.coalesce(1 / F.min(F.when(F.col("relevant") == 1, F.col("rank"))), F.lit(0.0)), 9).alias("reciprocal_rank"), F.round(F.coalesce(F.sum(F.when(F.col("relevant") == 1, F.col("hits") / F.col("rank"))) / F.sum("relevant"), F.lit(0.0)), 9).alias("average_precision"),
     )
+
+
+def measure_metrics(distances: dict[str, DataFrame], relevant: DataFrame, at_precision: int = 5, at_recall: int = 10) -> DataFrame:
+    """measure, average_precision, precision, recall and reciprocal_rank of each ranking (key and distance) against the relevant keys: how soon each measure
+    finds them. Ranks, and the place of each hit among the hits, come from counts of ranges; no task sees a whole ranking."""
+    from trailmark.operators.records import ranked_missing_last
+
+    out = None
+    for name, rows in sorted(distances.items()):
+        ranks = ranked_missing_last(rows.filter("distance IS NOT NULL").select("patient", "distance"), "distance", "patient")
+        hits = ranks.join(relevant.select("patient").distinct(), "patient", "left_semi").select("patient", F.col("rank").alias("at"))
+        hits = ranked_missing_last(hits, "at", "patient")
+        n = F.count("*")
+        share = lambda x, of: F.when(n > 0, F.round(x / of, 9)).otherwise(0.0)  # noqa: B023, E731
+        own = hits.agg(
+            share(F.sum(F.col("rank") / F.col("at")), n).alias("average_precision"), F.round(F.count_if(F.col("at") <= at_precision) / at_precision, 9).alias("precision"), share(F.count_if(F.col("at") <= at_recall), n).alias("recall"), F.coalesce(F.round(1 / F.min("at"), 9), F.lit(0.0)).alias("reciprocal_rank")
+        ).select(F.lit(name).alias("measure"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out

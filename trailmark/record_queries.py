@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
 from trailmark.lineage import cut
-from trailmark.operators import claims, counts, intervals, networks, records
+from trailmark.operators import claims, counts, intervals, networks, records, similarity
 from trailmark.plans import compile as plans
 from trailmark.plans.conditions import condition, duration
 from trailmark.plans.pattern import Pattern, Relation, Step
-from trailmark.queries import BASE, BOUNDED, BOUNDED_PAIRS, DAY, HOUR, RELAXED, SQL, STATUS_SQL, Model, _bounded, model, query, read, two_pass_count
+from trailmark.queries import BASE, BOUNDED, BOUNDED_PAIRS, DAY, HOUR, RELAXED, SQL, STATUS_SQL, Model, _bounded, _concepts, model, query, read, two_pass_count
 from trailmark.sources import convert
 
 SPAN = duration("24", "hour")
@@ -315,3 +315,20 @@ def converted_records(spark, d):
     )
     codes = spark.createDataFrame([("local", "c0", "heart"), ("local", "c1", "lung"), ("local", "c2", "heart")], "system string, code string, concept string")
     return convert.converted(records_, codes, ["done"], ["letter"], F.col("kind") == "order", F.col("kind") == "stop")
+
+
+MEASURES = " UNION ALL ".join(f"SELECT '{m}' AS measure, patient, {d} AS distance FROM ({SQL[q]})" for m, q, d in (("jaccard", "jaccard", "round(1 - \"both\"::DOUBLE / either, 9)"), ("resnik", "resnik_bma", "distance"), ("simgic", "simgic", "distance")))
+
+
+@query(f""", dist AS ({MEASURES}), r AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY distance, patient) AS rank FROM dist), me AS (SELECT c_mktsegment FROM customer WHERE c_custkey = (SELECT min(o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)),
+h AS (SELECT measure, rank, row_number() OVER (PARTITION BY measure ORDER BY rank) AS hit FROM r JOIN customer ON c_custkey = patient WHERE c_mktsegment = (SELECT c_mktsegment FROM me))
+SELECT measure, round(sum(hit / rank) / count(*), 9) AS average_precision, round(count(*) FILTER (rank <= 5) / 5, 9) AS precision, round(count(*) FILTER (rank <= 10) / count(*), 9) AS recall, round(1 / min(rank), 9) AS reciprocal_rank FROM h GROUP BY measure""")
+def measure_metrics(spark, d):
+    """How well each concept measure finds the customers of a customer's own market segment."""
+    kinds, catalogue, concepts, reference, n = _concepts(spark, d)
+    ic = cut(similarity.information_content(concepts, n))
+    people = read(spark, d, "customer")
+    segment = people.filter(F.col("c_custkey") == reference).select("c_mktsegment").first()[0]
+    relevant = people.filter((F.col("c_mktsegment") == segment) & (F.col("c_custkey") != reference)).select(F.col("c_custkey").alias("patient"))
+    near = similarity.jaccard(concepts, reference).select("patient", F.round(1 - F.col("both").cast("double") / F.col("either"), 9).alias("distance"))
+    return similarity.measure_metrics({"jaccard": near, "simgic": similarity.simgic(concepts, ic, reference), "resnik": similarity.resnik(kinds, catalogue, ic, reference)}, relevant)
