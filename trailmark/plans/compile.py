@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import timealg as ta
+from trailmark.lineage import cut
 from trailmark.operators import rises
 from trailmark.operators.counts import narrowed
 from trailmark.operators.derived import counted_uncertain, nth_envelope, risen, scenarios
@@ -307,7 +308,7 @@ def exact_by_separator(pattern: Pattern, step: str, views: dict[str, DataFrame])
     for other, by in touching.items():
         for r in by:  # first what of it has no partner at all goes
             own = supported(own, views[other], r, step, other)
-    own = own.withColumn("_separator", F.col(f"{step}_event_id"))
+    own = cut(own.withColumn("_separator", F.col(f"{step}_event_id")))  # every step related to it reads it
     left = {}
     for other, by in touching.items():
         if by:
