@@ -7,9 +7,9 @@ way, each from those one word longer. Frequent edges are compacted along unary n
 weight, and no other flow) by pointer doubling; a path is a passage that always occurs whole.
 
 What is rare is left out before it is shuffled, and nothing is lost by it: all parts of a phrase of LEAST occurrences have as many, so a
-window ends where a rare word or a rare pair of words begins, as at a piece's end. Words are known by 62-bit hashes
-of language and word, those that collide by numbers of their own; pairs by a hash that may count several together. The words and
-pairs that occur LEAST times are broadcast where they are few, elsewhere windows aren't cut by them, with the same results. Texts
+window ends where a rare word, pair or triple of words begins, as at a piece's end. Words are known by 62-bit hashes
+of language and word, those that collide by numbers of their own; pairs and triples by hashes that may count several together. What
+occurs LEAST times is broadcast where it is little, elsewhere windows aren't cut by it, with the same results. Texts
 become rows of ROW word numbers, each followed by the next few, so that a long text is many rows.
 
 Cases: null text is empty, null language `und`; pieces without words and texts without pieces have no phrases but may leave words; repeated
@@ -36,6 +36,8 @@ LONGEST, LEAST, MOST_RANK = 5, 100, 2000
 ROW, ROWS, MOST_HELD = 4096, 256, 1 << 18
 #: Bytes of numbers that are broadcast at most.
 MOST_BROADCAST = 32 << 20
+#: Lengths of phrases, from two words on, that are counted before windows are made.
+PRUNED = 2
 SEED = 42
 #: A-Z lower-cased, what ends a piece a line feed, a tab a space.
 PIECE_BYTES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
@@ -182,33 +184,47 @@ def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def frequent_pairs(found: DataFrame, least: int) -> DataFrame:
-    """Hashes of pairs of neighbouring words that occur often enough, if no other pair shares their hash."""
+def runs(ids: np.ndarray, known: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where phrases of 2, 3, ... words begin that may be frequent, all their parts being so, and hashes of the longest of them. known: for each length what
+    is frequent, or None where all are taken; of the next length, those whose parts are frequent."""
+    joined = lambda a: np.append(a[:-1] & a[1:], False)
+    at, h, out = joined(ids != 0), ids, []
+    for k in range(len(known) + 1):
+        where = np.flatnonzero(at)
+        longer = np.zeros(len(ids), np.int64)
+        longer[where] = pair_of(h[where], ids[where + k + 1])
+        if k < len(known) and known[k] is not None:
+            at = np.zeros(len(ids), bool)
+            at[where] = among(known[k].value, longer[where])
+        out.append(at)
+        h, at = longer, joined(at)
+    return out, h
+
+
+def frequent_phrases(found: DataFrame, known: list, least: int) -> DataFrame:
+    """Hashes of phrases one word longer than the known ones that occur often enough, if no other shares their hash."""
 
     def run(batches):
         for ids, own in passes(batches):
-            at = np.flatnonzero(own[:-1] & (ids[1:] != 0))
-            pairs, n = np.unique(pair_of(ids[at], ids[at + 1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
+            at, h = runs(ids, known)
+            hashes, n = np.unique(h[at[-1] & own], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int64))], ["phrase", "n"])
 
-    return found.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("pair")
+    return found.mapInArrow(run, "phrase bigint, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("phrase")
 
 
-def windows(found: DataFrame, pairs) -> DataFrame:
+def windows(found: DataFrame, known: list) -> DataFrame:
     """w1 to w5 and n: how often each window of at least two words occurs; zeros fill one that a piece's end or what is rare cuts short."""
 
     def run(batches):
         for ids, own in passes(batches):
-            nearby = np.zeros(len(ids), bool)
-            nearby[:-1] = (ids[:-1] != 0) & (ids[1:] != 0)
-            if pairs is not None:
-                at = np.flatnonzero(nearby)
-                nearby[at] = among(pairs.value, pair_of(ids[at], ids[at + 1]))
-            starts = np.flatnonzero(own & nearby)
+            at = runs(ids, known)[0][: len(known)]
+            starts = np.flatnonzero(own & at[0])
             table, open_ = np.zeros((LONGEST, len(starts)), np.int64), np.ones(len(starts), bool)
             table[0] = ids[starts]
             for k in range(1, LONGEST):
-                open_ &= nearby[starts + k - 1]
+                for n, may in enumerate(at[:k]):  # the phrases of n + 2 words that end with this one
+                    open_ &= may[starts + k - 1 - n]
                 table[k, open_] = ids[starts[open_] + k]
             order = np.argsort(pair_of(pair_of(pair_of(table[0], table[1]), pair_of(table[2], table[3])), table[4]), kind="stable")
             table = table[:, order]
@@ -271,7 +287,10 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     words, odd = told_apart(word_counts(rows))
     common = words.filter(F.col("n") >= least)
     found = streams(rows, odd, sent(common.select("id")))
-    found = windows(found, sent(frequent_pairs(found, least)))
+    known = []
+    for _ in range(PRUNED):
+        known.append(sent(frequent_phrases(found, known, least)))
+    found = windows(found, known)
     met = nodes(found, least)
     lists = [found.filter(F.col(f"w{LONGEST}") != 0).select(*IDS, "n"), met.select(*IDS[:-1], "n")]
     for k in range(LONGEST - 2, 1, -1):
