@@ -122,3 +122,12 @@ def test_edges(spark):
 def test_words():
     found, counts = dc.words(pa.array(["Ab,cd", "", "é9 ", "x"], pa.large_string()))
     assert found.to_pylist() == [b"ab", b"cd", "é9".encode(), b"x"] and counts.tolist() == [2, 0, 1, 1]
+
+
+def test_blocks_over_rows_in_any_order(spark):
+    """Several blocks see the same rows, also where the input has no fixed order."""
+    texts = [prose(i, 60) for i in range(30)]
+    df = docs(spark, texts).repartition(5)
+    items = spark.createDataFrame([(i, " ".join(texts[i].split()[7:40])) for i in range(0, 30, 3)], "item_id long, text string")
+    one = sorted(map(str, dc.search(df, items).collect()))
+    assert one == sorted(map(str, dc.search(df, items, block_bytes=300).collect())) and sum("n_hit=0" in x for x in one) < 30

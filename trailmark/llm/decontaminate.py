@@ -9,7 +9,7 @@ the longest verbatim match from there, of whatever length, and where it stands;
 with any document, also one shorter than a window, and where it is.
 
 The test texts are a stated query set: they come in blocks of about BLOCK_BYTES, equal texts and all, and each block is searched against all
-documents. Only one block at a time is sent to executors.
+documents. Only one block at a time is in the driver and on executors: its result is written before the next one is read.
 
 A window is `size` consecutive words of an item; an item of fewer, but not none, is one window. Words are
 `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased.
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import column, cut, flat, slices, text_column
+from trailmark.llm.common import column, cut, flat, slices, staged, text_column
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 #: Lower-cased bytes, zero for those that no word has.
@@ -277,16 +277,27 @@ def _merge(rows: DataFrame, blocks: int) -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_bytes, dealt by row, so that equal items don't meet in one."""
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about block_bytes the items make, and these, read one by one; items are dealt by row, so that equal ones don't meet in one."""
     tests = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     weight = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-weight // block_bytes))
     if count > 1:
         tests = cut(tests.withColumn("n", F.monotonically_increasing_id()))
-    for k in range(count):
-        block = tests if count == 1 else tests.filter(F.pmod(F.xxhash64("n"), F.lit(count)) == k).select("item", "text")
-        yield [tuple(r) for r in block.collect()]  # about block_bytes
+    parts = (tests if count == 1 else tests.filter(F.pmod(F.xxhash64("n"), F.lit(count)) == k).select("item", "text") for k in range(count))
+    return count, ([tuple(r) for r in block.collect()] for block in parts)  # about block_bytes each
+
+
+def of_blocks(spark, count: int, blocks: Iterator[list[tuple]], searched) -> DataFrame:
+    """The union of searched(broadcast block); of several, each is written before the next is sent."""
+    if count == 1:
+        return searched(spark.sparkContext.broadcast(next(blocks)))
+    found = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        found.append(staged(searched(sent), "matches"))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -294,19 +305,17 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str =
     match that holds a window), items (ids of the items that occur, as strings, sorted), the hit spans' starts and ends, in words, and
     matches: the maximal verbatim matches that hold a window, each at one of its places in the test texts (item, item_start, start, length)."""
     spark = docs.sparkSession
-    blocks = [*blocks_of(benchmark, block_bytes)]
+    count, blocks = blocks_of(benchmark, block_bytes)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    if len(blocks) > 1:
-        rows = rows.withColumn("row", F.monotonically_increasing_id())
+    if count > 1:  # numbered once: every block must see the same numbers
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", " + RESULT
     names = ["n_words", "n_hit", "longest", "items", "starts", "ends", "matches"]
     match = pa.struct([("item", pa.string()), *((c, pa.int64()) for c in ("item_start", "start", "length"))])
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(match))
 
-    def searched(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
+    def searched(sent) -> DataFrame:
         def run(batches):
             own = Tests(sent.value, size)
             for batch in batches:
@@ -317,8 +326,7 @@ def search(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str =
 
         return rows.mapInArrow(run, schema)
 
-    out = reduce(DataFrame.unionByName, map(searched, blocks))
-    return _merge(out, len(blocks)).select(F.col("key").alias(key), *names)
+    return _merge(of_blocks(spark, count, blocks, searched), count).select(F.col("key").alias(key), *names)
 
 
 def longest_of_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -328,9 +336,7 @@ def longest_of_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def searched(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
+    def searched(sent) -> DataFrame:
         def run(batches):
             own, best = Tests(sent.value, 1), {}
             for batch in batches:
@@ -352,7 +358,7 @@ def longest_of_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         found = rows.mapInArrow(run, f"item string, number bigint, length bigint, item_start bigint, key {kind}, start bigint")
         return found.groupBy("item", "number").agg(F.max_by(F.struct("length", "item_start", "key", "start"), F.struct("length", -F.col("item_start"))).alias("best")).select("item", "best.*")
 
-    return reduce(DataFrame.unionByName, map(searched, blocks_of(benchmark, block_bytes))).withColumnRenamed("key", key)
+    return of_blocks(spark, *blocks_of(benchmark, block_bytes), searched).withColumnRenamed("key", key)
 
 
 def digested(found: DataFrame, key: str = "doc_id") -> DataFrame:
