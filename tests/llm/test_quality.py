@@ -78,3 +78,58 @@ def test_order_of_rules(spark):
     a, b = (quality.Condition("words", True, 3),), (quality.Condition("words", True, 1),)
     rows = quality.measured(docs(spark, ["one two three", "one", ""])).select("row.doc_id", quality.verdict([a, b]).alias("v"))
     assert {r.doc_id: r.v for r in rows.orderBy(F.col("doc_id")).collect()} == {0: 1, 1: 2, 2: 0}
+
+
+def brute_grown(rows, marks):
+    """Sequential covering by hand: rows are (quality, part, values by feature)."""
+    from math import log2
+
+    holds = lambda c, v: v[c.feature] >= c.threshold if c.at_least else v[c.feature] < c.threshold
+    candidates = [quality.Condition(f, up, t) for f, own in marks.items() for t in own for up in (True, False)]
+    rules = []
+    while len(rules) < quality.MOST_RULES:
+        left = [r for r in rows if not any(all(holds(c, r[2]) for c in rule) for rule in rules)]
+        rule, seen = [], [r for r in left if r[1] == "grow"]
+        while len(rule) < quality.MOST_CONDITIONS:
+            bad, good = sum(r[0] == 0 for r in seen), sum(r[0] == 1 for r in seen)
+            if not bad or not good:
+                break
+            best = None
+            for c in candidates:
+                b, g = sum(r[0] == 0 and holds(c, r[2]) for r in seen), sum(r[0] == 1 and holds(c, r[2]) for r in seen)
+                gain = b * (log2(b / (b + g)) - log2(bad / (bad + good))) if b >= quality.LEAST_COVERED else 0.0
+                if best is None or (gain, b, str(c)) > best[:3]:
+                    best = (gain, b, str(c), c)
+            if best is None or best[0] <= 0:
+                break
+            rule.append(best[3])
+            seen = [r for r in seen if holds(best[3], r[2])]
+        if not rule:
+            break
+        scored = []
+        for k in range(1, len(rule) + 1):
+            met = [r[0] for r in left if r[1] == "prune" and all(holds(c, r[2]) for c in rule[:k])]
+            scored.append((met.count(0), met.count(1)))
+        k = max(range(len(rule)), key=lambda i: ((scored[i][0] - scored[i][1]) / sum(scored[i]) if sum(scored[i]) else -1.0, scored[i][0], -i))
+        b, g = scored[k]
+        if not b or b / (b + g) < quality.LEAST_PRECISION:
+            break
+        rules.append(tuple(rule[: k + 1]))
+    return rules
+
+
+def test_rules_grow_as_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEATURES", {f: quality.FEATURES[f] for f in ("words", "symbols")})
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = []
+        for _ in range(400):
+            values = {"words": r.randint(1, 30), "symbols": r.randint(0, 20)}
+            bad = (values["words"] < 8 and values["symbols"] >= 12) or values["words"] >= 27
+            rows.append((int(not bad) if r.random() > 0.02 else int(bad), r.choice(["grow", "grow", "prune"]), values))
+        marks = {"words": [4, 8, 9, 15, 27], "symbols": [3, 12, 13]}
+        place = lambda f: F.size(F.filter(F.lit(marks[f]).cast("array<bigint>"), lambda t: t <= F.col(f)))
+        df = spark.createDataFrame([(q, p, v["words"], v["symbols"]) for q, p, v in rows], "quality int, part string, words long, symbols long")
+        df = df.withColumn("bins", F.array(*(F.struct(F.lit(f).alias("f"), place(f).alias("bin")) for f in marks)))
+        found = quality.grown(df, marks)
+        assert found == brute_grown(rows, marks) and found

@@ -63,3 +63,26 @@ def test_tiny_documents_in_small_batches(spark):
 
 def test_empty(spark):
     assert tokens.read_back(tokens.write(docs(spark, []), PATH, SEPARATOR), SEPARATOR).count() == 0
+
+
+def test_columns_by_hand(spark):
+    """Every column of what is read back, from the shard files' bytes and the documents that were written."""
+    import hashlib
+    from pathlib import Path
+
+    df = docs(spark, [prose(i, 5 + 13 * i) for i in range(20)] + ["", "<null>"]).repartition(3)
+    out = tokens.write(df, PATH, SEPARATOR, length=32, least_shards=3)
+    back, stride = tokens.read_back(out, SEPARATOR).collect(), 32 * np.dtype(out.code).itemsize
+    files = [Path(p).read_bytes() for p in sorted(Path(out.folder.removeprefix("file://")).glob("shard-*.bin"))]
+    assert sum(map(len, files)) == stride * len(back)
+    per = max(r.slot for r in back if r.shard == 0) + 1
+    coder = bpe.ranks(open(PATH, "rb").read())
+    ids = {r.doc_id: coder.encode([r.text or ""])[0].tolist() + [SEPARATOR] for r in df.collect()}
+    stream = {r.slot: r.docs for r in out.sequences.collect()}
+    for r in back:
+        record = files[r.shard][r.byte_offset : r.byte_offset + stride]
+        assert (r.shard, r.byte_offset) == (r.slot // per, stride * (r.slot % per)) and r.ids_sha256 == hashlib.sha256(record).hexdigest()
+        values = np.frombuffer(record, out.code).tolist()
+        assert r.n_tokens == sum(v != SEPARATOR for v in values) and r.doc_ids == list(dict.fromkeys(d.doc for d in stream[r.slot]))
+        assert all(values[d.start : d.start + d.n] == ids[d.doc][d.doc_start : d.doc_start + d.n] for d in stream[r.slot])
+    assert sorted(r.slot for r in back) == list(range(len(back)))
