@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
 
 
 def test_small_chunks_no_broadcasts_and_few_ranks(spark, monkeypatch):
-    for name, value in (("CHUNK", 64), ("ROW", 7), ("ROWS", 3), ("MOST_HELD", 10), ("MOST_BROADCAST", 0)):
+    for name, value in (("CHUNK", 64), ("ROW", 7), ("ROWS", 3), ("MOST_HELD", 10), ("MOST_ROWS", 30), ("MOST_BROADCAST", 0)):
         monkeypatch.setattr(phrases, name, value)
     same(fixture(spark), most_rank=7)
 

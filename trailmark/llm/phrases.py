@@ -34,6 +34,8 @@ from trailmark.llm.similar import small
 LONGEST, LEAST, MOST_RANK = 5, 100, 2000
 #: Word numbers in a row of a stream, rows that one numpy pass works on, words that a task remembers or counts before it passes them on.
 ROW, ROWS, MOST_HELD = 4096, 256, 1 << 18
+#: Counted phrases that a task adds up before it passes them on.
+MOST_ROWS = 1 << 20
 #: Bytes of numbers that are broadcast at most.
 MOST_BROADCAST = 32 << 20
 #: Lengths of phrases, from two words on, that are counted before windows are made.
@@ -177,6 +179,30 @@ def passes(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids, own
 
 
+def combined(table: np.ndarray) -> np.ndarray:
+    """Columns of numbers with their count in the last row, equal ones added up."""
+    order = np.lexsort(table[:-1])
+    table = table[:, order]
+    first = np.flatnonzero(np.append(True, (table[:-1, 1:] != table[:-1, :-1]).any(axis=0))[: table.shape[1]])
+    return np.append(table[:-1, first], [np.add.reduceat(table[-1], first)] if len(first) else table[-1:], axis=0)
+
+
+def held(tables: Iterator[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The tables as batches, their counts added up in the task over as many as MOST_ROWS columns before they are passed on."""
+    parts, size = [], 0
+    for table in tables:
+        parts.append(table)
+        size += table.shape[1]
+        if size > MOST_ROWS:
+            parts = [combined(np.concatenate(parts, axis=1))]
+            size = parts[0].shape[1]
+            if 2 * size > MOST_ROWS:  # little of it repeats
+                yield pa.RecordBatch.from_arrays([pa.array(row) for row in parts[0]], names)
+                parts, size = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(row) for row in combined(np.concatenate(parts, axis=1))], names)
+
+
 def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -204,11 +230,13 @@ def runs(ids: np.ndarray, known: list) -> tuple[list[np.ndarray], np.ndarray]:
 def frequent_phrases(found: DataFrame, known: list, least: int) -> DataFrame:
     """Hashes of phrases one word longer than the known ones that occur often enough, if no other shares their hash."""
 
-    def run(batches):
+    def tables(batches):
         for ids, own in passes(batches):
             at, h = runs(ids, known)
-            hashes, n = np.unique(h[at[-1] & own], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int64))], ["phrase", "n"])
+            yield np.stack(np.unique(h[at[-1] & own], return_counts=True))
+
+    def run(batches):
+        yield from held(tables(batches), ["phrase", "n"])
 
     return found.mapInArrow(run, "phrase bigint, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("phrase")
 
@@ -216,7 +244,7 @@ def frequent_phrases(found: DataFrame, known: list, least: int) -> DataFrame:
 def windows(found: DataFrame, known: list) -> DataFrame:
     """w1 to w5 and n: how often each window of at least two words occurs; zeros fill one that a piece's end or what is rare cuts short."""
 
-    def run(batches):
+    def tables(batches):
         for ids, own in passes(batches):
             at = runs(ids, known)[0][: len(known)]
             starts = np.flatnonzero(own & at[0])
@@ -226,11 +254,10 @@ def windows(found: DataFrame, known: list) -> DataFrame:
                 for n, may in enumerate(at[:k]):  # the phrases of n + 2 words that end with this one
                     open_ &= may[starts + k - 1 - n]
                 table[k, open_] = ids[starts[open_] + k]
-            order = np.argsort(pair_of(pair_of(pair_of(table[0], table[1]), pair_of(table[2], table[3])), table[4]), kind="stable")
-            table = table[:, order]
-            first = np.flatnonzero(np.append(True, (table[:, 1:] != table[:, :-1]).any(axis=0))[: len(starts)])
-            n = np.diff(np.append(first, len(starts)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(row[first]) for row in table), pa.array(n.astype(np.int64))], [*IDS, "n"])
+            yield combined(np.append(table, np.ones((1, len(starts)), np.int64), axis=0))
+
+    def run(batches):
+        yield from held(tables(batches), [*IDS, "n"])
 
     return staged(found.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*IDS, "n"])).groupBy(*IDS).agg(F.sum("n").alias("n")), "windows")
 
