@@ -178,3 +178,14 @@ def test_undetermined_findings(spark):
     assert sorted(tuple(r) for r in reach.collect()) == [(1, "a", 1, 1), (1, "b", 1, 0), (2, "a", 1, 0)]
     statuses = spark.createDataFrame([(p, s) for p, s in ((1, "none"), (2, "none"), (3, "excluded"), (4, "relaxed"))], "patient long, status string")
     assert {r.patient: (r.status, r.steps) for r in rules.with_undetermined(statuses, reach).collect()} == {1: ("not_comparable", "a"), 2: ("none", None), 3: ("excluded", None), 4: ("relaxed", None)}
+
+
+def test_interval_pairs_of_any_width(spark):
+    r = random.Random(4)
+    rows = [(k, r.randint(0, 2), a := r.randint(0, 10**9), a + r.choice([0, 10**6, 10**9, 10**10])) for k in range(150)]
+    df = spark.createDataFrame(rows, "event_id long, patient long, s long, e long")
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] != y[0] and x[1] == y[1] and x[2] - 50 <= y[3] and x[3] + 50 >= y[2]}
+    for width in (None, 10**7, 10**12):
+        found = [(p.a_event_id, p.b_event_id) for p in intervals.pairs(df, df, ["patient"], 50, width).select("a_event_id", "b_event_id").collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+    assert intervals.usual_length(df) in (ta.UNITS["hour"], 10**10) and intervals.usual_length(df.limit(0)) == ta.UNITS["hour"]

@@ -18,8 +18,15 @@ def renamed(rows: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return rows.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c not in keys))
 
 
-def pairs(left: DataFrame, right: DataFrame, keys: list[str], slack: int, width: int) -> DataFrame:
-    """Pairs of different intervals (event_id, s, e) of one scope that touch or lie at most slack apart; columns a_* and b_*."""
+def usual_length(rows: DataFrame) -> int:
+    """About how long most intervals (s, e) are, by one aggregation: a width of buckets at which few intervals are listed under many."""
+    return max(rows.agg(F.percentile_approx(F.col("e") - F.col("s"), 0.75, 100)).first()[0] or 0, ta.UNITS["hour"])
+
+
+def pairs(left: DataFrame, right: DataFrame, keys: list[str], slack: int, width: int | None = None) -> DataFrame:
+    """Pairs of different intervals (event_id, s, e) of one scope that touch or lie at most slack apart; columns a_* and b_*. width: of the buckets, best
+    about the intervals' own length, which is measured where it isn't known."""
+    width = width or usual_length(left) + 2 * slack
     met = join_by_start(renamed(left, "a", keys), renamed(right, "b", keys), keys, (F.col("a_s") - slack, F.col("a_e") + slack), (F.col("b_s"), F.col("b_e")), width)
     return met.filter("a_event_id <> b_event_id")
 

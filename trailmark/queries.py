@@ -325,14 +325,14 @@ FROM expo a JOIN expo b USING (patient) WHERE a.event_id < b.event_id AND a.s <=
 def allen_relation(spark, d):
     """How intervals that touch are related; all other pairs are before or after each other."""
     rows = model.exposures(spark, d).select("patient", "event_id", "s", "e")
-    both = intervals.pairs(rows, rows, ["patient"], 0, 60 * DAY).filter("a_event_id < b_event_id")
+    both = intervals.pairs(rows, rows, ["patient"], 0, 1200 * DAY).filter("a_event_id < b_event_id")
     return both.select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), ta.allen(*map(F.col, ("a_s", "a_e", "b_s", "b_e"))).alias("relation"))
 
 
 @query(f"SELECT a.event_id AS a_id, b.event_id AS b_id, greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) AS overlap, b.s > a.e AND b.s - a.e BETWEEN {DAY} AND {20 * DAY} AS in_gap FROM expo a JOIN expo b ON a.patient = b.patient AND a.event_id <> b.event_id AND a.s - {20 * DAY} <= b.e AND a.e + {20 * DAY} >= b.s")
 def gap_overlap(spark, d):
     rows = model.exposures(spark, d).select("patient", "event_id", "s", "e")
-    near = intervals.pairs(rows, rows, ["patient"], 20 * DAY, 90 * DAY)
+    near = intervals.pairs(rows, rows, ["patient"], 20 * DAY, 1200 * DAY)
     a = [F.col(c) for c in ("a_s", "a_e", "b_s", "b_e")]
     return near.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), intervals.overlap(*a).alias("overlap"), intervals.gap(a[0], a[1], a[2], DAY, 20 * DAY).alias("in_gap"))
 
@@ -361,7 +361,7 @@ def bounded_classify(spark, d):
     """Pairs of which the first overlaps the second for certain or possibly; all others of one clock are impossible."""
     rows = _bounded(spark, d)
     spans = rows.select("patient", "event_id", "clock", "s_lo", "s_hi", "e_lo", "e_hi", F.col("s_lo").alias("s"), F.col("e_hi").alias("e"))
-    found = intervals.pairs(spans, spans, ["patient"], 0, 120 * DAY).filter("a_clock = b_clock").select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), intervals.bounded("overlaps").alias("status"))
+    found = intervals.pairs(spans, spans, ["patient"], 0, 1200 * DAY).filter("a_clock = b_clock").select("patient", F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"), intervals.bounded("overlaps").alias("status"))
     return found.filter(F.col("status").isin("CERTAIN", "POSSIBLE"))
 
 
@@ -377,7 +377,7 @@ ROBUST = [("original", 0, 0, 2 * DAY), ("ten_days", 1, 0, 10 * DAY), ("month", 2
 @query(f""", {BOUNDED} SELECT patient, arg_min(option, cost) AS option, min(cost)::INTEGER AS cost FROM ({" UNION ALL ".join(f"SELECT a.patient, '{n}' AS option, {c} AS cost FROM {BOUNDED_PAIRS} WHERE a.clock = b.clock AND a.e_hi - b.s_lo <= {-lo} AND b.s_hi - a.e_lo <= {hi}" for n, c, lo, hi in ROBUST[:3])}) GROUP BY patient""")
 def robust_relaxation(spark, d):
     rows = _bounded(spark, d)
-    return intervals.robust(intervals.pairs(rows, rows, ["patient"], 40 * DAY, 90 * DAY), ROBUST, ["patient"], 5)  # no option within the budget reaches further
+    return intervals.robust(intervals.pairs(rows, rows, ["patient"], 40 * DAY, 1200 * DAY), ROBUST, ["patient"], 5)  # no option within the budget reaches further
 
 
 def _readings(spark, d):

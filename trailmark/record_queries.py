@@ -211,7 +211,7 @@ def bounded_witness(spark, d):
     """Pairs that can overlap, with the earliest times at which they do, and whether some times refute it."""
     rows = _bounded(spark, d)
     spans = rows.select("patient", "event_id", "clock", "s_lo", "s_hi", "e_lo", "e_hi", F.col("s_lo").alias("s"), F.col("e_hi").alias("e"))
-    pairs = intervals.pairs(spans, spans, ["patient"], 0, 120 * DAY).filter("a_clock = b_clock")
+    pairs = intervals.pairs(spans, spans, ["patient"], 0, 1200 * DAY).filter("a_clock = b_clock")
     names = ["a_s", "a_e", "b_s", "b_e"]
     lows, highs = (F.array(*(F.col(f"{n}_{x}") for n in names)) for x in ("lo", "hi"))
     at = dict(zip("seuv", range(4), strict=True))
