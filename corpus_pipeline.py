@@ -9,6 +9,8 @@ line dedup may leave an empty text, which near-dedup then joins with all other e
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, grouped=similar.classes)
+    # SimHash's components first, by byte positions; then what two bits can't reach, by exact Jaccard similarity
+    return simhash.keep_one(docs, grouped=partial(similar.classes, start=simhash.classes))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,37 @@ def test_stage_drops_near_copies(spark):
     a, b = (simhash.fingerprint(t) for t in (base, " ".join(words)))
     assert (a ^ b).bit_count() > simhash.MOST_BITS and alike(shingles(base), shingles(" ".join(words)))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
+
+
+def test_stage_joins_simhash_links_and_similar_sets(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(500)]
+    passage, tails = prose(1, 61, words) + " ", [prose(i, 60, words) for i in (2, 3)]
+    a, b = (passage * 60 + t for t in tails)  # what is repeated decides their bits
+    c = passage * 2 + tails[1]
+    bits = lambda x, y: (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+    assert bits(a, b) <= simhash.MOST_BITS < min(bits(a, c), bits(b, c))
+    assert alike(shingles(b), shingles(c)) and not alike(shingles(a), shingles(b)) and not alike(shingles(a), shingles(c))
+    df = docs(spark, [c, a, b, prose(9, 60, words), "", "<null>", a])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 3, 4]
+    assert sorted(r.doc_id for r in simhash.keep_one(df, grouped=similar.classes).collect()) == [0, 1, 3, 4]
+
+
+def test_start_equals_brute_force(spark, texts, monkeypatch):
+    df = docs(spark, texts + [(prose(i, 61) + " ") * 40 + prose(70 + i + k, 60) for i in (1, 2) for k in (10, 20)])
+    rows = df.collect()
+    sets, prints, group = [shingles(r.text) for r in rows], [simhash.fingerprint(r.text or "") for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) or (prints[i] ^ prints[j]).bit_count() <= simhash.MOST_BITS:
+                group = [group[j] if g == group[i] else g for g in group]
+    key = lambda x: -1 if x is None else x
+    least = {g: min((r.doc_id for r, h in zip(rows, group, strict=True) if h == g and r.doc_id is not None), default=-1) for g in group}
+    want = sorted((key(r.doc_id), least[g]) for r, g in zip(rows, group, strict=True))
+    assert want != brute(rows)
+    found = lambda: sorted((key(r.doc_id), key(r.component_id)) for r in similar.classes(df, start=simhash.classes).collect())
+    assert found() == want
+    monkeypatch.setattr(similar, "MOST_LINKS", 0)
+    assert found() == want
+    assert similar.classes(df.limit(0), start=simhash.classes).count() == 0

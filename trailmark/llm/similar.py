@@ -14,12 +14,16 @@ set, so that the bits that differ are no more than the shingles that only one of
 passage only never meet, and of the pairs that are left each component tries the one with the fewest differing bits first. A bitmap of
 BRIEF words of 64 bits is small enough to go with the members of postings and prunes within their join.
 
+Another operator's components (SimHash's) can be given as a start: they stand as they are, only sets that they leave apart are compared, and what is
+found joins them.
+
 Cases: null and empty texts, and those without words, are one empty set and linked; fewer words than SHINGLE make one shingle;
 repeated rows share a component; a component's id is its smallest non-null key; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -175,9 +179,9 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(*pairs.columns, F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
 
 
-def linked(rows: DataFrame, thin: DataFrame, docs: DataFrame, text: str, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
+def linked(rows: DataFrame, thin: DataFrame, docs: DataFrame, text: str, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT, roots: DataFrame | None = None) -> DataFrame:
     """node and root for each node whose set is similar enough to another's; nodes that a chain of such pairs connects have one root. rows are prefixes(), thin has node, hash, size,
-    bits and brief of each set."""
+    bits and brief of each set; roots are of the nodes that are linked already."""
     check = lambda pairs: cut(verified(pairs, thin, docs, text, shingle, least_percent))
 
     def allowed(x: Column, y: Column) -> Column:
@@ -197,7 +201,7 @@ def linked(rows: DataFrame, thin: DataFrame, docs: DataFrame, text: str, shingle
     found = staged(found.filter("_1 IS NOT NULL OR _next IS NOT NULL").drop("_next"), "postings")  # shingles of one set only are gone
     sides = F.array(*(F.when(F.col(f"_{i}").isNotNull() & allowed(own, F.col(f"_{i}")), pair(own, F.col(f"_{i}"))) for i in range(1, NEIGHBOURS + 1)))
     met = found.select(F.inline(F.filter(sides, lambda p: p.isNotNull()))).filter("a <> b").distinct()
-    roots = settled(cut(hopeful(met, thin, least_percent)), None, check)
+    roots = settled(cut(hopeful(met, thin, least_percent)), roots, check)
     # all other pairs of a posting that could still join two components
     flat = found.select("shingle", "size", "node", "place").join(small(roots, 16), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = cut(flat.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("shingle"))
@@ -262,11 +266,19 @@ def settled(left: DataFrame, roots: DataFrame | None, check) -> DataFrame:
     return roots
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT) -> DataFrame:
-    """key and component_id (the smallest key of its component) for each row."""
+def started(rows: DataFrame, docs: DataFrame, text: str, grouped: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """node and root of the sets of those texts that grouped() puts into one component; rows are prefixes()."""
+    groups = grouped(docs.select(F.xxhash64(text).alias("hash"), F.col(text).alias("text")), "hash", "text").select("hash", F.col("component_id").alias("group")).distinct()
+    found = cut(rows.select("hash", "node").distinct().join(groups, "hash").select("group", "node").distinct())
+    least = cut(found.groupBy("group").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("group", "a"))
+    return cut(united(cut(found.join(small(least, 16), "group").filter("a < node").select("a", F.col("node").alias("b")).distinct())))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT, start: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
+    """key and component_id (the smallest key of its component) for each row. start(docs, key, text), if given, has components of its own, which those of similar sets are joined with."""
     rows = staged(prefixes(docs, key, text, common_shingles(docs, text, shingle), shingle, least_percent), "prefixes")
     nodes = staged(rows.groupBy("node").agg(F.min("hash").alias("hash"), F.min("key").alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "nodes")
-    roots = linked(rows, nodes.drop("least"), docs, text, shingle, least_percent)
+    roots = linked(rows, nodes.drop("least"), docs, text, shingle, least_percent, start and started(rows, docs, text, start))
     members = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
     found = cut(members.join(least, "root").select("node", "component_id"))
