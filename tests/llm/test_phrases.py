@@ -89,6 +89,30 @@ def test_repeated_words_end(spark):
     same(docs(spark, ["a " * 500, "a a a", "b a " * 300]), least=3)
 
 
+@pytest.mark.parametrize("most", [1 << 16, 1])
+def test_windows_are_passed_on_once_a_core_not_once_a_split(spark, monkeypatch, most):
+    rows = phrases.languages(docs(spark, ["a b c d e f. " * 30] * 40), "lang", "text")
+    words, odd = phrases.told_apart(phrases.word_counts(rows))
+    found = phrases.streams(rows.repartition(40), odd, phrases.sent(words.select("id")))
+    known = [phrases.sent(phrases.frequent_phrases(found, [], 3))]
+    monkeypatch.setattr(phrases, "staged", lambda df, tag: df)
+    monkeypatch.setattr(phrases, "MOST_STREAM", most, raising=False)
+    monkeypatch.setattr(phrases, "BATCH", 7, raising=False)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = phrases.windows(found.repartition(40), known)
+        assert [r.n for r in made.collect()] == [40 * 30] * 5
+        node = made._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    while node.nodeName() != "Exchange":
+        node = node.children().apply(0)
+    passed_on = node.metrics().apply("shuffleRecordsWritten").value()
+    # where a task may take few rows, there are more tasks than cores
+    assert (passed_on <= 5 * spark.sparkContext.defaultParallelism) == (most > 1)
+
+
 def test_empty(spark):
     assert phrases.collocations(fixture(spark).limit(0)).count() == 0
     assert phrases.collocations(docs(spark, ["", "<null>"])).count() == 0

@@ -33,9 +33,11 @@ from trailmark.llm.similar import small
 
 LONGEST, LEAST, MOST_RANK = 5, 100, 2000
 #: Word numbers in a row of a stream, rows that one numpy pass works on, words that a task remembers or counts before it passes them on.
-ROW, ROWS, MOST_HELD = 4096, 256, 1 << 18
+ROW, ROWS, MOST_HELD = 256, 4096, 1 << 18
 #: Counted phrases that a task adds up before it passes them on.
 MOST_ROWS = 1 << 20
+#: Rows of streams that a task makes windows of at most, windows in a batch of them.
+MOST_STREAM, BATCH = 1 << 20, 1 << 16
 #: Bytes of numbers that are broadcast at most.
 MOST_BROADCAST = 32 << 20
 #: Lengths of phrases, from two words on, that are counted before windows are made.
@@ -242,9 +244,11 @@ def frequent_phrases(found: DataFrame, known: list, least: int) -> DataFrame:
 
 
 def windows(found: DataFrame, known: list) -> DataFrame:
-    """w1 to w5 and n: how often each window of at least two words occurs; zeros fill one that a piece's end or what is rare cuts short."""
+    """w1 to w5 and n: how often each window of at least two words occurs; zeros fill one that a piece's end or what is rare cuts short.
+    A frequent window is in nearly all tasks and leaves each with its count: as many tasks as cores keep such rows from growing with windows and tasks both."""
+    found = found.coalesce(max(found.sparkSession.sparkContext.defaultParallelism, -(-found.count() // MOST_STREAM)))
 
-    def tables(batches):
+    def run(batches):
         for ids, own in passes(batches):
             at = runs(ids, known)[0][: len(known)]
             starts = np.flatnonzero(own & at[0])
@@ -254,12 +258,10 @@ def windows(found: DataFrame, known: list) -> DataFrame:
                 for n, may in enumerate(at[:k]):  # the phrases of n + 2 words that end with this one
                     open_ &= may[starts + k - 1 - n]
                 table[k, open_] = ids[starts[open_] + k]
-            yield combined(np.append(table, np.ones((1, len(starts)), np.int64), axis=0))
-
-    def run(batches):
-        yield from held(tables(batches), [*IDS, "n"])
+            for a in range(0, len(starts), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(row[a : a + BATCH]) for row in table], IDS)
 
-    return staged(found.mapInArrow(run, ", ".join(f"{c} bigint" for c in [*IDS, "n"])).groupBy(*IDS).agg(F.sum("n").alias("n")), "windows")
+    return staged(found.mapInArrow(run, ", ".join(f"{c} bigint" for c in IDS)).groupBy(*IDS).agg(F.count("*").alias("n")), "windows")
 
 
 def nodes(found: DataFrame, least: int) -> DataFrame:
