@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,3 +33,9 @@ def staged(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("parquet.compression.codec.zstd.level", "6").parquet(path, compression=compression)
     return spark.read.parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Asks for what no plan holds any longer to be collected: Spark drops shuffle files only once the driver's garbage is, which can be long after they are read."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
