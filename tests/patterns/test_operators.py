@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from trailmark.functions import scalars
 from trailmark.functions import timealg as ta
 from trailmark.operators import derived, evidence, intervals, records, rules, store
-from trailmark.operators.ranges import join_by_start, join_ranges, semi_join_range, semi_join_ranges
+from trailmark.operators.ranges import join_by_length, join_by_start, join_ranges, semi_join_range, semi_join_ranges
+from trailmark.plans import compile as plans
 from trailmark.plans.pattern import Pattern, Relation, Relaxation, Step
 from trailmark.sources import model
 
@@ -30,6 +31,33 @@ def test_range_join_reports_each_pair_once(spark):
     assert sorted(got) == sorted(p[0] for p in left if any(p[1] == q[1] and q[2] <= p[2] <= q[3] for q in right))
 
 
+def test_joins_of_ranges_of_any_length(spark):
+    """Points, short ranges and such of many millions of buckets: each pair once, each range under two buckets at most."""
+    r = random.Random(6)
+    make = lambda n: [(i, r.randint(0, 2), a := r.randint(-(10**4), 10**4) * r.choice([1, 10**12]), a + r.choice([0, 0, 3, 10**3, 2**40, 2**59])) for i in range(n)]
+    left, right = [*make(90), (90, 0, 5, 4)], [*make(90), (90, 0, 9, 2)]  # the last ones are empty
+    l, x = spark.createDataFrame(left, "a long, k long, a_lo long, a_hi long"), spark.createDataFrame(right, "b long, k long, b_lo long, b_hi long")
+    spans = (F.col("a_lo"), F.col("a_hi")), (F.col("b_lo"), F.col("b_hi"))
+    want = {(p[0], q[0]) for p in left[:-1] for q in right[:-1] if p[1] == q[1] and p[2] <= q[3] and p[3] >= q[2]}
+    for width in (1, 7, 3 * ta.UNITS["day"], 2**59):
+        found = join_by_length(l, x, ["k"], *spans, width)
+        got = [(row.a, row.b) for row in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and found.columns == ["k", "a", "a_lo", "a_hi", "b", "b_lo", "b_hi"]
+
+
+def test_during_long_events(spark):
+    """Events of thousands of years beside short ones, by buckets of a day, with the pairs that the relation has."""
+    r = random.Random(7)
+    day, schema = ta.UNITS["day"], "patient long, event_id long, kind string, lo long, hi long, end_lo long, end_hi long, micro long"
+    rows = [(i % 3, i, r.choice("xy"), t, t, e, e, 0) for i in range(400) for t in [r.randint(0, 4000) * day] for e in [t + r.choice([1, 40, 2_000, 3_000_000]) * day]]
+    kinds = spark.createDataFrame([("x", "x"), ("y", "y")], "concept string, ancestor string")
+    pattern = Pattern((Step("a", "x"), Step("b", "y")), (Relation("r", "during", "a", "b", grace=2 * day),))
+    df = spark.createDataFrame(rows, schema)
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and (x[2], y[2]) == ("x", "y") and y[3] >= x[3] and y[3] - x[5] <= 2 * day}
+    got = [tuple(b) for b in plans.bindings(pattern, df, kinds, model.windows(df), ta.certain).select("a_event_id", "b_event_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_pattern_checks():
     a, b = Step("a", "x"), Step("b", "y")
     with pytest.raises(ValueError):

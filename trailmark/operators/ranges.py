@@ -3,7 +3,7 @@
 A join on a patient alone makes all pairs of that patient's events before the range predicate cuts them down, and puts a patient
 with a third of all rows into one task. Here each side is listed under the buckets of time that its range touches and the join is
 on (keys, bucket): partners are near in time, and a long history is many join keys. A pair meets in several buckets but is
-reported in the first that both have.
+reported in the first that both have. Where lengths are unknown or mixed, each range has buckets about as long as itself (join_by_length).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bucket(x: Column, width: int) -> Column:
+def bucket(x: Column, width: int | Column) -> Column:
     """The number of the bucket of a time; exact for longs, unlike the quotient of two doubles."""
     return F.round((x - F.pmod(x, F.lit(width).cast("long"))) / width).cast("long")
 
@@ -66,3 +66,29 @@ def join_by_start(left: DataFrame, right: DataFrame, keys: list[str], left_range
     begins = whole(l, "l").join(start(r, "r"), on).filter("_r_lo BETWEEN _l_lo AND _l_hi")
     begun = start(l, "l").join(whole(r, "r"), on).filter("_r_lo < _l_lo AND _l_lo <= _r_hi")
     return begins.unionByName(begun).drop("_bucket", "_l_lo", "_l_hi", "_r_lo", "_r_hi")
+
+
+#: Each level's buckets are so many times as long as those of the level below it; times are below 2 ** LONGEST.
+STEP_BITS, LONGEST = 2, 60
+
+
+def join_by_length(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], width: int) -> DataFrame:
+    """As join_by_start, for ranges of any lengths: each is listed under the at most two buckets it touches on the level of its own length, and where the other side
+    begins is listed once on each level. width is the length of the buckets of the lowest level."""
+    (l_lo, l_hi), (r_lo, r_hi) = left_range, right_range
+    levels = max((LONGEST - width.bit_length()) // STEP_BITS, 0) + 2
+    level = lambda lo, hi: sum(((hi - lo > width << (STEP_BITS * k)).cast("int") for k in range(levels - 1)), F.lit(0))
+
+    def whole(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        own = df.filter(lo <= hi).withColumn("_level", level(lo, hi))
+        size = F.call_function("shiftleft", F.lit(width).cast("long"), F.col("_level") * STEP_BITS)
+        return own.withColumn("_bucket", F.explode(F.sequence(bucket(lo, size), bucket(hi, size))))
+
+    def starts(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        each = (F.struct(F.lit(k).alias("_level"), bucket(lo, width << (STEP_BITS * k)).alias("_bucket")) for k in range(levels))
+        return df.filter(lo <= hi).select("*", F.inline(F.array(*each)))
+
+    on = [*keys, "_level", "_bucket"]
+    begins = whole(left, l_lo, l_hi).join(starts(right, r_lo, r_hi), on).filter(r_lo.between(l_lo, l_hi))
+    begun = starts(left, l_lo, l_hi).join(whole(right.filter(r_lo < r_hi), r_lo, r_hi), on).filter((r_lo < l_lo) & (l_lo <= r_hi))
+    return begins.unionByName(begun).drop("_level", "_bucket")

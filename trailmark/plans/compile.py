@@ -1,8 +1,8 @@
 """From patterns to DataFrame plans.
 
 Each step becomes a filtered view of the events with its own column prefix; relations become joins on patient and time range.
-Bounded relations join by time buckets, so a long history doesn't become one task or all its pairs; only unbounded ones join on
-the patient alone. Exact decisions over forests are semi-joins from the leaves to the root, possible ones carry the times that each event has
+Bounded relations join by time buckets, so a long history doesn't become one task or all its pairs, and where events last by buckets as long
+as they; only unbounded ones join on the patient alone. Exact decisions over forests are semi-joins from the leaves to the root, possible ones carry the times that each event has
 left (plans.forest): neither enumerates anything. Other patterns' bindings are joined on plausibility and decided jointly (plans.network).
 Relaxed ones come from one join of the widest pattern, each binding priced by the cheapest set that admits it.
 
@@ -28,7 +28,7 @@ from trailmark.lineage import cut
 from trailmark.operators import rises
 from trailmark.operators.counts import narrowed
 from trailmark.operators.derived import counted_uncertain, nth_envelope, risen, scenarios
-from trailmark.operators.ranges import join_ranges, semi_join_range
+from trailmark.operators.ranges import join_by_length, join_ranges, semi_join_range
 from trailmark.plans import forest, network
 from trailmark.plans.pattern import Pattern, Relation, Step
 from trailmark.sources.model import Kinds
@@ -130,7 +130,7 @@ def joined(left: DataFrame, right: DataFrame, r: Relation, step: str, other: str
         return join_ranges(left, right, ["patient"], span, times, width_of(r))
     # all that begins after an ongoing event is its partner: no list of buckets is needed to find it
     ongoing = F.col(f"{step}_end_hi") >= ta.FOREVER
-    near = join_ranges(left.filter(~ongoing), right, ["patient"], span, times, width_of(r))
+    near = join_by_length(left.filter(~ongoing), right, ["patient"], span, times, width_of(r))
     return near.unionByName(left.filter(ongoing).join(right, "patient").filter(times[1] >= span[0]))
 
 
